@@ -49,7 +49,7 @@ TASK_CHARS = 24_000_000  # text of one file, about
 PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\s.,!|?]|\Z)| ?\S+|\s+\Z|\s+(?=\s)|\s")
 #: Characters that are white space here and not in the tokenizer, or may be; their texts are encoded whole.
 ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
-CACHE = 500_000
+CACHE = 1_000_000  # pieces that a worker keeps, the first ones it meets
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -95,12 +95,12 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     split = PIECES.findall
     pieces = [split(x) if ok else [] for x, ok in zip(texts, plain, strict=True)]
     missing = set().union(*pieces).difference(cache)
-    if len(cache) + len(missing) > CACHE:
-        cache.clear()
-        missing = set().union(*pieces)
     _learn(t, cache, joint, missing)
     get = cache.__getitem__
-    out = [np.frombuffer(b"".join(map(get, p)), "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4").astype(np.uint32) for p in pieces]
+    out = [np.frombuffer(b"".join(map(get, p)), "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4") for p in pieces]
+    if len(cache) > CACHE:
+        for x in missing:
+            del cache[x]
     for i, ok in enumerate(plain):
         if not ok:
             out[i] = np.array(t.encode(texts[i], add_special_tokens=False).ids, np.uint32)
@@ -205,10 +205,10 @@ def _writer(folder: str, path: str, end_id: int, bits: int):
         kind = np.dtype("<u2") if bits <= 16 else np.dtype("<u4")
         part = None
         for big in batches:
-            for b in (big.slice(i, 256) for i in range(0, big.num_rows, 256)):
+            for b in (big.slice(i, 1024) for i in range(0, big.num_rows, 1024)):
                 part = b.column(2)[0].as_py()
                 docs += [NULL_ID if x is None else x for x in b.column(0).to_pylist()]
-                ids += [np.append(x, np.uint32(end_id)).astype(kind) for x in encode([t or "" for t in b.column(1).to_pylist()], path)]
+                ids += [np.append(x.astype(kind, copy=False), kind.type(end_id)) for x in encode([t or "" for t in b.column(1).to_pylist()], path)]
         if docs:
             raw = build(docs, ids, bits)
             name = f"{folder}/{uuid.uuid4().hex}.mtok"
