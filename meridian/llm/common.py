@@ -6,6 +6,7 @@ lower-cased.  On UTF-8 bytes that is exactly ``bytes.lower().split()``.
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import tempfile
@@ -53,6 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that are no longer referred to, before more are written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

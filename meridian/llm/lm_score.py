@@ -38,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import Words, by_groups, cut, mix, planes, unplanes
+from meridian.llm.common import Words, by_groups, cut, mix, planes, release, unplanes
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 END, START = np.uint64(0x0E4D), np.uint64(0x57A7)
 GRID = [(a, b) for b in (0.1, 0.3, 0.5) for a in (0.05, 0.2, 0.8)]
 ASK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("uni", pa.binary()), ("uni_n", pa.binary()), ("bi", pa.binary()), ("bi_n", pa.binary())])
@@ -181,6 +181,8 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     answer = "block int, shard int, uni_n binary, bi_n binary, n long, v long, n1 long, n2 long"
     asked = by_groups(docs, ["block"], _ask(n_blocks), ask, ASK)
     answers = cut(by_groups(asked, ["shard"], _answer, answer, ANSWER))
+    del asked
+    release(df.sparkSession)
     n, v, n1, n2 = (x or 0 for x in answers.where("block < 0").agg(F.sum("n"), F.sum("v"), F.sum("n1"), F.sum("n2")).first())
     none = lambda kind: F.lit(None).cast(kind)
     both = docs.select("block", F.lit(0).alias("kind"), "id", "text", "train", none("int").alias("shard"), none("binary").alias("uni_n"), none("binary").alias("bi_n")).union(
