@@ -10,6 +10,7 @@ import gc
 import os
 import sys
 import tempfile
+import time
 import zipfile
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -56,8 +57,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that are no longer referred to, before more are written."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(3):  # the first round frees what the next one finds
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
