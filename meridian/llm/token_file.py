@@ -49,7 +49,7 @@ TASK_CHARS = 24_000_000  # text of one file, about
 PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\s.,!|?]|\Z)| ?\S+|\s+\Z|\s+(?=\s)|\s")
 #: Characters that are white space here and not in the tokenizer, or may be; their texts are encoded whole.
 ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
-CACHE = 1_000_000  # pieces that a worker keeps, the first ones it meets
+CACHE = 400_000  # pieces that a worker keeps, the first ones it meets
 _tokenizers: dict[str, tuple] = {}
 
 
