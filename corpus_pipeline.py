@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm import decontaminate, mixing, ngram_join, quality, token_file
-from meridian.llm.common import read, shared_dir, ship
+from meridian.llm.common import read, shared_dir, ship, unused
 
 SHINGLE, PERCENT = 5, 80
 
@@ -31,8 +31,9 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group: the one whose id names it. Of equal rows, and of rows of one id, one stays."""
     ship(spark)
     found = ngram_join.ngram_jaccard(docs, n=SHINGLE, percent=PERCENT)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_i")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("_i"), "left_semi").dropDuplicates(["doc_id"])
+    (i,) = unused(docs, "_i")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(i)).distinct()
+    known = docs.join(kept, F.col("doc_id") == F.col(i), "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

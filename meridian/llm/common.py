@@ -55,6 +55,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of ``df`` has it."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+def keep_rows(df: DataFrame, found: DataFrame, id_col: str, row_hash, how: str) -> DataFrame:
+    """The rows of ``df`` that (left_semi) or not (left_anti) stand in ``found`` (id_col, h), by id and the hash of the row."""
+    i, h, k = unused(df, "_i", "_h", "_k")
+    known = found.select(F.col(id_col).alias(i), F.col("h").alias(h)).distinct()
+    return df.withColumn(k, row_hash).join(known, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(k) == F.col(h)), how).drop(k)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that are no longer referred to, before more are written."""
     for _ in range(3):  # the first round frees what the next one finds

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import cut
+from meridian.llm.common import cut, keep_rows
 
 SEED, RARE, MATCH, MISMATCH, GAP, LEAST = 3, 4, 2, -1, -1, 0.5
 BLOCK_WORDS = 300_000
@@ -218,6 +218,4 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def keep_clean(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without a match, all columns."""
-    bad = found.select(F.col(id_col).alias("_i"), F.col("h").alias("_h")).distinct()
-    h = F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col).cast("string"))
-    return df.withColumn("_k", h).join(bad, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h")), "left_anti").drop("_k")
+    return keep_rows(df, found, id_col, F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col).cast("string")), "left_anti")

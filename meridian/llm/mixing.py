@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import by_groups, cut
+from meridian.llm.common import by_groups, cut, unused
 
 WEIGHTS, SHARE, MOST, BLOCK = (5, 2, 1), 1.5, 2.0, 4000
 FLIGHTS = 24  # of a source's last block; the one that lands closest is taken
@@ -126,10 +126,11 @@ def row_hash(id_col: str = "doc_id", text_col: str = "text"):
 
 def repeat_taken(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, each as often as the mix takes it; rows equal in id and text stand for each other."""
-    n = mixed.groupBy(F.col(id_col).alias("_i"), F.col("h").alias("_h")).agg(F.sum("copies").alias("_n")).where("_n > 0")
-    rows = df.withColumn("_k", row_hash(id_col, text_col)).dropDuplicates([id_col, "_k"])
-    rows = rows.join(n, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h")))
-    return rows.withColumn("_c", F.explode(F.expr("sequence(1L, _n)"))).select(*df.columns)
+    i, h, k, n, c = unused(df, "_i", "_h", "_k", "_n", "_c")
+    copies = mixed.groupBy(F.col(id_col).alias(i), F.col("h").alias(h)).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
+    rows = df.withColumn(k, row_hash(id_col, text_col)).dropDuplicates([id_col, k])
+    rows = rows.join(copies, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(k) == F.col(h)))
+    return rows.withColumn(c, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*df.columns)
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -10,7 +10,8 @@ orders' thresholds by, and it is sampled by Gumbel top-k: the k largest sums of
 
 The labelled rows (at most ``LABELLED``, those with the least hashes of their ids) fit the
 target model and the thresholds: of each order, the weight below which a share ``LOST`` of the good
-labelled rows lies, each scored without its own n-grams in the target model. k is the
+labelled rows lies. Every row is scored without its own n-grams in the models, so labelled rows are
+like others. k is the
 number of rows with a margin of zero or more, so the sample is as large as the part
 of the corpus that the classifier accepts. All other counts are of all rows.
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import Words, cut, mix, planes, shuffle_partitions, unplanes
+from meridian.llm.common import Words, cut, keep_rows, mix, planes, shuffle_partitions, unplanes
 
 BUCKETS, LABELLED, CHUNK, SHRINK, LOST, HEAT = 1 << 20, 20_000, 1 << 14, 3.0, 0.005, 0.001
 COUNTS = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
@@ -81,26 +82,27 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _weigh(raw: list[np.ndarray], target: list[np.ndarray]):
-    """Weights of both orders, and for a labelled row those without its own n-grams in the target."""
+    """Weights of both orders. A row's own n-grams are left out of the raw counts, and of the target's if it is in there."""
     share = [t.sum() / max(1, r.sum()) for r, t in zip(raw, target, strict=True)]
     expect = [(r * s).astype(np.float32) for r, s in zip(raw, share, strict=True)]
     target = [t.astype(np.float32) for t in target]
-    ratio = [np.log((t + SHRINK) / (e + SHRINK)).astype(np.float32) for t, e in zip(target, expect, strict=True)]
 
-    def own(f: np.ndarray, o: int) -> float:
+    def weight(f: np.ndarray, o: int, inside: bool) -> float:
+        if not len(f):
+            return 0.0
         u, c = np.unique(f, return_counts=True)
-        return float((c * np.log((target[o][u] - c + SHRINK) / (np.maximum(expect[o][u] - c * share[o], 0) + SHRINK))).sum()) / len(f)
+        t = target[o][u] - c * inside
+        e = np.maximum(expect[o][u] - c * share[o], 0)
+        return float((c * np.log((t + SHRINK) / (e + SHRINK))).sum()) / len(f)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(seed=8)
         for b in _batches(batches, 1024):
             out = []
             for t, g in zip(b.column("text").to_pylist(), b.column("good").to_pylist(), strict=True):
-                f = features(known.of(t))
-                w = [float(ratio[o][x].mean(dtype=np.float64)) if len(x) else 0.0 for o, x in enumerate(f)]
-                out.append((*w, *((own(x, o) if len(x) else 0.0 for o, x in enumerate(f)) if g else w)))
+                out.append([weight(x, o, bool(g)) for o, x in enumerate(features(known.of(t)))])
             cols = [pa.array(c, pa.float64()) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), *cols, b.column("good")], ["id", "h", "w1", "w2", "f1", "f2", "good"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), *cols, b.column("good")], ["id", "h", "w1", "w2", "good"])
 
     return run
 
@@ -142,9 +144,9 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for kind, chunk, raw in counts.collect():  # a row for each of the fixed chunks
         model[kind, chunk * CHUNK : (chunk + 1) * CHUNK] = unplanes(bytes(raw), "<i8")
     kind = docs.schema["id"].dataType.simpleString()
-    scored = cut(docs.mapInArrow(_weigh([model[0], model[1]], [model[2], model[3]]), f"id {kind}, h long, w1 double, w2 double, f1 double, f2 double, good boolean"))
-    fitted = scored.where("good").select("f1", "f2").toPandas()  # of the bounded labelled sample
-    least = [float(np.quantile(fitted[c], LOST, method="lower")) if len(fitted) else -1e9 for c in ("f1", "f2")]
+    scored = cut(docs.mapInArrow(_weigh([model[0], model[1]], [model[2], model[3]]), f"id {kind}, h long, w1 double, w2 double, good boolean"))
+    fitted = scored.where("good").select("w1", "w2").toPandas()  # of the bounded labelled sample
+    least = [float(np.quantile(fitted[c], LOST, method="lower")) if len(fitted) else -1e9 for c in ("w1", "w2")]
     # a uniform draw from the row's hash, strictly between 0 and 1
     u = (F.shiftrightunsigned("h", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     margin = F.least(F.col("w1") - least[0], F.col("w2") - least[1])
@@ -155,6 +157,4 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_sampled(df: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that ``sample`` holds, all columns."""
-    kept = sample.select(F.col(id_col).alias("_i"), F.col("h").alias("_h")).distinct()
-    h = F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col).cast("string"))
-    return df.withColumn("_k", h).join(kept, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h")), "left_semi").drop("_k")
+    return keep_rows(df, sample, id_col, F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col).cast("string")), "left_semi")
