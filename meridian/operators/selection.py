@@ -159,6 +159,59 @@ def score(df: DataFrame, config: Config = Config()) -> DataFrame:
     return df.withColumn("score", add - less)
 
 
+#: Weights of the evidence axes.
+EVIDENCE_PLUS = {"genome_novelty": 0.05, "causal_validity": 0.05, "regime_entropy": 0.05}
+EVIDENCE_MINUS = {"crowding": 0.05, "signal_duplication": 0.03, "fragility_surface": 0.02}
+
+
+def score_with_evidence(df: DataFrame, config: Config = Config()) -> DataFrame:
+    """``df`` with its score and score_v2, which adds the evidence axes; a column that is missing counts as 0.5 or no penalty."""
+    have = lambda c, d: clip(F.coalesce(F.col(c), F.lit(d)), 0.0, 1.0) if c in df.columns else F.lit(d)
+    add = reduce(lambda a, b: a + b, [w * have(f"{n}_score", 0.5) for n, w in EVIDENCE_PLUS.items()])
+    less = reduce(lambda a, b: a + b, [w * have(f"{n}_penalty", 0.0) for n, w in EVIDENCE_MINUS.items()])
+    return score(df, config).withColumn("score_v2", F.col("score") + add - less)
+
+
+#: The evidence gates, column, sign and bound.
+EVIDENCE_GATES = [("causal_direction_score", "<", 0.60), ("invariance_pass_ratio", "<", 0.70), ("genome_novelty_score", "<", 0.20), ("crowding_r2", ">", 0.80), ("fsi", ">", 0.40), ("regime_entropy", "<", 0.60), ("signal_corr", ">", 0.90)]
+
+
+def evidence_gates(df: DataFrame) -> DataFrame:
+    """``df``, gated before, with the failures of the evidence gates added; what is NULL or missing passes."""
+    said = [F.when(F.col(c) < x if sign == "<" else F.col(c) > x, F.format_string(f"{c}=%.4f {sign} {'min' if sign == '<' else 'max'}=%.4f", F.col(c).cast("double"), F.lit(x))) for c, sign, x in EVIDENCE_GATES if c in df.columns]
+    out = df.withColumn("gate_failures", F.concat("gate_failures", F.array_compact(F.array(*said)))) if said else df
+    return out.withColumn("gate_passed", F.size("gate_failures") == 0)
+
+
+#: A feature and the name to fall back to.
+ALIASES = {"oos_sharpe": "sharpe", "oos_sortino": "sortino", "oos_calmar": "calmar", "oos_max_drawdown": "max_drawdown", "turnover": "annual_turnover", "avg_hold_days": "hold_period_days", "var_5": "var_95", "cvar_5": "cvar_95", "downside_vol": "semi_deviation", "rank_ic": "rank_information_coefficient", "ic": "information_coefficient", "ic_t_stat": "ic_t", "hit_rate": "direction_accuracy"}
+
+
+def alias_features(df: DataFrame, values: str) -> DataFrame:
+    """``df`` with the features of a map column; a zero falls through to the other name, as a missing value does."""
+    at = lambda k: F.try_element_at(F.col(values), F.lit(k))
+    return df.select("*", *[F.coalesce(F.nullif(at(k), F.lit(0.0)), at(other)).alias(k) for k, other in ALIASES.items()])
+
+
+def regime_features(df: DataFrame, values: str) -> DataFrame:
+    """``df`` with the sharpes of three regimes of a map column, and the share above zero of those known."""
+    at = lambda k: F.try_element_at(F.col(values), F.lit(k))
+    known = F.array_compact(F.array(at("crisis"), at("bull"), at("bear")))
+    return df.select("*", *[at(k).alias(f"{k}_sharpe") for k in ("crisis", "bull", "bear")], F.when(F.size(known) > 0, positive_share(known)).alias("regime_pass_ratio"))
+
+
+def decision_summary(decided: DataFrame) -> DataFrame:
+    """Counts by decision, score statistics and the distinct first gate failures, of a run."""
+    n = lambda d: F.count(F.when(F.col("decision") == d, 1)).alias(f"n_{d.lower()}")
+    first = F.split(F.get("gate_failures", F.lit(0)), "=")[0]
+    return decided.agg(F.count("*").alias("n"), *[n(d) for d in ("SELECTED", "HOLD", "REVIEW_REQUIRED", "REJECTED")], F.avg("score").alias("avg_score"), F.median("score").alias("median_score"), F.array_join(F.array_sort(F.collect_set(first)), ",").alias("first_failures"))
+
+
+def gate_histogram(decided: DataFrame) -> DataFrame:
+    """gate, n: how often each gate failed."""
+    return decided.select(F.explode(F.transform("gate_failures", lambda x: F.split(x, "=")[0])).alias("gate")).groupBy("gate").agg(F.count("*").alias("n"))
+
+
 def gates(df: DataFrame, config: Config = Config()) -> DataFrame:
     """``df`` with gate_failures (messages, in the order of the gates) and gate_passed."""
     c = config

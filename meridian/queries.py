@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.functions.stats import clip, positive_share
-from meridian.operators import backtest, evidence, features, governance, metrics, selection
+from meridian.operators import backtest, evidence, features, genome, governance, metrics, selection
 from meridian.operators.event_study import abnormal_returns, car_from
 from meridian.plans import search
 from meridian.sources.tables import candidates, price_panel, return_series, table
@@ -469,3 +469,77 @@ def fragility_surface(spark, sf_dir):
     grid = evidence.parameter_grid(spark, {"lookback": [10, 20, 40], "threshold": [0.5, 1.0, 1.5], "cost": [1, 2, 4]}, 500)
     tested = grid.withColumn("sharpe", 1.2 - F.abs(F.col("lookback") - 20) / 100 - F.abs(F.col("threshold") - 1) / 5 - F.col("cost") / 50)
     return rounded(evidence.fragility_surface(tested, 1.16))
+
+
+LEFT = ["ts_delta(volume)", "zscore(ret_5)", "rank(atr / close)", "earnings_yield * pb", "credit_spread - us10y", "foo"]
+RIGHT = ["momentum_12m", "net_buy imbalance", "short_interest", "vwap", "bar"]
+FORMULAS = f"f AS (SELECT s_suppkey, list_extract({LEFT!r}, CAST(s_suppkey % 6 + 1 AS INTEGER)) || ' + ' || list_extract({RIGHT!r}, CAST(s_suppkey % 5 + 1 AS INTEGER)) AS formula FROM supplier)"
+AXIS_ROWS = ", ".join(f"({i}, '{a}', '{k}', {w})" for i, a in enumerate(genome.AXES) for k, w in genome.KEYWORDS[a])
+FACTOR_ROWS = ", ".join(f"('{f}', '{k}')" for f, _, ks, _ in genome.FACTORS for k in ks)
+
+
+def supplier_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("s_suppkey") % n + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(" + ", pick(LEFT, 6), pick(RIGHT, 5)).alias("formula"))
+
+
+@query(
+    f"""WITH {FORMULAS}, k(i, axis, kw, w) AS (VALUES {AXIS_ROWS}), t AS (SELECT s_suppkey, UNNEST(REGEXP_EXTRACT_ALL(LOWER(formula), '[a-z_][a-z0-9_]*')) AS tok FROM f),
+s AS (SELECT s_suppkey, i, axis, SUM(CASE WHEN contains(tok, kw) OR contains(kw, tok) THEN w ELSE 0 END) AS raw FROM t CROSS JOIN k GROUP BY 1, 2, 3),
+v AS (SELECT *, SUM(raw) OVER (PARTITION BY s_suppkey) AS total FROM s), x AS (SELECT *, CASE WHEN total > 1e-10 THEN raw / total ELSE 0.1 END AS share FROM v),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY s_suppkey ORDER BY ROUND(share, 9) DESC, i) AS p FROM x)
+SELECT s_suppkey, MAX(CASE WHEN p = 1 THEN axis END) AS dominant_axis, ROUND(MAX(share), 6) AS share, ROUND(LEAST(1.0, COUNT(CASE WHEN raw > 0 THEN 1 END) / 5.0), 6) AS confidence FROM r GROUP BY 1"""
+)
+def genome_axes(spark, sf_dir):
+    out = genome.encode(supplier_formulas(spark, sf_dir), "formula")
+    return rounded(out.select("s_suppkey", "dominant_axis", F.array_max("genome").alias("share"), "confidence"))
+
+
+@query(f"WITH {FORMULAS}, k(factor_id, kw) AS (VALUES {FACTOR_ROWS}) SELECT s_suppkey, factor_id, CAST(SUM(CASE WHEN contains(LOWER(formula), kw) THEN 1 ELSE 0 END) AS DOUBLE) AS score FROM f CROSS JOIN k GROUP BY 1, 2")
+def factor_matches(spark, sf_dir):
+    return genome.factor_matches(supplier_formulas(spark, sf_dir), "formula").select("s_suppkey", "factor_id", "score")
+
+
+@query()
+def genome_clusters(spark, sf_dir):
+    return genome.cluster(genome.encode(supplier_formulas(spark, sf_dir), "formula"), 5).select("s_suppkey", "dominant_axis", "cluster")
+
+
+@query()
+def genome_near_duplicates(spark, sf_dir):
+    return rounded(genome.similar(genome.encode(supplier_formulas(spark, sf_dir), "formula"), "s_suppkey"))
+
+
+@query()
+def decision_summary(spark, sf_dir):
+    return rounded(selection.decision_summary(selection.decide(selection.rank(evaluated(spark, sf_dir, WIDE)), WIDE)))
+
+
+@query()
+def gate_histogram(spark, sf_dir):
+    return selection.gate_histogram(evaluated(spark, sf_dir, selection.Config()))
+
+
+@query()
+def evidence_scores(spark, sf_dir):
+    rows = evaluated(spark, sf_dir, WIDE).withColumn("regime_entropy", evidence.normalized_entropy(F.col("folds"))).withColumn("regime_entropy_score", F.col("regime_entropy"))
+    out = selection.evidence_gates(selection.score_with_evidence(rows.drop("score"), WIDE))
+    return rounded(out.select("candidate_id", "score", "score_v2", "gate_passed", F.size("gate_failures").alias("n_failures")))
+
+
+@query(
+    """WITH m AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 0.0 ELSE c_acctbal END AS a, c_acctbal / 2 AS b FROM customer)
+SELECT c_custkey, ROUND(COALESCE(NULLIF(a, 0), b), 6) AS oos_sharpe, ROUND(b, 6) AS crisis_sharpe, CAST(CASE WHEN b > 0 THEN 1 ELSE 0 END AS DOUBLE) AS regime_pass_ratio FROM m"""
+)
+def candidate_features(spark, sf_dir):
+    a = F.when(F.col("c_custkey") % 4 == 0, 0.0).otherwise(F.col("c_acctbal"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.create_map(F.lit("oos_sharpe"), a, F.lit("sharpe"), F.col("c_acctbal") / 2).alias("bt"), F.create_map(F.lit("crisis"), F.col("c_acctbal") / 2).alias("regimes"))
+    out = selection.regime_features(selection.alias_features(rows, "bt"), "regimes")
+    return rounded(out.select("c_custkey", "oos_sharpe", "crisis_sharpe", "regime_pass_ratio"))
+
+
+@query("SELECT o_orderstatus, 'order_' || LOWER(o_orderstatus) AS event_type, COUNT(*) AS n FROM orders GROUP BY 1, 2 UNION ALL SELECT 'event' AS o_orderstatus, event_type, COUNT(*) AS n FROM events WHERE event_type LIKE 'p%' OR json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1, 2")
+def audit_union(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", F.concat(F.lit("order_"), F.lower("o_orderstatus")).alias("event_type"))
+    events = table(spark, sf_dir, "events").where(F.col("event_type").like("p%") | F.get_json_object("props", "$.k").isNotNull())
+    return orders.unionByName(events.select(F.lit("event").alias("o_orderstatus"), "event_type")).groupBy("o_orderstatus", "event_type").agg(F.count("*").alias("n"))

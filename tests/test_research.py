@@ -199,3 +199,30 @@ def test_entry_without_the_other_operators(spark):
 
     assert set(queries.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns[0] == "benchmark_id"
+
+
+def test_genome(spark):
+    from meridian.operators import genome
+
+    df = spark.createDataFrame([(1, "ts_delta(volume) momentum"), (2, "qqq"), (3, ""), (4, None)], "id int, text string")
+    got = {r.id: r for r in genome.encode(df, "text").collect()}
+    assert got[1].dominant_axis == "momentum" and abs(sum(got[1].genome) - 1) < 1e-12
+    assert got[2].genome == [0.1] * 10 and got[2].dominant_axis == "momentum" and got[2].confidence == 0
+
+
+def test_evidence_gates(spark):
+    df = spark.createDataFrame([("a", [], True, 0.5, None), ("b", ["x=1"], False, 0.9, 0.1), ("c", [], True, 0.9, 0.1)], "id string, gate_failures array<string>, gate_passed boolean, causal_direction_score double, fsi double")
+    got = {r.id: r for r in selection.evidence_gates(df).collect()}
+    assert got["a"].gate_failures == ["causal_direction_score=0.5000 < min=0.6000"] and not got["b"].gate_passed and got["c"].gate_passed
+
+
+def test_table_upserts(spark, tmp_path):
+    from meridian.sources.sinks import Table, config_hash
+
+    t = Table(str(tmp_path / "t"), ("k",), immutable=("made",))
+    assert t.read(spark) is None
+    t.write(spark.createDataFrame([(1, "a", 1.0, None), (2, "b", 2.0, None)], "k int, made string, v double, extra_metrics string"))
+    assert t.write(spark.createDataFrame([(9, 1.0)], "k int, v double"), dry_run=True).count() == 3 and t.read(spark).count() == 2
+    t.write(spark.createDataFrame([(2, "z", 5.0, 7), (3, "c", 3.0, 8)], "k int, made string, v double, note int"))
+    assert sorted((r.k, r.made, r.v, r.extra_metrics) for r in t.read(spark).collect()) == [(1, "a", 1.0, None), (2, "b", 5.0, '{"note":7}'), (3, "c", 3.0, '{"note":8}')]
+    assert config_hash({"a": 1, "description": "x"}) == config_hash({"description": "y", "a": 1}) != config_hash({"a": 2})
