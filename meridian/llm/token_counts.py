@@ -8,8 +8,8 @@ in no chosen piece falls back to its UTF-8 bytes, each ``FALLBACK`` below the lo
 The forward recurrence at a character needs the scores of the prefixes before it alone. So the
 distinct pre-tokens of a task go into a trie, each node holds the best score and count of its
 prefix and is computed once for all pre-tokens below it, and the counts where pre-tokens end
-are kept. Both the trie and the kept counts are emptied when they reach their bounds, which
-costs time and changes nothing. No rows move between tasks.
+are kept, for the later tasks of a worker too. The trie is emptied when it reaches its bound and the
+kept counts are the first ones, which costs time and changes nothing. No rows move between tasks.
 
 Defined results: a null, empty or blank text has no words and no tokens; equal rows and ids each
 give a row; other columns are ignored; an empty table gives no rows.
@@ -98,15 +98,24 @@ class Trie:
             node = to
             best.append(all_best[node])
             tokens.append(all_tokens[node])
-        if len(self.counts) >= KEPT:
-            self.counts.clear()
-        self.counts[word] = tokens[-1]
+        if len(self.counts) < KEPT:
+            self.counts[word] = tokens[-1]
         return tokens[-1]
 
 
-def _counter(scores: dict[str, float]):
+_tries: dict[str, Trie] = {}
+
+
+def _trie(path: str) -> Trie:
+    """The worker's trie of a vocabulary."""
+    if path not in _tries:
+        _tries[path] = Trie(vocabulary(path))
+    return _tries[path]
+
+
+def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(scores)
+        trie = _trie(path)
         get = trie.counts.get
         for big in batches:
             for b in (big.slice(i, 1024) for i in range(0, big.num_rows, 1024)):
@@ -127,4 +136,4 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """id_col, n_words, n_tokens of each row."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(_counter(vocabulary(path)), f"id {kind}, n_words long, n_tokens long").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(_counter(path), f"id {kind}, n_words long, n_tokens long").withColumnRenamed("id", id_col)
