@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm.common import Forest, Words, by_groups, components, cut, in_blocks, mix, shingles
 
-BLOCK = 512  # rows of a sub-block
+BLOCK = 256  # rows of a sub-block
 MISS = 1e-15  # chance that the bands miss a pair at the threshold
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
