@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm.common import Forest, by_groups, components, cut, in_blocks
 
-TABLES, PARTS, PROBES, BLOCK = 10, 2, 2, 512
+TABLES, PARTS, PROBES, BLOCK = 10, 2, 2, 256
 OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
