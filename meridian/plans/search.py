@@ -1,13 +1,15 @@
 """Search of expression trees, planned on the driver.
 
-A tree's snapped weights always take the left child, so it compiles to its leftmost
-leaf: only the terminals and the constant are ever evaluated. They are scored once, in one
+A tree's snapped weights take one child at each node, the left one unless they are trained, so it
+compiles to one leaf: only the terminals and the constant are ever evaluated. They are scored once, in one
 Spark plan, and each tree looks its leaf's score up.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
+import random
 import re
 from dataclasses import dataclass
 
@@ -24,6 +26,7 @@ class Node:
     name: str | None = None
     left: Node | None = None
     right: Node | None = None
+    weight: float = 0.0  # the left child is taken where it is not negative
 
     @property
     def depth(self) -> int:
@@ -31,7 +34,11 @@ class Node:
 
     @property
     def leaf(self) -> str:
-        return self.name if self.name is not None else self.left.leaf
+        return self.name if self.name is not None else (self.left if self.weight >= 0 else self.right).leaf
+
+    @property
+    def leaves(self) -> list[str]:
+        return [self.name] if self.name is not None else [*self.left.leaves, *self.right.leaves]
 
     def __str__(self) -> str:
         return self.name if self.name is not None else f"({self.left}, {self.right})"
@@ -69,6 +76,58 @@ def search(features: DataFrame, terminals: list[str], top_k: int) -> list[tuple[
     return [(str(n), n.leaf, scores.get(n.leaf) or 0.0) for n in ranked[:top_k]]
 
 
+def random_tree(terminals: list[str], depth: int, rng: random.Random, least: int = 2) -> Node:
+    """A tree of at most ``depth``, of ``least`` where that is possible, with random weights."""
+    if depth == 0 or (least <= 0 and rng.random() < 0.3):
+        return Node(rng.choice([*terminals, "1.0"]))
+    return Node(None, random_tree(terminals, depth - 1, rng, least - 1), random_tree(terminals, depth - 1, rng, least - 1), rng.uniform(-1, 1))
+
+
+def _soft(node: Node, scores: dict[str, float], heat: float) -> tuple[float, list[float]]:
+    """The expected leaf score when each node takes its left child with probability sigmoid(weight / heat), and its gradient."""
+    if node.name is not None:
+        return scores.get(node.name) or 0.0, []
+    (a, da), (b, db) = _soft(node.left, scores, heat), _soft(node.right, scores, heat)
+    p = 1 / (1 + math.exp(-max(-60.0, min(60.0, node.weight / heat))))
+    return p * a + (1 - p) * b, [(a - b) * p * (1 - p) / heat, *(p * g for g in da), *((1 - p) * g for g in db)]
+
+
+def _with(node: Node, weights: list[float]) -> Node:
+    """The tree with other weights, in preorder; takes them off the list."""
+    if node.name is not None:
+        return node
+    w = weights.pop(0)
+    return Node(None, _with(node.left, weights), _with(node.right, weights), w)
+
+
+def _weights(node: Node) -> list[float]:
+    return [] if node.name is not None else [node.weight, *_weights(node.left), *_weights(node.right)]
+
+
+def train(node: Node, scores: dict[str, float], steps: int = 50, rate: float = 0.1, hot: float = 2.0, cold: float = 0.1) -> Node:
+    """The tree after Adam steps on its soft score, with a temperature that falls from hot to cold."""
+    w = _weights(node)
+    m, v = [0.0] * len(w), [0.0] * len(w)
+    for t in range(1, steps + 1):
+        heat = hot * (cold / hot) ** (t / steps)
+        _, g = _soft(_with(node, list(w)), scores, heat)
+        for i, x in enumerate(g):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * x, 0.999 * v[i] + 0.001 * x * x
+            w[i] += rate * (m[i] / (1 - 0.9**t)) / (math.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+    return _with(node, w)
+
+
+def gradient_search(features: DataFrame, terminals: list[str], starts: int, top_k: int, depth: int = 4, seed: int = 42) -> list[tuple[str, str, float]]:
+    """Tree, compiled expression and fitness of the best trained random trees; one for each expression."""
+    scores = dict(leaf_scores(features, terminals).groupBy("expression").agg(F.avg("rank_ic")).collect())  # a row for each terminal
+    rng, best = random.Random(seed), {}
+    for _ in range(starts):
+        n = train(random_tree(terminals, depth, rng), scores)
+        best.setdefault(n.leaf, n)
+    ranked = sorted(best.values(), key=lambda n: -(scores.get(n.leaf) or 0.0))
+    return [(str(n), n.leaf, scores.get(n.leaf) or 0.0) for n in ranked[:top_k]]
+
+
 #: Lag of a terminal, in rows; a name that begins with ``future_`` looks ahead.
 DEFAULT_LAG = 1
 
@@ -80,3 +139,17 @@ def lags(node: Node, known: dict[str, int]) -> tuple[int, int, bool]:
         return lag, lag, node.name.startswith("future_")
     a, b = lags(node.left, known), lags(node.right, known)
     return min(a[0], b[0]), max(a[1], b[1]), a[2] or b[2]
+
+
+def safety_proof(node: Node, terminals: list[str], known: dict[str, int]) -> dict:
+    """What a candidate must show before it is evaluated: an allowed expression and no look ahead."""
+    low, high, ahead = lags(node, known)
+    return {"expression": node.leaf, "is_safe": is_safe(node.leaf, terminals), "min_lag": low, "max_lag": high, "looks_ahead": ahead, "passed": is_safe(node.leaf, terminals) and not ahead}
+
+
+def perturbed(base: float, lo: float, hi: float, share: float, n: int, integer: bool = False, log: bool = False) -> list[float]:
+    """n values within ``share`` of ``base``, evenly or evenly in logarithm, held in [lo, hi]; integers once each."""
+    a, b = max(lo, base * (1 - share)), min(hi, base * (1 + share))
+    f = (lambda x: math.exp(math.log(a) + x * (math.log(b) - math.log(a)))) if log and a > 0 else (lambda x: a + x * (b - a))
+    values = [f(i / (n - 1)) if n > 1 else base for i in range(n)]
+    return sorted({float(round(v)) for v in values}) if integer else values

@@ -543,3 +543,15 @@ def audit_union(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderstatus", F.concat(F.lit("order_"), F.lower("o_orderstatus")).alias("event_type"))
     events = table(spark, sf_dir, "events").where(F.col("event_type").like("p%") | F.get_json_object("props", "$.k").isNotNull())
     return orders.unionByName(events.select(F.lit("event").alias("o_orderstatus"), "event_type")).groupBy("o_orderstatus", "event_type").agg(F.count("*").alias("n"))
+
+
+@query()
+def gradient_search(spark, sf_dir):
+    s = series(spark, sf_dir).withColumn("r1", F.col("ret")).withColumn("r5", F.col("signal") * 5)
+    return spark.createDataFrame(search.gradient_search(s, ["r1", "r5"], 20, 3), "tree string, expression string, fitness double")
+
+
+@query()
+def safety_proofs(spark, sf_dir):
+    rows = [{"tree": str(n), **search.safety_proof(n, ["r1", "r5"], {"r1": 1, "r5": 5})} for n in search.trees(["r1", "r5"])]
+    return spark.createDataFrame(rows, "tree string, expression string, is_safe boolean, min_lag int, max_lag int, looks_ahead boolean, passed boolean")

@@ -226,3 +226,38 @@ def test_table_upserts(spark, tmp_path):
     t.write(spark.createDataFrame([(2, "z", 5.0, 7), (3, "c", 3.0, 8)], "k int, made string, v double, note int"))
     assert sorted((r.k, r.made, r.v, r.extra_metrics) for r in t.read(spark).collect()) == [(1, "a", 1.0, None), (2, "b", 5.0, '{"note":7}'), (3, "c", 3.0, '{"note":8}')]
     assert config_hash({"a": 1, "description": "x"}) == config_hash({"description": "y", "a": 1}) != config_hash({"a": 2})
+
+
+def test_training_finds_the_best_leaf():
+    import random
+
+    scores = {"a": 0.1, "b": 0.9, "1.0": 0.0}
+    for seed in range(10):
+        n = search.random_tree(["a", "b"], 3, random.Random(seed))
+        if "b" in n.leaves:
+            assert search.train(n, scores, steps=200).leaf == "b"
+
+
+def test_soft_gradient():
+    import random
+
+    n = search.random_tree(["a", "b"], 3, random.Random(1))
+    scores = {"a": 0.3, "b": -0.4, "1.0": 0.1}
+    value, g = search._soft(n, scores, 1.3)
+    w = search._weights(n)
+    for i in range(len(w)):
+        up = [x + 1e-6 * (k == i) for k, x in enumerate(w)]
+        assert abs((search._soft(search._with(n, up), scores, 1.3)[0] - value) / 1e-6 - g[i]) < 1e-5
+
+
+def test_perturbed():
+    assert search.perturbed(20, 5, 252, 0.3, 5, integer=True) == [14.0, 17.0, 20.0, 23.0, 26.0]
+    out = search.perturbed(1.0, 0.5, 2.0, 0.25, 3, log=True)
+    assert abs(out[1] ** 2 - out[0] * out[2]) < 1e-12 and out[0] == pytest.approx(0.75)
+
+
+def test_report(spark, sf_dir):
+    from meridian.plans.report import selection_report
+
+    text = selection_report(selection.decide(selection.rank(queries.evaluated(spark, sf_dir, queries.WIDE)), queries.WIDE), "r1")
+    assert text.startswith("# Selection r1") and "## Failed gates" in text and "| decision_rank |" in text
