@@ -38,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import cut, shared_dir
+from meridian.llm.common import cut, shared_dir, trimmed
 
 MAGIC, HEAD, BLOCK_IDS = b"MTOK0001", struct.Struct("<8sIIQQQ"), 1 << 14
 NULL_ID = -(2**63)
@@ -49,7 +49,7 @@ TASK_CHARS = 24_000_000  # text of one file, about
 PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\s.,!|?]|\Z)| ?\S+|\s+\Z|\s+(?=\s)|\s")
 #: Characters that are white space here and not in the tokenizer, or may be; their texts are encoded whole.
 ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
-CACHE = 400_000  # pieces that a worker keeps, the first ones it meets
+CACHE = 1_000_000  # pieces that a worker keeps, the first ones it meets
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -199,6 +199,7 @@ class TokenFile:
 
 
 def _writer(folder: str, path: str, end_id: int, bits: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[int] = []
         ids: list[np.ndarray] = []
@@ -234,7 +235,9 @@ def write_tokens(df: DataFrame, path: str, folder: str | None = None, id_col: st
     return cut(cut(made).withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")))
 
 
+@trimmed
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _tokenizers.clear()  # writing is over; later stages need the memory
     for b in batches:
         for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             where, at = fs.FileSystem.from_uri(name)
