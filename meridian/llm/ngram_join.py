@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import Forest, Words, by_groups, components, cut, in_blocks, mix, shingles
+from meridian.llm.common import Forest, Words, by_groups, components, cut, in_blocks, mix, shingles, trimmed
 
 BLOCK = 256  # rows of a sub-block
 MISS = 1e-15  # chance that the bands miss a pair at the threshold
@@ -51,6 +51,7 @@ def _signatures(n: int, rows: int, number: int):
     odd = mix(np.arange(1, rows * number + 1, dtype=np.uint64)) | np.uint64(1)
     xor = mix(odd)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for big in batches:
@@ -103,6 +104,7 @@ def _pieces(at: np.ndarray, total: int, most: int) -> Iterator[tuple[int, int]]:
 
 
 def _sets(n: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for big in batches:

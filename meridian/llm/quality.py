@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import Words, cut, keep_rows, mix, planes, shuffle_partitions, unplanes
+from meridian.llm.common import Words, cut, keep_rows, mix, planes, shuffle_partitions, trimmed, unplanes
 
 BUCKETS, LABELLED, CHUNK, SHRINK, LOST, HEAT = 1 << 20, 20_000, 1 << 14, 3.0, 0.005, 0.001
 COUNTS = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
@@ -56,6 +56,7 @@ def _chunks(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COUNTS, strict=True)], schema=COUNTS)
 
 
+@trimmed
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's counts, in chunks of buckets: kinds 0 and 1 are raw words and pairs, 2 and 3 good labelled ones."""
     known = Words(seed=8)
@@ -71,6 +72,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _chunks(total)
 
 
+@trimmed
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[tuple[int, int], np.ndarray] = {}
     for b in batches:
@@ -95,6 +97,7 @@ def _weigh(raw: list[np.ndarray], target: list[np.ndarray]):
         e = np.maximum(expect[o][u] - c * share[o], 0)
         return float((c * np.log((t + SHRINK) / (e + SHRINK))).sum()) / len(f)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(seed=8)
         for b in _batches(batches, 1024):
