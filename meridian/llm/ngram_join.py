@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import Forest, Words, by_groups, components, cut, in_blocks, mix, shingles, trimmed
+from meridian.llm.common import Forest, Words, by_groups, components, cut, in_blocks, mix, release, shingles, trimmed
 
-BLOCK = 256  # rows of a sub-block
+BLOCK = 512  # rows of a sub-block
 MISS = 1e-15  # chance that the bands miss a pair at the threshold
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -197,6 +197,7 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = reps.select("rep", F.explode("bands").alias("key")).select("rep", low.alias("b")).where("rep <> b").select(F.col("rep").alias("a"), "b")
     blocks = components(stars)
     members = cut(blocks.select(F.col("node").alias("rep"), F.col("component").alias("block")).union(blocks.select(F.col("component").alias("rep"), F.col("component").alias("block")).distinct()))
+    release(df.sparkSession)
     dealt = in_blocks(members, "block", "rep", BLOCK)
     sets = docs.join(members.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi")
     sets = sets.mapInArrow(_sets(n), "rep long, set binary")
