@@ -12,6 +12,7 @@ from meridian.functions.stats import clip, positive_share
 from meridian.operators import backtest, evidence, features, genome, governance, metrics, selection
 from meridian.operators.event_study import abnormal_returns, car_from
 from meridian.plans import search
+from meridian.sources import catalog
 from meridian.sources.tables import candidates, price_panel, return_series, table
 
 DATES = [date(1997, 3, 10), date(1999, 6, 15)]
@@ -555,3 +556,13 @@ def gradient_search(spark, sf_dir):
 def safety_proofs(spark, sf_dir):
     rows = [{"tree": str(n), **search.safety_proof(n, ["r1", "r5"], {"r1": 1, "r5": 5})} for n in search.trees(["r1", "r5"])]
     return spark.createDataFrame(rows, "tree string, expression string, is_safe boolean, min_lag int, max_lag int, looks_ahead boolean, passed boolean")
+
+
+@query(
+    """WITH o AS (SELECT NULLIF(o_orderstatus, 'P') AS status, CASE WHEN o_totalprice > 1000 THEN o_totalprice END AS price FROM orders)
+SELECT 'orders' AS table_name, 'missing_status' AS check_name, COUNT(*) AS n_rows, COUNT(*) - COUNT(status) AS n_bad, COUNT(*) = COUNT(status) AS passed FROM o
+UNION ALL SELECT 'orders' AS table_name, 'null_price' AS check_name, COUNT(*) AS n_rows, COUNT(*) - COUNT(price) AS n_bad, COUNT(*) = COUNT(price) AS passed FROM o"""
+)
+def quality_checks(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.expr("nullif(o_orderstatus, 'P')").alias("status"), F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice")).alias("price"))
+    return catalog.quality_checks(rows, "orders", ["status"], ["price"])

@@ -13,7 +13,7 @@ from meridian import queries
 from meridian.functions import stats
 from meridian.operators import backtest, evidence, features, governance, metrics, selection
 from meridian.plans import search
-from meridian.sources import tables
+from meridian.sources import catalog, tables
 
 NAMES = "region nation customer supplier part orders lineitem events embeddings".split()
 
@@ -261,3 +261,23 @@ def test_report(spark, sf_dir):
 
     text = selection_report(selection.decide(selection.rank(queries.evaluated(spark, sf_dir, queries.WIDE)), queries.WIDE), "r1")
     assert text.startswith("# Selection r1") and "## Failed gates" in text and "| decision_rank |" in text
+
+
+def test_quality_checks_of_an_empty_table(spark):
+    out = catalog.quality_checks(spark.createDataFrame([], "a string, b double"), "t", ["a"], ["b"]).collect()
+    assert [(r.check_name, r.n_rows, r.n_bad, r.passed) for r in out] == [("missing_a", 0, 0, True), ("null_b", 0, 0, True)]
+
+
+def test_sizes_and_partition_plan(spark, tmp_path):
+    import datetime as dt
+
+    rows = spark.createDataFrame([(1, dt.date(2024, 1, 5)), (2, dt.date(2024, 3, 31)), (3, dt.date(2024, 4, 1)), (4, None)], "i int, d date")
+    catalog.write_by_period(rows, "d", 3, str(tmp_path / "t"))
+    back = {r.i: r.period for r in spark.read.option("basePath", str(tmp_path / "t")).parquet(str(tmp_path / "t")).select("i", F.col("period").cast("string")).collect()}
+    assert back == {1: "2024-01", 2: "2024-01", 3: "2024-04", 4: None}
+    sizes = catalog.table_sizes(spark, {"t": str(tmp_path / "t"), "gone": str(tmp_path / "gone")})
+    (r,) = sizes.collect()
+    assert (r.table_name, r.row_count) == ("t", 4) and r.size_bytes > 0
+    registry = spark.createDataFrame([("t", "d", 3, "pending"), ("big", "d", 1, "migrating"), ("x", "d", 1, "done"), ("gone", "d", 6, "pending")], "table_name string, partition_key string, partition_interval int, status string")
+    plan = catalog.partition_plan(registry, sizes.unionByName(spark.createDataFrame([("big", 1_000_001, 5)], sizes.schema)))
+    assert {r.table_name: r.due for r in plan.collect()} == {"t": False, "big": True, "gone": False}
