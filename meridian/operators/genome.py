@@ -93,3 +93,45 @@ def cluster(genomes: DataFrame, k: int, seed: int = 42) -> DataFrame:
     rows = genomes.withColumn("_v", array_to_vector("genome"))
     model = KMeans(featuresCol="_v", predictionCol="cluster", k=k, seed=seed, tol=1e-6).fit(rows)
     return model.transform(rows).drop("_v")
+
+
+# --- proxy series, where no measured ones are at hand ---
+
+#: The generator's multiplier, increment and modulus, and the families' scale and shift.
+MULTIPLIER, INCREMENT, MODULUS = 1664525, 1013904223, 2**32
+TILT = {"momentum": (0.8, 0.1), "value": (0.7, 0.0), "quality": (0.6, 0.05)}
+
+
+def _draws(seed: Column, n: int) -> Column:
+    """Array of structs (t from 1, u in [-1, 1)): draws of a linear congruential generator, each from the seed itself.
+
+    The t-th state is a_t * seed + c_t, so no draw waits for the one before.
+    """
+    a, c, steps = 1, 0, []
+    for t in range(1, n + 1):
+        a, c = a * MULTIPLIER % MODULUS, (c * MULTIPLIER + INCREMENT) % MODULUS
+        steps.append(F.struct(F.lit(t).alias("t"), F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")))
+    # a < 2^32 and the seed < 2^27, so the product stays a long
+    state = lambda s: F.pmod(s["a"] * seed + s["c"], F.lit(MODULUS).cast("long"))
+    return F.transform(F.array(*steps), lambda s: F.struct(s["t"].alias("t"), (state(s) / float(MODULUS) * 2 - 1).alias("u")))
+
+
+def _code_sum(text: Column, most: int) -> Column:
+    """The sum of the code points of the first ``most`` characters; 0 of a null or empty text."""
+    text = F.coalesce(text, F.lit(""))
+    n = F.least(F.length(text), F.lit(most))
+    codes = F.transform(F.sequence(F.lit(1), n), lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("long"))
+    return F.when(n > 0, F.aggregate(codes, F.lit(0).cast("long"), lambda x, y: x + y)).otherwise(F.lit(0).cast("long"))
+
+
+def candidate_proxies(df: DataFrame, id_col: str, text_col: str, n: int = 60, base: int = 99_999) -> DataFrame:
+    """series_id, t, signal: a stand-in series for each formula, seeded by its first 50 characters."""
+    draws = _draws(_code_sum(F.col(text_col), 50) + base, n)
+    return df.select(F.col(id_col).alias("series_id"), F.explode(draws).alias("d")).select("series_id", "d.t", F.col("d.u").alias("signal"))
+
+
+def factor_proxies(spark, n: int = 60, base: int = 12_345) -> DataFrame:
+    """factor, t, x: a stand-in series for each known factor, tilted by its family."""
+    known = spark.createDataFrame([(i, *TILT.get(family, (1.0, 0.0))) for i, family, _, _ in FACTORS], "factor string, scale double, shift double")
+    draws = _draws(_code_sum(F.col("factor"), 1000) + base, n)
+    return known.select("factor", "scale", "shift", F.explode(draws).alias("d")).select("factor", "d.t", (F.col("d.u") * F.col("scale") + F.col("shift")).alias("x"))

@@ -566,3 +566,12 @@ UNION ALL SELECT 'orders' AS table_name, 'null_price' AS check_name, COUNT(*) AS
 def quality_checks(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.expr("nullif(o_orderstatus, 'P')").alias("status"), F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice")).alias("price"))
     return catalog.quality_checks(rows, "orders", ["status"], ["price"])
+
+
+@query(
+    f"""WITH RECURSIVE {FORMULAS}, seeds AS (SELECT s_suppkey, 99999 + SUM(unicode(substr(formula, i, 1))) AS seed FROM (SELECT s_suppkey, formula, UNNEST(range(1, LEAST(50, LENGTH(formula)) + 1)) AS i FROM f) GROUP BY 1),
+r AS (SELECT s_suppkey, 1 AS t, CAST((1664525 * seed + 1013904223) % 4294967296 AS BIGINT) AS state FROM seeds UNION ALL SELECT s_suppkey, t + 1 AS t, CAST((1664525 * state + 1013904223) % 4294967296 AS BIGINT) AS state FROM r WHERE t < 60)
+SELECT s_suppkey AS series_id, t, ROUND(state / 4294967296.0 * 2 - 1, 6) AS signal FROM r"""
+)
+def candidate_proxies(spark, sf_dir):
+    return rounded(genome.candidate_proxies(supplier_formulas(spark, sf_dir), "s_suppkey", "formula"))

@@ -281,3 +281,21 @@ def test_sizes_and_partition_plan(spark, tmp_path):
     registry = spark.createDataFrame([("t", "d", 3, "pending"), ("big", "d", 1, "migrating"), ("x", "d", 1, "done"), ("gone", "d", 6, "pending")], "table_name string, partition_key string, partition_interval int, status string")
     plan = catalog.partition_plan(registry, sizes.unionByName(spark.createDataFrame([("big", 1_000_001, 5)], sizes.schema)))
     assert {r.table_name: r.due for r in plan.collect()} == {"t": False, "big": True, "gone": False}
+
+
+def test_proxy_series_follow_the_generator(spark):
+    from meridian.operators import genome
+
+    def draws(state, n):
+        for _ in range(n):
+            state = (1664525 * state + 1013904223) % 2**32
+            yield state / 2**32 * 2 - 1
+
+    texts = {1: "", 2: "close + r5", 3: "x" * 80, 4: None, 5: "\u4fa1\U0001f600 * vol"}
+    got = genome.candidate_proxies(spark.createDataFrame(list(texts.items()), "i int, f string"), "i", "f").orderBy("series_id", "t").collect()
+    want = [(i, t, u) for i, x in texts.items() for t, u in enumerate(draws(99_999 + sum(map(ord, (x or "")[:50])), 60), 1)]
+    assert [(r.series_id, r.t) for r in got] == [w[:2] for w in want]
+    assert [r.signal for r in got] == pytest.approx([w[2] for w in want], abs=1e-12)
+    x = {(r.factor, r.t): r.x for r in genome.factor_proxies(spark, 7).collect()}
+    assert len(x) == 7 * len(genome.FACTORS)
+    assert x["MOM_12M", 7] == pytest.approx(list(draws(12_345 + sum(map(ord, "MOM_12M")), 7))[-1] * 0.8 + 0.1)
