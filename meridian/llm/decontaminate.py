@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The words of a benchmark item (lower case, punctuation dropped) give its seeds, the
-``SEED``-word n-grams. A first pass over the corpus counts the documents that hold each seed;
-an item keeps those that at most ``RARE`` times as many hold as its median seed, at least half of
-them. A second pass joins passages to items by the kept seeds: the words around the
-seeds that a document shares with an item are aligned with the item, local alignment over
-words with ``MATCH``, ``MISMATCH`` and ``GAP``. The score is the alignment's part of the item's own,
-so copies that are edited or paraphrased in part still score high.
+``SEED``-word n-grams. Passages meet items by any seed, however many documents hold it: the
+words around the seeds that a document shares with an item are aligned with the item, local
+alignment over words with ``MATCH``, ``MISMATCH`` and ``GAP``. The score is the alignment's part of
+the item's own, so copies that are edited or paraphrased in part still score high. An alignment
+is left out only where it cannot reach the bound: its score is at most ``MATCH`` times the item's
+words that the passage holds.
 
 Items go in blocks of at most ``BLOCK_WORDS`` words, and only such a block, never the benchmark,
-is sent to the tasks; each block makes its own two passes over the corpus, which is not
+is sent to the tasks; each block makes its own pass over the corpus, which is not
 shuffled. Seeds that are shared by thousands of documents cost each document its own
 alignment and no more.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm.common import cut, keep_rows
 
-SEED, RARE, MATCH, MISMATCH, GAP, LEAST = 3, 4, 2, -1, -1, 0.5
+SEED, MATCH, MISMATCH, GAP, LEAST = 3, 2, -1, -1, 0.5
 BLOCK_WORDS = 300_000
 PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 FOUND = "doc {0}, h long, item_id long, score double, first_word long, last_word long, n_seeds long"
@@ -55,6 +55,7 @@ class Block:
                 at[code].append((k, pos))
         self.seeds = np.array(sorted(at), np.int64)
         self.places = [at[c] for c in self.seeds.tolist()]
+        self.own = [np.bincount(w) for w in self.words]
         self.sizes = sorted({min(SEED, len(w)) for w in self.words if len(w)})
 
     def codes(self, w: np.ndarray, n: int) -> np.ndarray:
@@ -104,7 +105,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def matches(block: Block, keep: np.ndarray, text: str | None, least: float, memo: dict) -> list[tuple]:
+def matches(block: Block, text: str | None, least: float, memo: dict) -> list[tuple]:
     """(item, score, first word, last word, seeds) of the items that a text holds."""
     w, pos, seed = block.hits(text)
     if not len(pos):
@@ -112,11 +113,15 @@ def matches(block: Block, keep: np.ndarray, text: str | None, least: float, memo
     by_item = defaultdict(list)
     for p, s in zip(pos.tolist(), seed.tolist(), strict=True):
         for k, offset in block.places[s]:
-            if keep[s] or not keep.size:
-                by_item[k].append((p, offset))
+            by_item[k].append((p, offset))
+    held = np.zeros(len(block.numbers) + 1, bool)
+    held[w] = True
+    held[0] = False
     out = []
     for k, at in by_item.items():
         item = block.words[k]
+        if np.count_nonzero(held[item]) < least * len(item):
+            continue
         at.sort()
         best = None
         lo = 0
@@ -133,7 +138,9 @@ def matches(block: Block, keep: np.ndarray, text: str | None, least: float, memo
             if key not in memo:
                 if len(memo) > 20_000:
                     memo.clear()
-                score, end = align(item, part)
+                own = block.own[k]
+                both = np.minimum(own, np.bincount(part[part < len(own)], minlength=len(own)))[1:].sum()
+                score, end = align(item, part) if both >= least * len(item) else (0, 0)
                 begin = len(part) - align(item[::-1], part[::-1])[1] if score >= least * MATCH * len(item) else 0
                 memo[key] = (score, begin, end)
             score, begin, end = memo[key]
@@ -145,24 +152,12 @@ def matches(block: Block, keep: np.ndarray, text: str | None, least: float, memo
     return out
 
 
-def _seed_counts(block: Block):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(block.seeds), np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                total[np.unique(block.hits(t)[2])] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["seed", "n"])
-
-    return run
-
-
-def _find(block: Block, keep: np.ndarray, least: float):
+def _find(block: Block, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for big in batches:
             for b in (big.slice(i, 1024) for i in range(0, big.num_rows, 1024)):
-                rows = [(i, *m) for i, t in enumerate(b.column("text").to_pylist()) for m in matches(block, keep, t, least, memo)]
+                rows = [(i, *m) for i, t in enumerate(b.column("text").to_pylist()) for m in matches(block, t, least, memo)]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -173,19 +168,6 @@ def _find(block: Block, keep: np.ndarray, least: float):
     return run
 
 
-def rare_seeds(block: Block, counts: np.ndarray) -> np.ndarray:
-    """Which seeds to use: for some item, no more than RARE times its median seed's documents."""
-    by_item = defaultdict(list)
-    for s, places in enumerate(block.places):
-        for k, _ in places:
-            by_item[k].append(s)
-    keep = np.zeros(len(block.seeds), bool)
-    for seeds in by_item.values():
-        c = counts[seeds]
-        keep[np.array(seeds)[c <= RARE * max(1.0, float(np.median(c)))]] = True
-    return keep
-
-
 def _blocks(items: DataFrame) -> Iterator[Block]:
     held, n = [], 0
     for i, text in items.toLocalIterator():
@@ -208,10 +190,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = FOUND.format(docs.schema["doc"].dataType.simpleString())
     out = df.sparkSession.createDataFrame([], schema)
     for block in _blocks(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")):
-        counts = np.zeros(len(block.seeds), np.int64)
-        for s, n in docs.select("text").mapInArrow(_seed_counts(block), "seed long, n long").groupBy("seed").agg(F.sum("n")).collect():  # a row for each seed of the block
-            counts[s] = n
-        found = docs.mapInArrow(_find(block, rare_seeds(block, counts), least), schema)
+        found = docs.mapInArrow(_find(block, least), schema)
         out = out.union(cut(found))
     return out.withColumnRenamed("doc", id_col)
 

@@ -79,6 +79,22 @@ def test_decontaminate(spark, docs, monkeypatch, block):
     assert decontaminate.contaminated(df, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("copies", [5, 1000])
+@pytest.mark.parametrize("step", [4, 5])
+def test_decontaminate_edit_held_by_many(spark, docs, copies, step):
+    rnd = random.Random(7)
+    (item, other) = passages(rnd, 2, [f"v{i}" for i in range(400)], 40)
+    edited = " ".join("other" if k % step == step - 1 else x for k, x in enumerate(item.split()))
+    texts = [(k, f"a{k} b{k} {edited} c{k}") for k in range(copies)] + [(5000, item), (5001, "some " + " ".join(item.split()[:4])), (5002, "clean text")]
+    bench = spark.createDataFrame([(0, item), (1, other)], "item_id long, text string")
+    found = decontaminate.contaminated(docs(texts), bench)
+    rows = found.collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(k, 0) for k in range(copies)} | {(5000, 0)}
+    want = brute_align(item.split(), edited.split()) / 80
+    assert all(abs(r.score - (1 if r.doc_id == 5000 else want)) < 1e-12 for r in rows)
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs(texts), found).collect()) == [5001, 5002]
+
+
 def test_warc_round_trip(spark):
     page = "<html><head><title>A &amp; B</title><script>no</script></head><body><!-- x --><p>one<br>two&lt;3</p><a href='/l?a=1&amp;b=2'>link</a></body></html>"
     rows = [(1, "http://e.org/a", page, "q"), (2, None, None, "q"), (3, "http://e.org/b\r\nX: y", "", "q"), (4, "http://e.org/c", "<p>" + "x" * 200_000, "q"), (1, "http://e.org/a", page, "q"), (None, "u", "plain", "q")]
