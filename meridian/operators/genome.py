@@ -23,6 +23,7 @@ KEYWORDS: dict[str, list[tuple[str, float]]] = {
     "credit_leverage": [("credit", 2.0), ("leverage", 2.0), ("debt", 1.5), ("default", 1.5), ("cds", 2.0), ("hyg", 1.5), ("hy_", 1.5), ("ig_", 1.5), ("spread_credit", 2.0), ("margin_", 1.0), ("net_debt", 1.5), ("interest_cover", 1.5), ("financial_stress", 2.0), ("z_score_altman", 2.0)],
 }
 AXES = tuple(KEYWORDS)
+BLOCK = 1024  # distinct genomes in a block that is compared at once
 
 #: Known factors, their families, keywords and usual crowding.
 FACTORS: list[tuple[str, str, list[str], float]] = [
@@ -77,12 +78,53 @@ def factor_matches(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_f", F.explode(F.array(*each))).select(*df.columns, "_f.*")
 
 
+def members(genomes: DataFrame, id_col: str) -> DataFrame:
+    """id, representative (the first id of its genome), genome; rows without an id or a genome are left out."""
+    known = genomes.where(F.col(id_col).isNotNull() & F.col("genome").isNotNull()).select(F.col(id_col).alias("id"), "genome").distinct()
+    return known.join(known.groupBy("genome").agg(F.min("id").alias("representative")), "genome").select("id", "representative", "genome")
+
+
 def similar(genomes: DataFrame, id_col: str, least: float = 0.90) -> DataFrame:
-    """a < b, similarity of the genomes of one dominant axis that reach ``least`` in cosine; equal genomes meet once, by their first id."""
-    one = genomes.groupBy("genome", "dominant_axis").agg(F.min(id_col).alias("id"))
-    a, b = (one.select("dominant_axis", F.col("id").alias(x), F.col("genome").alias(f"g{x}")) for x in "ab")
-    pairs = a.join(b, "dominant_axis").where("a < b").select("a", "b", cosine(F.col("ga"), F.col("gb")).alias("similarity"))
-    return pairs.where(F.col("similarity") >= least)
+    """a < b, similarity of the distinct genomes, each by its first id, that reach ``least`` in cosine.
+
+    All are compared: the genomes are split into blocks of about ``BLOCK`` and all pairs of blocks are
+    dealt out, so a task holds two blocks. ``members`` tells which ids a first id stands for.
+    """
+    import numpy as np
+    import pandas as pd
+
+    one = genomes.where(F.col("genome").isNotNull()).groupBy("genome").agg(F.min(id_col).alias("id")).where("id is not null")
+    blocks = one.crossJoin(F.broadcast(one.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("nb"))))
+    blocks = blocks.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = blocks.select("id", "genome", "blk", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (pdf[pdf["blk"] == pdf[k].iloc[0]] for k in ("bi", "bj"))
+        gx, gy = (np.array(p["genome"].tolist(), float).reshape(len(p), -1) for p in (x, y))
+        if not len(x) or not len(y):
+            return pd.DataFrame({"x": x["id"][:0], "y": y["id"][:0], "similarity": np.zeros(0)})
+        dot, nx, ny = np.zeros((len(x), len(y))), np.zeros(len(x)), np.zeros(len(y))
+        for u, v in zip(gx.T, gy.T, strict=True):  # axis by axis, as the sums of ``cosine``
+            dot += np.outer(u, v)
+            nx, ny = nx + u * u, ny + v * v
+        n = np.outer(np.sqrt(nx), np.sqrt(ny))
+        s = np.where(n > 1e-15, np.clip(dot / np.where(n > 1e-15, n, 1), -1, 1), 0.0)
+        near = s >= least
+        i, j = np.nonzero(np.triu(near, 1) if pdf["bi"].iloc[0] == pdf["bj"].iloc[0] else near)
+        return pd.DataFrame({"x": x["id"].to_numpy()[i], "y": y["id"].to_numpy()[j], "similarity": s[i, j]})
+
+    kind = one.schema["id"].dataType.simpleString()
+    pairs = dealt.groupBy("bi", "bj").applyInPandas(compare, f"x {kind}, y {kind}, similarity double")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").where("a < b")
+
+
+def near_duplicates(genomes: DataFrame, id_col: str, least: float = 0.90) -> DataFrame:
+    """a < b, similarity, equal: the pairs of ``similar``, and where equal each other id b of the genome of a first id a.
+
+    Two ids reach ``least`` where they have the same first id or their first ids are a pair.
+    """
+    same = members(genomes, id_col).where("representative < id").select(F.col("representative").alias("a"), F.col("id").alias("b"), cosine(F.col("genome"), F.col("genome")).alias("similarity"))
+    return similar(genomes, id_col, least).withColumn("equal", F.lit(False)).unionByName(same.where(F.col("similarity") >= least).withColumn("equal", F.lit(True)))
 
 
 def cluster(genomes: DataFrame, k: int, seed: int = 42) -> DataFrame:

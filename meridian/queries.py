@@ -508,7 +508,7 @@ def genome_clusters(spark, sf_dir):
 
 @query()
 def genome_near_duplicates(spark, sf_dir):
-    return rounded(genome.similar(genome.encode(supplier_formulas(spark, sf_dir), "formula"), "s_suppkey"))
+    return rounded(genome.near_duplicates(genome.encode(supplier_formulas(spark, sf_dir), "formula"), "s_suppkey"))
 
 
 @query()

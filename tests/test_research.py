@@ -299,3 +299,36 @@ def test_proxy_series_follow_the_generator(spark):
     x = {(r.factor, r.t): r.x for r in genome.factor_proxies(spark, 7).collect()}
     assert len(x) == 7 * len(genome.FACTORS)
     assert x["MOM_12M", 7] == pytest.approx(list(draws(12_345 + sum(map(ord, "MOM_12M")), 7))[-1] * 0.8 + 0.1)
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_near_genomes_against_all_pairs(spark, monkeypatch, block):
+    from meridian.operators import genome
+
+    monkeypatch.setattr(genome, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    words = [k for a in genome.AXES for k, _ in genome.KEYWORDS[a]]
+    texts = [" + ".join(rng.choice(words, rng.integers(1, 5))) for _ in range(60)]
+    texts += texts[:20] + ["vol + volume + zscore", "zscore * zscore + vol + volume", "qqq", "zzz", None]
+    rows = genome.encode(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text").cache()
+    g = {r.id: (r.genome, r.dominant_axis) for r in rows.collect()}
+
+    def cos(x, y):  # the reference's
+        d, nx, ny = (sum(a * b for a, b in zip(u, v, strict=True)) for u, v in ((x, y), (x, x), (y, y)))
+        return min(1.0, d / (math.sqrt(nx) * math.sqrt(ny)))
+
+    want = {(a, b): cos(g[a][0], g[b][0]) for a in g for b in g if a < b}
+    want = {k: v for k, v in want.items() if v >= 0.9}
+    assert any(g[a][1] != g[b][1] for a, b in want)
+    out = genome.near_duplicates(rows, "id").collect()
+    first = {i: i for i in g} | {r.b: r.a for r in out if r.equal}
+    assert first == {r.id: r.representative for r in genome.members(rows, "id").collect()}
+    near = {(r.a, r.b): r.similarity for r in out if not r.equal}
+    assert len(near) + sum(r.equal for r in out) == len(out)
+    got = {}
+    for a in g:
+        for b in g:
+            x, y = sorted((first[a], first[b]))
+            if a < b and (x == y or (x, y) in near):
+                got[a, b] = near.get((x, y), 1.0)
+    assert got == pytest.approx(want, abs=1e-12)
