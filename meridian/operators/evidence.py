@@ -111,7 +111,8 @@ def token_jaccard(df: DataFrame, id_col: str, text_col: str, least: float) -> Da
 def novelty(targets: DataFrame, references: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, nearest reference (the lesser id on a tie), similarity (6 places) and novelty = 1 - similarity.
 
-    ``references`` is a stated, small set; every target is compared with it where it is.
+    Every target is compared with every reference but its own id. Spark sends one side whole only where it
+    is under its broadcast limit; larger ones meet partition by partition.
     """
     r = references.select(F.col(id_col).alias("ref"), F.col(vector_col).alias("rv"))
     pairs = targets.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(r, F.col("id") != F.col("ref"))

@@ -359,6 +359,16 @@ def novelty_scores(spark, sf_dir):
     return rounded(evidence.novelty(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding"))
 
 
+@query(
+    """WITH v AS (SELECT vec_id, embedding AS e FROM embeddings), p AS (SELECT a.vec_id AS id, b.vec_id AS ref, ROUND((SELECT SUM(CAST(x AS DOUBLE) * y) / SQRT(SUM(CAST(x AS DOUBLE) * x)) / SQRT(SUM(CAST(y AS DOUBLE) * y)) FROM (SELECT UNNEST(a.e) AS x, UNNEST(b.e) AS y)), 6) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY s DESC, ref) AS k FROM p)
+SELECT id, ref AS nearest, s AS similarity, ROUND(1 - s, 6) AS novelty FROM r WHERE k = 1"""
+)
+def novelty_among_all(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return rounded(evidence.novelty(v.where("vec_id % 50 = 0"), v, "vec_id", "embedding"))
+
+
 @query(
     f"""WITH {RETURNS}, f AS (SELECT * FROM (SELECT 'market' AS factor, t, AVG(ret) AS x FROM series GROUP BY 2) UNION ALL SELECT 'urgent' AS factor, t, ret AS x FROM series WHERE series_id LIKE '1%'),
 g AS (SELECT series_id, factor, COUNT(*) AS n, AVG(x) AS mx, AVG(ret) AS my, VAR_POP(x) AS vx, VAR_POP(ret) AS vy, COVAR_POP(x, ret) AS c FROM series JOIN f USING (t) GROUP BY 1, 2)

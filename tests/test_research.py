@@ -332,3 +332,15 @@ def test_near_genomes_against_all_pairs(spark, monkeypatch, block):
             if a < b and (x == y or (x, y) in near):
                 got[a, b] = near.get((x, y), 1.0)
     assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_novelty_finds_a_copy_of_any_id(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(120, 8)).round(3)
+    x[57] = x[50]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.id: r for r in queries.QUERIES["novelty_among_all"](spark, str(tmp_path)).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    assert set(got) == {0, 50, 100} and (got[50].nearest, got[50].novelty) == (57, 0)
+    assert all(got[i].nearest == s[i].argmax() and abs(got[i].similarity - s[i].max()) < 1e-5 for i in got)
