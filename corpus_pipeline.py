@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm import decontaminate, mixing, ngram_join, quality, token_file
-from meridian.llm.common import read, shared_dir, ship, unused
+from meridian.llm.common import cut, read, shared_dir, ship, unused
 
 SHINGLE, PERCENT = 5, 80
 
@@ -28,13 +28,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose id names it. Of equal rows, and of rows of one id, one stays."""
+    """One document of each group: that of the smallest id, null ids last. Of rows of equal ids and texts one stays.
+
+    Rows are joined by a key: their id, or a hash of id and text where the id is null or has several texts.
+    """
     ship(spark)
-    found = ngram_join.ngram_jaccard(docs, n=SHINGLE, percent=PERCENT)
-    (i,) = unused(docs, "_i")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(i)).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col(i), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    i, k = unused(docs, "_i", "_k")
+    row = F.xxhash64(F.lit(10), F.col("doc_id"), F.col("text"))
+    seen = docs.groupBy("doc_id").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    shared = cut(seen.where("doc_id is null or lo <> hi").select(F.col("doc_id").alias(i)))
+    if plain := shared.isEmpty():
+        keyed = docs.withColumn(k, F.col("doc_id"))
+    else:
+        known = docs.where("doc_id is not null").join(shared, F.col("doc_id") == F.col(i), "left")
+        known = known.withColumn(k, F.when(F.col(i).isNull(), F.col("doc_id")).otherwise(row)).drop(i)
+        keyed = known.unionByName(docs.where("doc_id is null").withColumn(k, row))
+    found = ngram_join.ngram_jaccard(keyed, id_col=k, n=SHINGLE, percent=PERCENT)
+    if plain:
+        kept = found.where(F.col(k) == F.col("component_id")).select(F.col(k).alias(i)).distinct()
+    else:
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(k).alias("key")))
+        kept = found.select(k, F.col("component_id").alias(i)).join(keyed.select(k, "doc_id").distinct(), k).groupBy(i).agg(first.alias("first")).select(F.col("first.key").alias(i))
+    return keyed.join(kept, F.col(k) == F.col(i), "left_semi").dropDuplicates([k]).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

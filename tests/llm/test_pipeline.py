@@ -32,3 +32,19 @@ def test_pipeline(spark, sf_dir):
     last = p.STAGES[-1][1](spark, at, sf_dir)
     assert last.count() == len(rows)
     assert p.run(spark, sf_dir).count() > 0
+
+
+def test_texts_decide_which_near_copies_stay(spark, docs):
+    import corpus_pipeline as p
+
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(5, text("a")), (7, text("a") + " x"), (7, text("b")), (None, text("a") + " y"), (None, text("c")), (None, text("c") + " z"), (None, text("d"))]
+    rows += [(9, text("e")), (9, text("e")), (9, text("f")), (11, text("f") + " w"), (12, None), (None, None), (None, None), (13, text("g")), (14, text("g") + " v")]
+    for n in (1, 3):
+        out = [(r.doc_id, r.text) for r in p.near_copies_stage(spark, docs(rows).repartition(n), None).collect()]
+        c = [t for i, t in out if i is None and t and t.startswith("c0 ")]
+        assert len(c) == 1
+        want = [(5, text("a")), (7, text("b")), (None, c[0]), (None, text("d")), (9, text("e")), (9, text("f")), (12, None), (None, None), (13, text("g"))]
+        assert sorted(out, key=str) == sorted(want, key=str)
+    plain = [r for r in rows if r[0] in (5, 11, 12, 13, 14)]
+    assert {r.doc_id for r in p.near_copies_stage(spark, docs(plain), None).collect()} == {5, 11, 12, 13}
