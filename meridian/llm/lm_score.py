@@ -13,14 +13,17 @@ As an automaton: each word h is a state, as are the start and the empty context.
 has an arc with weight log p(w | h) for each word seen after h, and a failure arc with
 weight log k(h) to the empty state, which has an arc log p(w) for each word and
 for the unknown one. A traversal from left to right takes the arc, or the failure arc
-and then an arc of the empty state, and carries the word as its next state.
+and then an arc of the empty state, and carries the word as its next state. ``Automaton``
+does that for tests. The query needs neither failure arcs nor a carried state: a bigram's
+state is the word before, so ``_traverse`` evaluates the weight of each distinct pair of
+state and word in closed form and adds the weights up by document.
 
 The automaton grows with the corpus, so no task holds all of it. Documents are dealt out
 in blocks of about ``BLOCK_CHARS``. Each block asks the shards of the n-gram
 space, by sorted hashes, for the n-grams that its documents hold and tells their
 training counts; each shard adds the counts up and answers in the order of the
-question; each block then builds the part of the automaton that its
-documents can reach and runs them through it. N-grams go by 64-bit hashes.
+question; each block then evaluates the arcs that its documents take.
+N-grams go by 64-bit hashes.
 
 Defined results: a null or empty text is the end alone; a null id counts as the empty
 text in the split; each row gives one row; other columns are ignored; an empty table
