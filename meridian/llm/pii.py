@@ -8,14 +8,18 @@ a cue, a parser that looks at nothing but the text around it finds the borders:
   place where they can lie, and each kind is read there, left to right;
 * url: scheme, ``://`` and what follows up to white space or a quote;
 * secret, account: an identifier word (password, token, api key, iban, account, ssn and
-  so on), a separator, and a value with a digit in it.
+  so on) in any case, a separator, and a value with a digit in it;
+* key: the fixed beginnings of public kinds of access keys, and their letters and digits; a
+  private key's first line.
 
 The base kinds equal the leftmost non-overlapping matches of their expressions over
 the whole text. Spans are in code points, the end exclusive, ordered by start and then by
 the order of ``KINDS``.
 
+Each parser reads a character a bounded number of times, so a text costs time in proportion to its length, whatever it holds.
+
 Defined results: a null or empty text has no spans; each row gives one row, so equal
-rows and ids stay; other columns are ignored; an empty table gives no rows.
+rows and ids stay; a very long text is read whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "secret", "account")
+KINDS = (*BASE, "url", "secret", "account", "key")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")  # the base matches are the fours of its parts, from the left
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 REST = re.compile(r"[^0-9+().\x20-]")
@@ -44,7 +48,12 @@ NUMBER = re.compile(r"[\s:#=.]{1,4}([A-Z]{0,2}[0-9][0-9A-Z]*(?:[\x20-][0-9A-Z]*[
 SECRETS = ("password", "passwd", "token", "secret", "api_key", "api-key", "apikey", "access_key")
 ACCOUNTS = ("iban", "account", "acct", "ssn", "passport")
 SCHEMES = ("http", "https", "ftp")
+#: fixed beginnings of access keys, and the least number of letters and digits that follow
+KEYS = {"AKIA": 16, "ASIA": 16, "ghp_": 30, "gho_": 30, "github_pat_": 30, "glpat-": 20, "sk-": 20, "sk_live_": 16, "xoxb-": 20, "xoxp-": 20, "AIza": 30, "-----BEGIN ": 0}
+KEY_REST = re.compile(r"[A-Za-z0-9_-]*+")
+PEM = re.compile(r"[A-Z ]{0,40}PRIVATE KEY-----")
 RUN = frozenset("0123456789+(). -")
+CASE = {c: c + 32 for c in range(65, 91)}
 
 
 def luhn(digits: str) -> bool:
@@ -58,14 +67,19 @@ def automaton() -> ahocorasick.Automaton:
         a.add_word(d, ("digit", 1))
     a.add_word("@", ("at", 1))
     a.add_word("://", ("scheme", 3))
-    for kind, cues in (("secret", SECRETS), ("account", ACCOUNTS)):
+    for kind, cues in (("secret", SECRETS), ("account", ACCOUNTS), ("key", KEYS)):
         for w in cues:
-            for form in {w, w.upper(), w.capitalize()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(w.lower(), (kind, len(w)))
     a.make_automaton()
     return a
 
 
+def lower(text: str) -> str:
+    """A-Z lower-cased; other characters as they are where lower case would move them."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(CASE)
+
+
 def _number_run(text: str, i: int) -> tuple[int, int]:
     """The maximal run of phone and card characters around position i."""
     lo = i
@@ -78,9 +92,14 @@ def _number_run(text: str, i: int) -> tuple[int, int]:
 def _numbers(text: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
     part = text[lo:hi]
     if part.count(".") >= 3:
-        for m in IP.finditer(part):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
-                yield lo + m.start(), 1, lo + m.end()
+        for m in DOTTED.finditer(part):
+            numbers, at = m[0].split("."), lo + m.start()
+            for k in range(0, len(numbers) - 3, 4):
+                four = numbers[k : k + 4]
+                end = at + sum(map(len, four)) + 3
+                if all(len(x := n.lstrip("0")) <= 3 and int(x or "0") <= 255 for n in four):
+                    yield at, 1, end
+                at = end + 1
     if hi - lo >= 9:
         for m in CARD.finditer(part):
             d = m[0].replace(" ", "").replace("-", "")
@@ -97,8 +116,8 @@ def find(text: str | None, cues: ahocorasick.Automaton) -> list[tuple[int, int,
     if not text:
         return []
     out: list[tuple[int, int, int]] = []
-    digits_to = email_to = url_to = secret_to = account_to = 0
-    for at, (cue, size) in cues.iter(text):
+    digits_to = email_to = url_to = secret_to = account_to = key_to = 0
+    for at, (cue, size) in cues.iter(lower(text)):
         if cue == "digit":
             if at >= digits_to:
                 lo, digits_to = _number_run(text, at)
@@ -120,6 +139,14 @@ def find(text: str | None, cues: ahocorasick.Automaton) -> list[tuple[int, int,
             if at >= secret_to and (m := VALUE.match(text, at + 1)):
                 secret_to = m.end(1)
                 out.append((m.start(1), 5, secret_to))
+        elif cue == "key":
+            lo = at - size + 1
+            name = text[lo : at + 1]
+            if name in KEYS and lo >= key_to and not (lo and text[lo - 1].isalnum()):
+                m = PEM.match(text, at + 1) if name.startswith("-") else KEY_REST.match(text, at + 1)
+                if m and len(m[0]) >= KEYS[name]:
+                    key_to = m.end()
+                    out.append((lo, 7, key_to))
         elif at >= account_to and (m := NUMBER.match(text, at + 1)):
             account_to = m.end(1)
             out.append((m.start(1), 6, account_to))
@@ -155,7 +182,7 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 
 def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the SHA-256 of the base spans, and all spans as text."""
+    """Counts of the base kinds, the SHA-256 of the base spans, all spans as text, and the number of all but addresses of pages."""
     one = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
@@ -164,6 +191,7 @@ def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(F.array_join(F.transform(base, one), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", one), ",").alias("spans"),
+        F.size(F.filter("spans", lambda x: x["kind"] != "url")).cast("long").alias("n_private"),
     )
 
 
