@@ -1,18 +1,19 @@
-"""Token counts by unigram segmentation with a trie that shares prefixes.
+"""Token counts by unigram segmentation with a trie that shares prefixes, under stand-in scores by rank.
 
 A pre-token is a word ``[^\\x20\\x09-\\x0D]+`` behind the mark U+2581. Its tokens are the
 segmentation into pieces of a public vocabulary with the largest sum of scores, with fewer tokens
-on a tie. The vocabulary's pieces are ranked, and a piece of rank r scores -ln(r + 1); a character
-in no chosen piece falls back to its UTF-8 bytes, each ``FALLBACK`` below the lowest piece.
+on a tie. No public unigram vocabulary is at hand and none is trained, so the pieces of a public BPE vocabulary
+stand in: a piece of rank r scores -ln(r + 1). A character in no chosen piece falls back to its UTF-8
+bytes, each ``FALLBACK`` below the lowest piece.
 
 The forward recurrence at a character needs the scores of the prefixes before it alone. So the
 distinct pre-tokens of a task go into a trie, each node holds the best score and count of its
 prefix and is computed once for all pre-tokens below it, and the counts where pre-tokens end
-are kept, for the later tasks of a worker too. The trie is emptied when it reaches its bound and the
-kept counts are the first ones, which costs time and changes nothing. No rows move between tasks.
+are kept, for the later tasks of a worker too. The trie is emptied when it reaches its bound, within a word
+too, and the kept counts are the first ones, which costs time and changes nothing. No rows move between tasks.
 
-Defined results: a null, empty or blank text has no words and no tokens; equal rows and ids each
-give a row; other columns are ignored; an empty table gives no rows.
+Defined results: a null, empty or blank text has no words and no tokens; a very long word is segmented whole;
+equal rows and ids each give a row; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK, FALLBACK, NODES, KEPT, LONG = "▁", 10.0, 400_000, 400_000, 200
+MARK, FALLBACK, NODES, KEPT = "▁", 10.0, 400_000, 400_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -81,17 +82,15 @@ class Trie:
         if len(self.best) > NODES:
             self._clear()
         best, tokens = [0.0], [0]
-        if len(word) > LONG:  # not shared
-            for d in range(1, len(word) + 1):
-                b, t = self._step(word, d, best, tokens)
-                best.append(b)
-                tokens.append(t)
-            return tokens[-1]
         node, follow, all_best, all_tokens = 0, self.next, self.best, self.tokens
         for d, c in enumerate(word, 1):
             to = follow.get((node, c))
             if to is None:
                 b, t = self._step(word, d, best, tokens)
+                if len(all_best) > NODES:  # the rest of the word hangs on a node that no other word meets
+                    self._clear()
+                    follow, all_best, all_tokens = self.next, self.best, self.tokens
+                    node = -1
                 to = follow[node, c] = len(all_best)
                 all_best.append(b)
                 all_tokens.append(t)
