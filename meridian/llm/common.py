@@ -21,6 +21,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +43,30 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one of its own is set only where none is."""
+    """The checkpoint folder of the session. Where none is set, a local session gets one of its own; a cluster must name one."""
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if not at.isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         at = sc._jsc.sc().getCheckpointDir()
     return at.get()
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a Hadoop URI, and the path in it. Hadoop's names of the S3 connector are those of ``s3:``."""
+    scheme, sep, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if sep and scheme in ("s3a", "s3n") else uri)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark writes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes ``df`` once and keeps it in the shared folder."""
     shared_dir(df.sparkSession)
@@ -133,12 +149,13 @@ class Words:
             self._clear()
         ids = np.fromiter(map(self.ids.__getitem__, w), np.int64, len(w))
         if (n := len(self.ids)) > (have := len(self.hashes)):
-            new = list(self.ids)[have:] if have * 4 < n else _tail(self.ids, n - have)
+            new = list(self.ids)[have:] if have * 4 < n else tail(self.ids, n - have)
             self.hashes = np.concatenate([self.hashes, np.fromiter((xxhash.xxh3_64_intdigest(x, self.seed) for x in new), np.uint64, n - have)])
         return self.hashes[ids]
 
 
-def _tail(d: dict, k: int) -> list:
+def tail(d: dict, k: int) -> list:
+    """The last ``k`` keys of a dict, in order."""
     it = reversed(d)
     out = [next(it) for _ in range(k)]
     out.reverse()

@@ -14,7 +14,7 @@ random part; the manifest it returns names the files of the successful tasks.
 Defined results: a null or empty page is a response with an empty payload and gives both
 derivatives with empty text; a null URI leaves WARC-Target-URI out; equal rows give equal records; a
 null page id is written as an empty word in the record's name; other columns are ignored; an empty table gives no
-records; a response whose block has no HTTP head is all payload.
+records; a response whose block has no HTTP head is all payload. A very long or malformed page is read whole, see ``Page``.
 """
 
 from __future__ import annotations
@@ -29,18 +29,19 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import cut, shared_dir
+from meridian.llm.common import cut, file_system, shared_dir
 
 DATE = "1970-01-01T00:00:00Z"
-DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<[!?][^>]*>", re.S | re.I)
-BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|title|tr|ul)\b[^>]*>", re.I)
-TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
+OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+QUOTE = re.compile("[>\"']")
+HREF = re.compile(r"(?:^|[\s\"'/])href\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"']\S*+))", re.I)
+#: fixed element names: those whose content is no text, and those that start a line
+RAW = frozenset("script style noscript template".split())
+BREAK = frozenset("address article aside blockquote br dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table title tr ul".split())
+CLOSE = {name: re.compile(rf"</{name}\s*+>", re.I) for name in (*RAW, "title")}
 FIELDS = pa.schema(
     [
         ("page_id", pa.int64()),
@@ -122,11 +123,91 @@ def split_http(block: bytes) -> tuple[list[str], bytes]:
     return head.decode("utf-8", "replace").split("\r\n"), payload
 
 
-def plain_text(page: str) -> str:
-    """The text of an HTML page: a line for each block element, white space collapsed."""
-    body = TAG.sub("", BREAK.sub("\n", DROP.sub("", page)))
-    lines = (" ".join(x.split()) for x in html.unescape(body).split("\n"))
-    return "\n".join(x for x in lines if x)
+class Page:
+    """What one pass over a page finds: its text, title (None without one) and links.
+
+    A tag ends at the first ``>`` outside of its quoted values, or at the first of all where its quotes do not close.
+    Comments, declarations and the content of ``RAW`` elements are no text; one that is not closed, and a tag
+    without an end, loses no more than its own mark. What was searched for in vain is not searched for again, so a page
+    costs time in proportion to its length, however it is formed.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.title, self.links = page, None, []
+        self.never: set[str] = set()  # what does not occur any more
+        self.text = self._read()
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self.never:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.never.add(what)
+        return found
+
+    def _close(self, name: str, at: int) -> re.Match | None:
+        if name in self.never:
+            return None
+        found = CLOSE[name].search(self.page, at)
+        if not found:
+            self.never.add(name)
+        return found
+
+    def _end(self, at: int) -> int:
+        """The end of a tag whose name ends at ``at``; -1 if no ``>`` is left."""
+        first, i = self._find(">", at), at
+        while first >= 0 and "quotes" not in self.never:
+            m = QUOTE.search(self.page, i)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.end()
+            # a quote opens a value only behind an equals sign
+            i = m.end()
+            if self.page[max(at, m.start() - 8) : m.start()].rstrip().endswith("="):
+                i = self.page.find(m[0], m.end()) + 1
+                if not i or self.page.find(">", i) < 0:
+                    self.never.add("quotes")
+        return first + 1 if first >= 0 else -1
+
+    def _read(self) -> str:
+        page, out, at = self.page, [], 0
+        title_from = None
+        while m := OPEN.search(page, at):
+            out.append(page[at : m.start()])
+            at = m.end()
+            name = (m[2] or "").lower()
+            if not name:
+                end = self._find("-->" if m[0] == "<!--" else ">", at)
+                if end < 0 and m[0] == "<!--":
+                    end = self._find(">", at)
+                    at = end + 1 if end >= 0 else at
+                elif end >= 0:
+                    at = end + (3 if m[0] == "<!--" else 1)
+                elif m[0] != "<!--":
+                    out.append(m[0])
+                continue
+            end = self._end(at)
+            if end < 0:
+                out.append(page[m.start() : at])
+                continue
+            attributes, at = page[at : end - 1], end
+            if name in BREAK:
+                out.append("\n")
+            if not m[1] and name in RAW:
+                if close := self._close(name, at):
+                    at = close.end()
+            elif not m[1] and name == "a":
+                if link := HREF.search(attributes):
+                    self.links.append(" ".join(html.unescape(next(x for x in (*link.groups(), "") if x is not None)).split()))
+            elif name == "title" and self.title is None:
+                if not m[1] and title_from is None:
+                    title_from = len(out) if self._close(name, at) else None
+                elif m[1] and title_from is not None:
+                    self.title = " ".join(html.unescape("".join(out[title_from:])).split())
+        out.append(page[at:])
+        lines = (" ".join(x.split()) for x in html.unescape("".join(out)).split("\n"))
+        return "\n".join(x for x in lines if x)
 
 
 def derive(headers: dict[str, str], block: bytes) -> list[dict]:
@@ -140,13 +221,13 @@ def derive(headers: dict[str, str], block: bytes) -> list[dict]:
     source = headers.get("warc-record-id", "")
     ids = {kind: urn(f"{kind} of {source}") for kind in ("metadata", "conversion")}
     digests = headers.get("warc-block-digest") or digest(block), headers.get("warc-payload-digest") or digest(payload)
-    title = TITLE.search(page)
+    read = Page(page)
     fields = [f"conversion: {ids['conversion']}", f"source-block-digest: {digests[0]}", f"source-payload-digest: {digests[1]}", *(f"http-header: {x}" for x in http)]
-    if title:
-        fields.append("title: " + " ".join(html.unescape(TAG.sub("", title[1])).split()))
-    fields += ["outlink: " + " ".join(html.unescape(next(x for x in (*m.groups(), "") if x is not None)).split()) for m in LINK.finditer(DROP.sub("", page))]
+    if read.title is not None:
+        fields.append(f"title: {read.title}")
+    fields += [f"outlink: {x}" for x in read.links]
     meta = "".join(f"{x}\r\n" for x in fields)
-    text = plain_text(page)
+    text = read.text
     out = []
     for kind, content, other, body in (("metadata", "application/warc-fields", ids["conversion"], meta), ("conversion", "text/plain; charset=utf-8", ids["metadata"], text)):
         raw = body.encode("utf-8", "replace")
@@ -214,7 +295,7 @@ def _write(folder: str):
         for b in batches:
             for row in b.to_pylist():
                 if out is None:
-                    where, at = fs.FileSystem.from_uri(name)
+                    where, at = file_system(name)
                     where.create_dir(at.rsplit("/", 1)[0], recursive=True)
                     out = where.open_output_stream(at, compression=None)
                 out.write(gzip.compress(record_bytes(row), 6, mtime=0))

@@ -1,4 +1,7 @@
+import html
 import random
+import re
+import time
 
 import pytest
 
@@ -117,6 +120,49 @@ def test_warc_round_trip(spark):
     assert warc.derivatives(df.where("false")).count() == 0
 
 
+OLD_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<[!?][^>]*>", re.S | re.I)
+OLD_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|title|tr|ul)\b[^>]*>", re.I)
+OLD_TAG = re.compile(r"</?[a-zA-Z][^>]*>")
+
+
+def expression_text(page):
+    """The text of a well-formed page without ``>`` in values, by expressions."""
+    lines = (" ".join(x.split()) for x in html.unescape(OLD_TAG.sub("", OLD_BREAK.sub("\n", OLD_DROP.sub("", page)))).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def test_pages_against_expressions(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        assert warc.Page(r.html or "").text == expression_text(r.html or "")
+    rnd = random.Random(8)
+
+    def element(depth):
+        if not depth or rnd.random() < 0.3:
+            return rnd.choice(["text ", "a &amp; b", "1 < 2 ", "<!-- no <p> -->", "<script a='b'>if (a<b) x</script>", "<STYLE>p{}</style >", "<br/>", "<?xml x?>", "\n"])
+        name = rnd.choice(["p", "DIV", "span", "b", "li", "title", "section"])
+        return f"<{name} class=\"x y\" id='z'>" + "".join(element(depth - 1) for _ in range(rnd.randint(0, 3))) + f"</{name}>"
+
+    for _ in range(500):
+        page = "".join(element(4) for _ in range(3))
+        assert warc.Page(page).text == expression_text(page), page
+
+
+def test_odd_pages():
+    page = warc.Page("<title>A > B &lt; <b>C</b></title><a title=\"x>y\" href='/1>2'>one</a><A HREF=/two>2</A><a data-href=no>n</a><p title=\"no end>text</p> <script>kept <!-- kept too <i")
+    assert page.title == "A > B < C" and page.links == ["/1>2", "/two"]
+    assert page.text.split("\n") == ["A > B < C", "one2n", "text", "kept kept too <i"]
+    assert warc.Page("<a x=\"> <b> <i>\" tail").text == "\" tail"
+    assert warc.Page("").text == "" and warc.Page("<").text == "<" and warc.Page("a <b").text == "a <b"
+
+
+@pytest.mark.parametrize("part", ["<script>", "<!--", "<a ", "<a href=\"", "<a x=\">", "<a x='\">", "<title>", "</title", "<style ", "<", "<!", "<p a='b' ", "<a href=\"'>\" ", "=\"<a>"])
+def test_pages_take_linear_time(part):
+    start = time.process_time()
+    warc.Page(part * (1_000_000 // len(part)))
+    warc.Page("<p " + part[1:].replace(">", "") * (1_000_000 // len(part)) + ">")
+    assert time.process_time() - start < 8
+
+
 def test_derive_files(spark, tmp_path):
     import gzip
 
