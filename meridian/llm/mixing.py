@@ -6,16 +6,20 @@ moves the inclusion probabilities along vectors of the null space of two
 constraints, the words and the documents taken, until each is 0 or 1 but for two at
 most. Units are dealt out in blocks of a source, each of about ``BLOCK`` units; the
 two that a block leaves open go on, with their probabilities as they are, to a next
-round of fewer blocks, and the last block of a source lands its two by the choice that
-comes closest in words, the best of ``FLIGHTS`` flights. So no task holds more than a block, and a source's words stay
-within about a document of its target, whatever its size.
+round of fewer blocks, and the last block of a source lands its two by a draw that keeps both
+probabilities and, of all such draws, comes closest to the words in the mean. So every document is taken with just its
+probability, no task holds more than a block, and a source's words stay within a document of its target.
 
 Randomness comes from hashes of ids and texts and from seeds of block keys, so reruns
 agree on any partitioning.
 
+Targets are found by raising one level until no source is above its bound, an aggregate each time; only
+the order of the sources' names needs a sort, which is one of names.
+
 Defined results: a null or blank text has size 0 and is taken like another, for no words; a
 null source is a source, the last one; equal rows are separate documents; null ids are
-allowed; a table without words takes nothing; an empty table gives no rows; other
+allowed; documents of equal size and hash are drawn in the order of their ids, equal ones stand for each other;
+a very long text is one document; a table without words takes nothing; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -28,36 +32,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import by_groups, cut, unused
+from meridian.llm.common import by_groups, cut, shuffle_partitions, unused
 
 WEIGHTS, SHARE, MOST, BLOCK = (5, 2, 1), 1.5, 2.0, 4000
-FLIGHTS = 24  # of a source's last block; the one that lands closest is taken
-SMALL = 50_000  # sources whose table is sent to all tasks
 NEAR = 1e-9
-SOURCES = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64())])
-
-
-def targets(sizes: np.ndarray, weights: np.ndarray, share: float = SHARE, most: float = MOST) -> np.ndarray:
-    """Shares of ``share`` times all sizes by weight, none above ``most`` times its size; the excess goes to the others."""
-    out = np.zeros(len(sizes))
-    open_, left = sizes > 0, share * float(sizes.sum())
-    while open_.any():
-        part = left * weights / weights[open_].sum()
-        over = open_ & (part > most * sizes)
-        if not over.any():
-            out[open_] = part[open_]
-            break
-        out[over] = most * sizes[over]
-        left -= float(out[over].sum())
-        open_ &= ~over
-    return out
 
 
-def _targets(key: tuple, t: pa.Table) -> pa.Table:
-    rows = sorted(zip(t.column("source").to_pylist(), t.column("source_size").to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or ""))
-    sizes = np.array([s for _, s in rows], np.float64)
-    weights = np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))], np.float64)
-    return pa.Table.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.int64()), pa.array(targets(sizes, weights))], schema=SOURCES)
+def ranked(names: DataFrame, name: str) -> DataFrame:
+    """``names``, distinct, with rank (long): the place by code point from 0, null last. Sorted by ranges; a row a range is counted."""
+    n = shuffle_partitions(names.sparkSession)
+    key = [F.col(name).isNull(), F.col(name)]  # strings are compared by their UTF-8 bytes, which is by code point
+    parts = cut(names.repartitionByRange(n, *key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id()))
+    sizes = sorted(parts.groupBy("part").agg(F.count("*").alias("n"), F.min("k").alias("lo")).collect())  # a row a range
+    before = list(itertools.accumulate((r.n for r in sizes), initial=0))
+    shift = F.create_map(*[F.lit(x) for r, b in zip(sizes, before, strict=False) for x in (r.part, b - r.lo)]) if sizes else None
+    rank = F.col("k") + F.element_at(shift, F.col("part")) if sizes else F.lit(0)
+    return parts.select(*names.columns, rank.cast("long").alias("rank"))
+
+
+def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """``sources`` (source, source_size) with target: ``share`` times all sizes by weight, none above ``most`` times its size.
+
+    A source's weight goes by its place. The excess of the sources at their bound is shared again by weight until none is above.
+    """
+    place = (F.col("rank") % len(weights) + 1).cast("int")
+    rows = cut(ranked(sources, "source").withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place)))
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    level, n = 0.0, -1
+    while True:
+        part = F.lit(level) * F.col("weight")
+        over = (F.col("source_size") > 0) & (part > most * F.col("source_size"))
+        some = F.col("source_size") > 0
+        got = rows.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("source_size"))).alias("full"), F.sum(F.when(some & ~over, F.col("weight"))).alias("weight")).first()
+        if got.n == n:
+            break
+        n = got.n
+        level = (share * total - most * (got.full or 0)) / got.weight if got.weight else level
+    bound = most * F.col("source_size")
+    return rows.select("source", "source_size", F.when(F.col("source_size") <= 0, 0.0).when(over, bound).otherwise(part).alias("target"))
 
 
 def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -94,13 +106,22 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray
     return np.array(pv)
 
 
-def land(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Rounds the few open probabilities by the choice that comes closest in words, then in documents."""
+def land(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Rounds the two open probabilities at most by one draw that keeps each.
+
+    With open p1 and p2 a draw is fixed by the chance that both are taken. The mean distance from the words that were
+    open is linear in it and grows, so the least chance is the closest: never both where p1 + p2 <= 1, never none else.
+    """
     p = p.copy()
     live = np.flatnonzero((p > NEAR) & (p < 1 - NEAR))
-    want, many = float((p[live] * x[live]).sum()), float(p[live].sum())
-    best = min(itertools.product((0.0, 1.0), repeat=len(live)), key=lambda s: (abs(float((np.array(s) * x[live]).sum()) - want), abs(sum(s) - many)))
-    p[live] = best
+    u = rng.random()
+    if len(live) == 1:
+        p[live] = u < p[live]
+    elif len(live) == 2:
+        a, b = p[live]
+        p[live] = (u < a, a <= u < a + b) if a + b <= 1 else (u < a, u >= 1 - b)
+    elif len(live):
+        raise ValueError("more than two units are open")
     return p.round()
 
 
@@ -110,11 +131,9 @@ def _round(schema: pa.Schema):
         p, x = t.column("p").to_numpy(), t.column("size").to_numpy().astype(np.float64)
         last = t.column("nb")[0].as_py() == 1
         rng = np.random.default_rng([7, key[1], t.num_rows, int(t.column("h")[0].as_py()) & 0xFFFFFFFF])
+        p = flight(p, x, rng)
         if last:
-            want = float((p * x).sum())
-            p = min((land(flight(p, x, rng), x) for _ in range(FLIGHTS)), key=lambda s: abs(float((s * x).sum()) - want))
-        else:
-            p = flight(p, x, rng)
+            p = land(p, x, rng)
         return t.select(schema.names).set_column(schema.get_field_index("p"), "p", pa.array(p))
 
     return run
@@ -139,10 +158,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     size = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     units = cut(df.select(F.col(id_col).alias("doc"), F.col(source_col).cast("string").alias("source"), size.alias("size"), row_hash(id_col, text_col).alias("h")))
     sums = units.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = cut(by_groups(sums.withColumn("one", F.lit(1)), ["one"], _targets, "source string, source_size long, target double", SOURCES))
-    few = sources.count() <= SMALL
-    other = sources.withColumnRenamed("source", "s")
-    rows = units.join(F.broadcast(other) if few else other, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    other = cut(targets(sums)).withColumnRenamed("source", "s")
+    rows = units.join(other, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("full", F.floor(r).cast("long")).withColumn("p", r - F.floor(r))
     done = []
@@ -155,7 +172,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     level = 0
     while left.head(1):
         nb = cut(left.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))).withColumnRenamed("source", "s")
-        dealt = left.join(F.broadcast(nb) if few else nb, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        dealt = left.join(nb, F.col("source").eqNullSafe(F.col("s"))).drop("s")
         dealt = dealt.withColumn("blk", F.pmod(F.xxhash64(F.lit(level), "h", "doc"), F.col("nb")).cast("int"))
         moved = cut(by_groups(dealt, ["source", "blk"], _round(fields), kinds, fields))
         done.append(moved.where(~open_))
