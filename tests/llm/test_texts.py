@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -88,12 +89,37 @@ def test_encode_pieces():
 
     t = Tokenizer.from_file(BPE)
     rnd = random.Random(2)
-    parts = [" ", "  ", "\n", "\t", "a", "foo", "'s", "it's", ".", ",", "!", "é", " é", " ", "1", "23", " <|endoftext|>", "\x1c", "\x85", "ß?", "中文", "🙂", "*", "**,", "x,y"]
+    parts = [" ", "  ", "\n", "\t", "a", "foo", "'s", "it's", ".", ",", "!", "é", " é", " ", "1", "23", " <|endoftext|>", "\x1c", "\x85", "ß?", "中文", "🙂", "*", "**,", "x,y", "\n\n", "\n ", ".\n", "...", ".,", "_", "a.b", "\0", "\r\n", "\u3000"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(4000)]
     want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in token_file.encode(texts, BPE)] == want
 
 
+def test_starts(spark, monkeypatch):
+    monkeypatch.setattr(token_file, "GROUP", 3)
+    made = spark.createDataFrame([(p, p * p) for p in range(40) if p % 7], "part int, n_ids long")
+    got = {r.part: r.start for r in token_file.starts(made, 40).collect()}
+    assert got == {p: sum(q * q for q in range(p) if q % 7) for p in range(40) if p % 7}
+
+
+def test_cache_bound(monkeypatch):
+    monkeypatch.setattr(token_file, "CACHE", 50)
+    c = token_file.Coder(BPE)
+    rnd = random.Random(3)
+    for _ in range(20):
+        texts = [" ".join(f"w{rnd.randint(0, 60)}" for _ in range(9)) for _ in range(5)]
+        assert [x.tolist() for x in c.encode(texts)] == [x.ids for x in c.t.encode_batch(texts, add_special_tokens=False)]
+        assert len(c.hash) == len(c.number) == len(c.ids_at) - 1 == len(c.raw_at) - 1 <= 50 and (len(c.ids), len(c.raw)) == (c.ids_at[-1], c.raw_at[-1])
+
+
+def test_hash_collisions(monkeypatch):
+    c = token_file.Coder(BPE)
+    monkeypatch.setattr(c, "_hashes", lambda b, at, size: size.astype(np.uint64) % np.uint64(3))
+    texts = ["some words, of many. lengths", "", "and others that meet them", "some words"]
+    for _ in range(2):
+        assert [x.tolist() for x in c.encode(texts)] == [x.ids for x in c.t.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 11, 16, 17, 24, 31, 32])
 def test_packing(bits):
     x = np.random.default_rng(bits).integers(0, 2**bits, 40_000).astype(np.uint32)
@@ -109,7 +135,7 @@ def test_token_file(docs, corpus):
 
     t = Tokenizer.from_file(BPE)
     got = token_file.read_tokens(token_file.write_tokens(docs(corpus), BPE)).orderBy("start").collect()
-    order = sorted(corpus, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    order = sorted(corpus, key=lambda x: (x[0] is not None, x[0] or 0, len(x[1] or "")))
     at = 0
     assert len(got) == len(order)
     for r, (i, text) in zip(got, order, strict=True):
@@ -143,6 +169,25 @@ def test_pii_against_expressions():
         assert [x for x in pii.find(t, cues) if x[1] < 4] == base_spans(t), t
 
 
+@pytest.mark.parametrize("text", ["0" * 5000 + "1.1.1.1", "1.1.1.1 " + "9" * 1_000_000, "1." * 500_000, "+1" + " (" * 500_000, "1 " * 500_000, "a@" * 500_000, "@" + "a." * 400_000, "token=" * 150_000, "password: " + "a" * 1_000_000, "account 1" + "A" * 1_000_000, "iban " * 200_000, "http://" * 150_000, "AKIA" * 250_000, "-----BEGIN " * 90_000, "." * 1_000_000 + "1"])
+def test_pii_takes_linear_time(text):
+    cues = pii.automaton()
+    start = time.process_time()
+    spans = pii.find(text, cues)
+    assert time.process_time() - start < 8
+    if len(text) < 10_000:
+        assert [(s, pii.KINDS[k], e) for s, k, e in spans] == [(0, "ip", len(text))]
+
+
+def test_pii_cues():
+    cues = pii.automaton()
+    kinds = lambda t: [(pii.KINDS[k], t[s:e]) for s, k, e in pii.find(t, cues)]
+    assert kinds("my Api_Key = a1b2c3 x") == [("secret", "a1b2c3")]
+    assert kinds("İ TOKEN: 9z") == [("secret", "9z")]
+    assert kinds("AKIA" + "Q" * 16 + " xAKIA" + "Q" * 16 + " AKIAQ") == [("key", "AKIA" + "Q" * 16)]
+    assert kinds("-----BEGIN RSA PRIVATE KEY----- -----BEGIN CERTIFICATE-----") == [("key", "-----BEGIN RSA PRIVATE KEY-----")]
+
+
 def test_pii(docs, corpus):
     got = pii.digest(pii.find_pii(docs(corpus))).collect()
     want = Counter()
@@ -155,11 +200,43 @@ def test_pii(docs, corpus):
     assert pii.digest(pii.find_pii(docs([]))).count() == 0
 
 
-def test_targets():
-    sizes, weights = np.array([10.0, 100.0, 1000.0, 0.0]), np.array([5.0, 2.0, 1.0, 5.0])
-    out = mixing.targets(sizes, weights)
-    assert out[0] == 20 and out[1] == 200 and out[3] == 0 and abs(out.sum() - 1.5 * sizes.sum()) < 1e-9
-    assert mixing.targets(np.zeros(2), np.ones(2)).tolist() == [0, 0]
+def brute_targets(sizes, weights):
+    """Shares by weight of one and a half times all words; the excess over twice a source's words is dealt out again."""
+    out, left, free = [0.0] * len(sizes), 1.5 * sum(sizes), [k for k, s in enumerate(sizes) if s]
+    while free:
+        w = sum(weights[k] for k in free)
+        over = [k for k in free if left * weights[k] / w > 2 * sizes[k]]
+        for k in over or free:
+            out[k] = 2.0 * sizes[k] if over else left * weights[k] / w
+        if not over:
+            break
+        left -= sum(out[k] for k in over)
+        free = [k for k in free if k not in over]
+    return out
+
+
+def test_targets(spark):
+    rnd = random.Random(6)
+    for n in (0, 1, 4, 40):
+        names = sorted({chr(rnd.choice([65, 97, 233, 20013, 65536]) + rnd.randint(0, 9)) + str(k) for k in range(n)}) + [None] * (n > 3)
+        sizes = [rnd.choice([0, 1, 10, 100, 1000, 10_000]) for _ in names]
+        want = dict(zip(names, brute_targets(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))]), strict=True))
+        rows = list(zip(names, sizes, strict=True))
+        rnd.shuffle(rows)
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-9 * (1 + want[k]) for k in want)
+
+
+@pytest.mark.parametrize("p", [[0.3] * 6, [0.5, 0.9, 0.2, 0.7, 0.4, 0.6], [0.05, 0.95, 0.5, 0.5, 0.5, 0.1]])
+def test_documents_are_taken_with_their_probability(p):
+    p, x = np.array(p), np.array([3.0, 7, 11, 20, 41, 90])
+    taken = np.zeros(6)
+    for seed in range(4000):
+        rng = np.random.default_rng([1, seed])
+        q = mixing.land(mixing.flight(p, x, rng), x, rng)
+        assert set(q) <= {0, 1} and abs((q * x).sum() - (p * x).sum()) <= 90
+        taken += q
+    assert (abs(taken / 4000 - p) < 0.035).all(), taken / 4000
 
 
 def test_flight_keeps_totals():
