@@ -73,6 +73,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """``df`` with partitions and an order of rows that are the same whenever it is read.
+
+    Rows from a shuffle come in any order, so they are written; others are read by one physical plan, whose partitions do not change
+    with the number of executors, as those of a plan that is made anew may.
+    """
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return cut(df)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), df._jdf.schema(), False), spark)
+
+
 def trimmed(fn):
     """``fn``, a function of batches, that gives a worker's freed memory back when a task is over."""
 

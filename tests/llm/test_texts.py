@@ -50,34 +50,77 @@ def test_trie_bounds(monkeypatch):
         assert free.count(w) == tight.count(w)
 
 
-def test_lm_score(docs, corpus, monkeypatch):
+class PlainModel:
+    """The trigram model in dictionaries, scored by recursion, without states."""
+
+    def __init__(self, texts):
+        self.c = [Counter(), Counter(), Counter()]
+        for w in texts:
+            seq = ["<s>", *w, None]
+            self.c[0].update(seq[1:])
+            self.c[1].update(zip(seq, seq[1:]))
+            self.c[2].update(zip(seq, seq[1:], seq[2:]))
+        self.n, self.v = sum(self.c[0].values()), len(self.c[0])
+        n = [[sum(x == k for x in c.values()) for k in (1, 2)] for c in self.c]
+        self.d = [min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5 for a, b in n]
+        self.context = Counter({("<s>",): self.c[0][None]}) + Counter({(w,): k for w, k in self.c[0].items()})
+        self.b = []
+        for k in (0, 1):
+            sums = [math.log(sum(x**g for x in self.c[k].values())) for g in np.linspace(0, 1, 21)]
+            self.b.append(float(np.interp(math.log(len(self.c[k + 1])), sums, np.linspace(0, 1, 21))))
+
+    def p(self, w, h):
+        if not h:
+            return (self.c[0][w] - self.d[0]) / self.n if w in self.c[0] else self.d[0] * self.v / self.n
+        c = self.c[1][h] if len(h) == 2 else self.context[h]
+        if not c:
+            return self.p(w, h[1:])
+        k = self.d[len(h)] * c ** (self.b[len(h) - 1] - 1)
+        return (1 - k) * self.c[len(h)][(*h, w)] / c + k * self.p(w, h[1:])
+
+    def score(self, words):
+        seq = ["<s>", *words, None]
+        return sum(math.log10(self.p(w, tuple(seq[max(0, i - 2) : i]))) for i, w in enumerate(seq) if i)
+
+
+@pytest.mark.parametrize("part", [256, 5])
+def test_lm_score(docs, corpus, monkeypatch, part):
     monkeypatch.setattr(lm_score, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(lm_score, "SHARD_CHARS", 50_000)
+    monkeypatch.setattr(lm_score, "PART", part)
     ids = lambda i: "" if i is None else str(i)
     held = [zlib.crc32(ids(i).encode()) % 7 == 2 for i, _ in corpus]
     train = [words(t) for (_, t), h in zip(corpus, held, strict=True) if not h]
     count = Counter(w for t in train for w in [*t, None])
     n, v = sum(count.values()), len(count)
-    got = lm_score.lm_score(docs(corpus)).collect()
-    models = [lm_score.Automaton(train, a, b) for a, b in lm_score.GRID]
-    want = {}
+    model = PlainModel(train)
+    want = Counter()
     for (i, t), h in zip(corpus, held, strict=True):
         seq = [*words(t), None]
         base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in seq)
-        want.setdefault(i, []).append((h, len(seq), sum(count[w] > 0 for w in seq), n, base, [m.score(words(t)) for m in models]))
-    assert len(got) == len(corpus)
-    fits = set(range(len(models)))
-    for r in got:
-        near = [w for w in want[r.doc_id] if (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and abs(r.base_score - w[4]) < 1e-6 * (1 + abs(w[4]))]
-        assert near, r
-        fits &= {k for k in range(len(models)) if any(abs(r.score - w[5][k]) < 1e-6 * (1 + abs(w[5][k])) for w in near)}
-    assert fits  # all scores are those of one of the automata
-
-
-def test_lm_distribution():
-    model = lm_score.Automaton([b"a b a c".split(), b"a b".split(), b"d".split()], 0.5, 0.3)
-    total = lambda state: sum(10 ** model.arcs[state][w] if w in model.arcs.get(state, {}) else 10 ** (model.fail.get(state, 0) + x) for w, x in [*model.root.items(), (b"new", model.unknown)])
-    for state in (None, b"a", b"d", b"unseen"):
-        assert abs(total(state) - 1) < 1e-9
+        want[i, h, len(seq), sum(count[w] > 0 for w in seq), n, round(base, 5), round(model.score(words(t)), 4)] += 1
+    df = docs(corpus)
+    for df in (df, df.repartition(5)):
+        got = lm_score.lm_score(df).collect()
+        assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 4)) for r in got) == want
+
+
+def test_lm_automaton():
+    texts = [b"a b a c".split(), b"a b".split(), b"d".split(), b"a b a c".split()]
+    model = PlainModel(texts)
+    for h in ((), ("<s>",), (b"a",), (b"a", b"b"), (b"b", b"a"), ("<s>", b"a")):
+        assert abs(sum(model.p(w, h) for w in [b"a", b"b", b"c", b"d", None, b"new"]) - 1) < 1e-9
+
+
+def test_lm_changed_rows(spark, tmp_path, monkeypatch):
+    block = lm_score.Block(0, [1], np.array([True]), np.array([5, lm_score.END], np.uint64), np.array([2]))
+    other = lm_score.Block(0, [1], np.array([True]), np.array([6, lm_score.END], np.uint64), np.array([2]))
+    empty = lm_score.planes(np.ones(2, np.uint64))
+    t = lm_score.pa.table({"block": [0], "shard": [0], "mark": [block.mark()], "uni_n": [empty], "bi_n": [empty], "tri_n": [empty]})
+    lm_score._store(str(tmp_path))((0,), t)
+    assert [len(x) for x in lm_score._counts(str(tmp_path), block)] == [2, 2, 2]
+    with pytest.raises(RuntimeError):
+        lm_score._counts(str(tmp_path), other)
 
 
 def test_lm_empty(docs):
