@@ -1,27 +1,29 @@
 """Quality classifier by importance resampling.
 
-Hashed generative models of words and of pairs of words (``BUCKETS`` buckets each) are
-counted: of the target text, the labelled rows of good quality that are not toxic, and of
-the raw text, all rows. For each order, a document's importance weight is the mean over
-its n-grams of the log ratio of target to raw, where ``SHRINK`` counts pull the
-ratio of a rare bucket to one. Its margin is the least of what its weights exceed the
-orders' thresholds by, and it is sampled by Gumbel top-k: the k largest sums of margin /
-``HEAT`` and a standard Gumbel draw, made from a hash of the row so that reruns agree.
-
-The labelled rows (at most ``LABELLED``, those with the least hashes of their ids) fit the
-target model and the thresholds: of each order, the weight below which a share ``LOST`` of the good
-labelled rows lies. Every row is scored without its own n-grams in the models, so labelled rows are
-like others. k is the
-number of rows with a margin of zero or more, so the sample is as large as the part
-of the corpus that the classifier accepts. All other counts are of all rows.
+A text's n-grams are its words and its pairs of neighbours, hashed to ``BUCKETS`` each; a word after itself is one n-gram
+whatever the word. Generative models of n-grams are counted for the kinds of labelled rows: the target (good quality, not
+toxic), toxic, and low quality. The model of raw text is the mixture of these kinds by their shares of
+the labelled rows. The importance weight of a text x is p_target(x) / p_raw(x), so its logarithm is
 
+    -log(share_target + sum over the other kinds of share * exp(log p_kind(x) - log p_target(x)))
+
+and log p_kind(x) - log p_target(x) is a sum over the n-grams of x of the log ratio of their probabilities. That ratio is
+(count + ``ADD``) / (what the target's count lets expect + ``ADD``), drawn to one by ``SURE`` standard errors, so
+that an n-gram whose counts could differ by chance says nothing, and the kind's probabilities are normalised over the n-grams
+of the target; one that the target lacks speaks for the other kind.
+
+The sample is drawn by Gumbel top-k: the k largest sums of log weight and a standard Gumbel draw, which is a draw of k rows
+without replacement with chances in proportion to the weights. The draw comes from a hash of the row, so reruns
+agree. k is the number of rows that are of the target with a probability of ``LEAST`` or more.
+
+The labelled rows (at most ``LABELLED``, those with the least hashes of their ids) fit the kinds' models; a labelled row is
+weighed without its own n-grams in its kind's counts, so it is like others. Weights, k and the sample are of all rows.
 The k-th largest key is found by counting keys in ranges that narrow, so no task sorts all rows.
 
-Defined results: a text without n-grams of an order has weight 0 in it, a null text in both; with no
-good labelled rows all rows are kept; equal rows have equal weights and draws; rows
-whose keys tie at the k-th place are all kept; a row with a null id is scored like another; other
-columns are ignored (``keep_sampled`` passes them on); an empty table gives no rows. An id with
-several labels is good only if all of them are.
+Defined results: a text without n-grams, or a null one, has log weight 0; a very long text is weighed whole; with no good
+labelled rows all rows are kept; equal rows have equal weights and draws; rows whose keys tie at the k-th place are all
+kept; a row with a null id is weighed like another; other columns are ignored (``keep_sampled`` passes them on); an empty
+table gives no rows. An id with several labels is of low quality if any of them says so, else toxic if any does.
 """
 
 from __future__ import annotations
@@ -30,19 +32,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm.common import Words, cut, keep_rows, mix, planes, shuffle_partitions, trimmed, unplanes
 
-BUCKETS, LABELLED, CHUNK, SHRINK, LOST, HEAT = 1 << 20, 20_000, 1 << 14, 3.0, 0.005, 0.001
+BUCKETS, LABELLED, CHUNK, ADD, SURE, LEAST = 1 << 20, 20_000, 1 << 14, 0.5, 4.0, 0.1
+KINDS = 3  # target, toxic, low quality
+COUNTERS = 32  # tasks that count the labelled rows
 COUNTS = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
 
 def features(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words and of the pairs of neighbours."""
+    """Buckets of the words and of the pairs of neighbours; bucket 0 of the pairs is a word after itself."""
     pairs = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else h[:0]
-    return tuple((x % np.uint64(BUCKETS)).astype(np.int64) for x in (h, pairs))
+    pairs = np.where(h[:-1] == h[1:], np.uint64(0), pairs % np.uint64(BUCKETS - 1) + np.uint64(1)) if len(h) > 1 else pairs
+    return (h % np.uint64(BUCKETS)).astype(np.int64), pairs.astype(np.int64)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -50,26 +55,21 @@ def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         yield from (big.slice(i, n) for i in range(0, big.num_rows, n))
 
 
-def _chunks(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for kind, x in total.items():
-        rows = [(kind, c, planes(x[c * CHUNK : (c + 1) * CHUNK])) for c in range(BUCKETS // CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COUNTS, strict=True)], schema=COUNTS)
-
-
 @trimmed
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's counts, in chunks of buckets: kinds 0 and 1 are raw words and pairs, 2 and 3 good labelled ones."""
+    """A partition's counts, in chunks of buckets: kind and order make one number."""
     known = Words(seed=8)
     total: dict[int, np.ndarray] = {}
     for b in _batches(batches, 1024):
-        f = [features(known.of(t)) for t in b.column(0).to_pylist()]
-        good = [x for x, g in zip(f, b.column(1).to_pylist(), strict=True) if g]
-        for kind, part in ((0, f), (2, good)):
-            for order in (0, 1):
-                if part:
-                    count = np.bincount(np.concatenate([x[order] for x in part]), minlength=BUCKETS)
-                    total[kind + order] = total.get(kind + order, 0) + count
-    yield from _chunks(total)
+        parts: dict[int, list[np.ndarray]] = {}
+        for text, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for order, x in enumerate(features(known.of(text))):
+                parts.setdefault(2 * kind + order, []).append(x)
+        for k, x in parts.items():
+            total[k] = total.get(k, 0) + np.bincount(np.concatenate(x), minlength=BUCKETS)
+    for k, x in total.items():
+        rows = [(k, c, planes(x[c * CHUNK : (c + 1) * CHUNK])) for c in range(-(-BUCKETS // CHUNK))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COUNTS, strict=True)], schema=COUNTS)
 
 
 @trimmed
@@ -83,29 +83,48 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COUNTS, strict=True)], schema=COUNTS)
 
 
-def _weigh(raw: list[np.ndarray], target: list[np.ndarray]):
-    """Weights of both orders. A row's own n-grams are left out of the raw counts, and of the target's if it is in there."""
-    share = [t.sum() / max(1, r.sum()) for r, t in zip(raw, target, strict=True)]
-    expect = [(r * s).astype(np.float32) for r, s in zip(raw, share, strict=True)]
-    target = [t.astype(np.float32) for t in target]
-
-    def weight(f: np.ndarray, o: int, inside: bool) -> float:
-        if not len(f):
+class Ratios:
+    """The log ratios of the n-grams' probabilities, of each other kind to the target, for one order."""
+
+    def __init__(self, counts: list[np.ndarray]):
+        self.counts = [c.astype(np.int32) for c in counts]
+        target = max(1, int(counts[0].sum()))
+        self.share = [int(c.sum()) / target for c in counts]
+        self.norm = [0.0] * KINDS
+        self.table = [np.zeros(0, np.float32)] * KINDS
+        for k in range(1, KINDS):
+            raw = self.raw(k, self.counts[k], self.counts[0])
+            self.norm[k] = float(np.log((counts[0] * np.exp(raw)).sum() / target)) if counts[0].any() else 0.0
+            self.table[k] = (raw - self.norm[k]).astype(np.float32)
+
+    def raw(self, k: int, count: np.ndarray, target: np.ndarray) -> np.ndarray:
+        have, expect, share = count + ADD, target * self.share[k] + ADD, self.share[k]
+        if not share:
+            return np.zeros(len(have))
+        ratio = np.log(have / expect)
+        return np.sign(ratio) * np.maximum(0, np.abs(ratio) - SURE * np.sqrt(1 / have + share / expect))
+
+    def of(self, x: np.ndarray, k: int, own: int | None) -> float:
+        """The sum over a text's n-grams ``x``, without the text itself where it is a labelled row of kind ``own``."""
+        if not len(x):
             return 0.0
-        u, c = np.unique(f, return_counts=True)
-        t = target[o][u] - c * inside
-        e = np.maximum(expect[o][u] - c * share[o], 0)
-        return float((c * np.log((t + SHRINK) / (e + SHRINK))).sum()) / len(f)
+        if own not in (0, k):
+            return float(self.table[k][x].sum(dtype=np.float64))
+        u, c = np.unique(x, return_counts=True)
+        raw = self.raw(k, self.counts[k][u] - c * (own == k), self.counts[0][u] - c * (own == 0))
+        return float(((raw - self.norm[k]) * c).sum())
+
 
+def _weigh(orders: list[Ratios]):
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(seed=8)
         for b in _batches(batches, 1024):
             out = []
-            for t, g in zip(b.column("text").to_pylist(), b.column("good").to_pylist(), strict=True):
-                out.append([weight(x, o, bool(g)) for o, x in enumerate(features(known.of(t)))])
-            cols = [pa.array(c, pa.float64()) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), *cols, b.column("good")], ["id", "h", "w1", "w2", "good"])
+            for text, kind in zip(b.column("text").to_pylist(), b.column("kind").to_pylist(), strict=True):
+                parts = features(known.of(text))
+                out.append([sum(r.of(x, k, kind) for r, x in zip(orders, parts, strict=True)) for k in range(1, KINDS)])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), *(pa.array(c, pa.float64()) for c in zip(*out, strict=True))], ["id", "h", "r1", "r2"])
 
     return run
 
@@ -132,30 +151,38 @@ def kth_largest(df: DataFrame, col: str, k: int) -> float:
         lo, hi = low, high
 
 
+def log_weight(shares: list[float]) -> Column:
+    """The log importance weight, from the log ratios r1 and r2 of a text under the other kinds and the target."""
+    logs = [F.lit(float(np.log(max(s, 1e-300)))) + r for s, r in zip(shares, (F.lit(0.0), F.col("r1"), F.col("r2")), strict=True)]
+    top = F.greatest(*logs)
+    return -(top + F.log(sum((F.exp(x - top) for x in logs[1:]), F.exp(logs[0] - top))))
+
+
 def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are sampled: id_col, h (a hash of the row), word_weight, pair_weight, key."""
-    good = F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
-    fit = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_l")).agg(good.alias("good"))
+    """The rows of ``df`` that are sampled: id_col, h (a hash of the row), log_weight, target_share (the probability of the target), key."""
+    spark = df.sparkSession
+    toxic = F.coalesce(F.col("toxic"), F.lit(0)) != 0
+    kind = F.max(F.when(F.col("quality") != 1, 2).when(toxic, 1).otherwise(0))
+    fit = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_l")).agg(kind.alias("kind"))
     fit = cut(fit.orderBy(F.xxhash64(F.lit(8), "_l"), "_l").limit(LABELLED))
     text = F.col(text_col).cast("string")
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(9), F.col(id_col), text).alias("h"), text.alias("text"))
-    docs = docs.join(F.broadcast(fit), F.col("id") == F.col("_l"), "left").select("id", "h", "text", "good")  # LABELLED rows at most
-    n = shuffle_partitions(df.sparkSession)
+    docs = docs.join(F.broadcast(fit), F.col("id") == F.col("_l"), "left").select("id", "h", "text", "kind")  # LABELLED rows at most
     kinds = "kind int, chunk int, counts binary"
-    counts = docs.select("text", "good").mapInArrow(_count, kinds).repartition(n, "kind", "chunk").mapInArrow(_sum, kinds)
-    model = np.zeros((4, BUCKETS), np.int64)
-    for kind, chunk, raw in counts.collect():  # a row for each of the fixed chunks
-        model[kind, chunk * CHUNK : (chunk + 1) * CHUNK] = unplanes(bytes(raw), "<i8")
-    kind = docs.schema["id"].dataType.simpleString()
-    scored = cut(docs.mapInArrow(_weigh([model[0], model[1]], [model[2], model[3]]), f"id {kind}, h long, w1 double, w2 double, good boolean"))
-    fitted = scored.where("good").select("w1", "w2").toPandas()  # of the bounded labelled sample
-    least = [float(np.quantile(fitted[c], LOST, method="lower")) if len(fitted) else -1e9 for c in ("w1", "w2")]
+    parts = docs.where("kind is not null").select("text", "kind").repartition(COUNTERS, "text").mapInArrow(_count, kinds)
+    counts = np.zeros((2 * KINDS, BUCKETS), np.int64)
+    for k, chunk, raw in parts.repartition(shuffle_partitions(spark), "kind", "chunk").mapInArrow(_sum, kinds).collect():  # a row for each of the fixed chunks
+        counts[k, chunk * CHUNK : (chunk + 1) * CHUNK] = unplanes(bytes(raw), "<i8")
+    orders = [Ratios([counts[2 * k + o] for k in range(KINDS)]) for o in (0, 1)]
+    scored = cut(docs.mapInArrow(_weigh(orders), f"id {docs.schema['id'].dataType.simpleString()}, h long, r1 double, r2 double"))
+    n = {r.kind: r.n for r in fit.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # a row a kind
+    shares = [n.get(k, 0) / sum(n.values()) for k in range(KINDS)] if counts[0].any() else [1.0, 0.0, 0.0]
+    w = log_weight(shares)
     # a uniform draw from the row's hash, strictly between 0 and 1
     u = (F.shiftrightunsigned("h", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    margin = F.least(F.col("w1") - least[0], F.col("w2") - least[1])
-    scored = scored.withColumn("margin", margin).withColumn("key", margin / HEAT - F.log(-F.log(u)))
-    k = scored.where("margin >= 0").count()
-    return scored.where(F.col("key") >= float(kth_largest(scored, "key", k))).select(F.col("id").alias(id_col), "h", F.col("w1").alias("word_weight"), F.col("w2").alias("pair_weight"), "key")
+    scored = scored.select("id", "h", w.alias("log_weight"), (F.lit(shares[0]) * F.exp(w)).alias("target_share"), (w - F.log(-F.log(u))).alias("key"))
+    k = scored.where(F.col("target_share") >= LEAST).count()
+    return scored.where(F.col("key") >= float(kth_largest(scored, "key", k))).withColumnRenamed("id", id_col)
 
 
 def keep_sampled(df: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

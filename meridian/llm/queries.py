@@ -43,7 +43,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return out.select("doc_id", "word_weight", "pair_weight", "key")
+    return out.select("doc_id", "log_weight", "target_share", "key")
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

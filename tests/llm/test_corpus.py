@@ -1,7 +1,9 @@
 import html
+import math
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 
@@ -20,17 +22,82 @@ def labelled(spark, docs, extra=()):
     return docs(texts + list(extra)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def brute_sample(rows, labels, hashes):
+    """Rows' keys and the sample, by plain loops over the whole formula. ``hashes``: of each row, as the query has them."""
+    feats = []
+    for _, t in rows:
+        w = quality.Words(seed=8).of(t)
+        feats.append([Counter(x.tolist()) for x in quality.features(w)])
+    kinds = {}
+    for i, q, t in labels:
+        if i is not None and q is not None:
+            kinds[i] = max(kinds.get(i, 0), 2 if q != 1 else int(bool(t)))
+    counts = [[Counter(), Counter()] for _ in range(3)]
+    for (i, _), f in zip(rows, feats, strict=True):
+        for o in (0, 1):
+            if i in kinds:
+                counts[kinds[i]][o].update(f[o])
+    total = [[sum(c.values()) for c in k] for k in counts]
+
+    def ratio(k, o, n, g):
+        share = total[k][o] / total[0][o]
+        have, expect = n + quality.ADD, g * share + quality.ADD
+        r = math.log(have / expect)
+        return math.copysign(max(0, abs(r) - quality.SURE * math.sqrt(1 / have + share / expect)), r)
+
+    norm = [[math.log(sum(g * math.exp(ratio(k, o, counts[k][o][b], g)) for b, g in counts[0][o].items()) / total[0][o]) if k else 0 for o in (0, 1)] for k in range(3)]
+    logs = []
+    for (i, _), f in zip(rows, feats, strict=True):
+        own = kinds.get(i)
+        less = lambda k, o, b: counts[k][o][b] - (f[o][b] if own == k else 0)  # noqa: B023, E731
+        logs.append([sum(c * (ratio(k, o, less(k, o, b), less(0, o, b)) - norm[k][o]) for o in (0, 1) for b, c in f[o].items()) for k in (1, 2)])
+    shares = [sum(k == x for k in kinds.values()) / len(kinds) for x in range(3)]
+    weight = [-math.log(sum(s * math.exp(min(600, x)) for s, x in zip(shares, [0, *r], strict=True))) for r in logs]
+    noise = [-math.log(-math.log(((h % 2**64 >> 11) + 0.5) / 2**53)) for h in hashes]
+    k = sum(shares[0] * math.exp(w) >= quality.LEAST for w in weight)
+    key = [w + g for w, g in zip(weight, noise, strict=True)]
+    return weight, key, sorted(range(len(rows)), key=lambda i: -key[i])[:k], sorted(range(len(rows)), key=lambda i: -weight[i])[:k]
+
+
+def test_quality_against_loops(spark, docs):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(12)
+    vocab = [f"v{i}" for i in range(50)]
+    rows = []
+    for i in range(400):
+        w = rnd.choices(vocab, k=rnd.randint(1, 40))
+        if i % 4 == 1:  # toxic words, few in some rows
+            w = [x if rnd.random() > (0.02 if i % 8 == 1 else 0.3) else "insult" for x in w]
+        elif i % 4 == 2:
+            w = [x for x in w[:8] for _ in range(3)]
+        rows.append((i, " ".join(w)))
+    labels = [(i, int(i % 4 != 2), int(i % 4 == 1)) for i in range(0, 400) if i % 3]
+    df = docs(rows)
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(9), "doc_id", "text").alias("h")).collect()}
+    weight, key, sample, top = brute_sample(rows, labels, [hashes[i] for i, _ in rows])
+    got = {r.doc_id: r for r in quality.resample(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert set(got) == set(sample)
+    assert all(abs(got[i].log_weight - weight[i]) < 1e-3 * (1 + abs(weight[i])) and abs(got[i].key - key[i]) < 1e-3 * (1 + abs(key[i])) for i in got)
+    assert set(sample) != set(top)  # the draws decide among close weights
+    clean = [i for i in range(400) if i % 4 in (0, 3)]
+    assert len(set(clean) & set(got)) > 0.9 * len(clean) and not {i for i in got if i % 4 == 2 and len(rows[i][1].split()) > 8}
+
+
 def test_quality(spark, docs):
-    df, labels = labelled(spark, docs, [(1000, None), (1001, ""), (None, "good1 good2"), (7, "junk1 " * 20)])
+    df, labels = labelled(spark, docs, [(1000, None), (1001, ""), (None, "good1 good2"), (7, "junk1 " * 20), (1002, "good3 good4 " * 50_000), (1003, "same words"), (1003, "same words")])
     out = quality.resample(df, labels)
     kept = {r.doc_id for r in out.collect()}
     assert len(kept & set(range(240))) >= 230 and not kept & set(range(240, 300))
+    assert {1000, 1001, 1002} <= kept and out.where("doc_id = 1003").count() in (0, 2)
     rows = quality.keep_sampled(df, out)
     assert rows.columns == df.columns and rows.where("text like 'junk%'").count() == 0
-    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, quality.resample(df.repartition(3), labels).collect()), key=str)
+    same = lambda x: sorted((r.doc_id or -1, r.h, round(r.key, 9)) for r in x.collect())
+    assert same(out) == same(quality.resample(df.repartition(3), labels))
     assert quality.resample(docs([]), labels).count() == 0
-    none = labels.where("false")
-    assert quality.resample(df, none).count() == df.count()
+    assert quality.resample(df, labels.where("false")).count() == df.count()
+    assert quality.resample(df, labels.where("quality = 1")).count() == df.count()
+    assert quality.resample(df, labels.where("quality = 0")).count() == df.count()
 
 
 def test_kth_largest(spark):
