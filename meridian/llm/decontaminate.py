@@ -8,12 +8,15 @@ the item's own, so copies that are edited or paraphrased in part still score hig
 is left out only where it cannot reach the bound: its score is at most ``MATCH`` times the item's
 words that the passage holds.
 
-Items go in blocks of at most ``BLOCK_WORDS`` words, and only such a block, never the benchmark,
-is sent to the tasks; each block makes its own pass over the corpus, which is not
-shuffled. Seeds that are shared by thousands of documents cost each document its own
+Items go in blocks of at most ``BLOCK_WORDS`` words (a longer item is a block by itself), and only such a block,
+never the benchmark, is sent to the tasks; each block makes its own pass over the corpus, which is not
+shuffled. Seeds go by 64-bit hashes; where two n-grams shared one, the alignment decides. Seeds that are shared by thousands of documents cost each document its own
 alignment and no more.
 
-Defined results: null, empty and wordless texts and items match nothing; an item of fewer words
+Where several places of a text reach an item's best score, the first is given; of equal alignments in it the one that
+ends first in the item and then in the text.
+
+Defined results: a very long text is read whole, each place by itself; null, empty and wordless texts and items match nothing; an item of fewer words
 than a seed is its own seed; repeated items each match; each matching row of ``df``
 gives a row for an item, so equal rows repeat; other columns are ignored; an empty
 table on either side gives no rows.
@@ -29,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import cut, keep_rows
+from meridian.llm.common import cut, keep_rows, mix
 
 SEED, MATCH, MISMATCH, GAP, LEAST = 3, 2, -1, -1, 0.5
-BLOCK_WORDS = 300_000
+BLOCK_WORDS, MEMO = 1_000_000, 32_000_000  # words of a block; bytes of alignments that a task keeps
 PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 FOUND = "doc {0}, h long, item_id long, score double, first_word long, last_word long, n_seeds long"
 
@@ -53,24 +56,22 @@ class Block:
         for k, w in enumerate(self.words):
             for pos, code in enumerate(self.codes(w, min(SEED, len(w))).tolist()):
                 at[code].append((k, pos))
-        self.seeds = np.array(sorted(at), np.int64)
+        self.seeds = np.array(sorted(at), np.uint64)
         self.places = [at[c] for c in self.seeds.tolist()]
         self.own = [np.bincount(w) for w in self.words]
         self.sizes = sorted({min(SEED, len(w)) for w in self.words if len(w)})
 
     def codes(self, w: np.ndarray, n: int) -> np.ndarray:
-        """Numbers of the n-grams; distinct ones of distinct sizes differ, as words count from 1."""
-        base = len(self.numbers) + 1
+        """Hashes of the n-grams; 0 where a word is in no item."""
         if n <= 0 or len(w) < n:
-            return np.zeros(0, np.int64)
-        out = np.zeros(len(w) - n + 1, np.int64)
+            return np.zeros(0, np.uint64)
+        out = np.full(len(w) - n + 1, np.uint64(n))
         known = np.ones(len(out), bool)
         for i in range(n):
             part = w[i : len(w) - n + 1 + i]
-            out = out * base + part
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64))
             known &= part > 0
-        out[~known] = -1
-        return out
+        return np.where(known, out | np.uint64(1), np.uint64(0))
 
     def hits(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A text's words as numbers (0: in no item), and the places and seeds of its seeds."""
@@ -79,7 +80,7 @@ class Block:
         pos, seed = [], []
         for n in self.sizes:
             c = self.codes(w, n)
-            at = np.flatnonzero(c >= 0)
+            at = np.flatnonzero(c)
             if len(at) and len(self.seeds):
                 k = np.minimum(np.searchsorted(self.seeds, c[at]), len(self.seeds) - 1)
                 ok = self.seeds[k] == c[at]
@@ -136,16 +137,17 @@ def matches(block: Block, text: str | None, least: float, memo: dict) -> list[tu
             part = w[first:last]
             key = (k, part.tobytes())
             if key not in memo:
-                if len(memo) > 20_000:
+                if memo.get("bytes", 0) > MEMO:
                     memo.clear()
+                memo["bytes"] = memo.get("bytes", 0) + part.nbytes + 200
                 own = block.own[k]
                 both = np.minimum(own, np.bincount(part[part < len(own)], minlength=len(own)))[1:].sum()
                 score, end = align(item, part) if both >= least * len(item) else (0, 0)
-                begin = len(part) - align(item[::-1], part[::-1])[1] if score >= least * MATCH * len(item) else 0
+                begin = end - align(item[::-1], part[:end][::-1])[1] if score >= least * MATCH * len(item) else 0
                 memo[key] = (score, begin, end)
             score, begin, end = memo[key]
             if best is None or score > best[0]:
-                best = (score, first + min(begin, end), first + max(begin, end), len(near))
+                best = (score, first + begin, first + end, len(near))
             lo = hi
         if best and best[0] >= least * MATCH * len(item):
             out.append((block.ids[k], best[0] / (MATCH * len(item)), best[1], best[2], best[3]))

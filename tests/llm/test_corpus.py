@@ -149,6 +149,34 @@ def test_decontaminate(spark, docs, monkeypatch, block):
     assert decontaminate.contaminated(df, bench.where("false")).count() == 0
 
 
+def test_decontaminate_against_all_alignments(spark, docs, monkeypatch):
+    """Every text against every item by the plain alignment, over texts that are all near the item."""
+    rnd = random.Random(21)
+    vocab = [f"v{i}" for i in range(25)]
+    items = passages(rnd, 8, vocab, 12) + ["v1 v2", "v1 v2", "solo"]
+    texts = []
+    for k in range(120):
+        w = items[k % 8].split()
+        for _ in range(k % 7):
+            w[rnd.randrange(len(w))] = rnd.choice(vocab)
+        texts.append((k, " ".join(rnd.choices(vocab, k=3) + w + rnd.choices(vocab, k=3))))
+    texts += [(500, " ".join(["v24 v23"] * 100_000 + [items[0]] + ["x"] * 50_000 + [items[0]])), (501, "v1 v2 x v1 v2"), (501, "v1 v2 x v1 v2")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.contaminated(docs(texts), bench).collect()
+    score = {(r.doc_id, r.item_id): r.score for r in got}
+    for i, t in texts:
+        if i == 500:
+            continue
+        for j, item in enumerate(items):
+            a, b = item.split(), t.split()
+            n = min(3, len(a))
+            seeds = {tuple(a[x : x + n]) for x in range(len(a) - n + 1)} & {tuple(b[x : x + n]) for x in range(len(b) - n + 1)}
+            want = brute_align(a, b) / (2 * len(a)) if seeds else 0
+            assert score.get((i, j), 0) == (want if want >= 0.5 else 0), (i, j)
+    assert [(r.first_word, r.last_word) for r in got if (r.doc_id, r.item_id) == (500, 0)] == [(200_000, 200_012)]
+    assert [(r.first_word, r.last_word) for r in got if r.doc_id == 501 and r.item_id in (8, 9)] == [(0, 2)] * 4
+
+
 @pytest.mark.parametrize("copies", [5, 1000])
 @pytest.mark.parametrize("step", [4, 5])
 def test_decontaminate_edit_held_by_many(spark, docs, copies, step):
