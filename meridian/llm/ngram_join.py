@@ -10,15 +10,15 @@ number makes the chance that a pair at the threshold shares none smaller than
 the smallest row of its bucket, and the connected components of these edges are the
 diagonal blocks of the matrix outside of which no link lies. Each block, split into
 pairs of sub-blocks of at most ``BLOCK`` rows, is multiplied in one task, column
-chunk by column chunk; pairs under the size-derived bound are discarded there, and
-only a spanning forest of the links leaves the task.
+chunk by column chunk; pairs whose sizes alone exclude a link are discarded before, those whose overlap is under the
+bound that their sizes give after, and only a spanning forest of the links leaves the task.
 
 Equal sets (copies) are one row from the start, so copies are never expanded.
 
 Defined results: a null, empty or blank text has no shingles and links with
 nothing; a text of fewer words than a shingle has one shingle, all its words; equal
 rows and rows with equal ids are all returned; a row with a null id is returned with
-a null component and links with nothing; other columns are ignored; an empty table
+a null component and links with nothing; a very long text is taken whole; other columns are ignored; an empty table
 gives no rows.
 """
 
@@ -42,7 +42,7 @@ EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def bands(percent: int) -> tuple[int, int]:
     """Rows of a band and number of bands for a threshold in percent."""
     t = percent / 100
-    rows = max(1, math.floor(math.log(0.45) / math.log(t))) if t < 1 else 8
+    rows = max(1, math.floor(math.log(0.4) / math.log(t))) if t < 1 else 8
     n = math.ceil(math.log(MISS) / math.log1p(-(t**rows))) if t < 1 else 1
     return rows, n
 
@@ -134,15 +134,20 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percen
     who = who[keep]
     place_l, place_r = np.full(len(sets), -1), np.full(len(sets), -1)
     place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
-    total = np.zeros((len(left), len(right)), np.float32)
+    # a pair whose sizes are too far apart cannot link, whatever it shares
+    close = (100 * sizes[left][:, None] >= percent * sizes[right][None, :]) & (100 * sizes[right][None, :] >= percent * sizes[left][:, None])
+    if not close.any():
+        return
+    kind = np.float32 if sizes.max() < 1 << 24 else np.float64  # counts stay exact
+    total = np.zeros((len(left), len(right)), kind)
     step = 4096
     n_cols = int(col[-1]) + 1 if len(col) else 0
     edges = np.searchsorted(col, np.arange(0, n_cols + step, step))
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         if hi > lo:
             c, w = col[lo:hi] - col[lo], who[lo:hi]
-            a = np.zeros((len(left), c[-1] + 1), np.float32)
-            b = a if left is right else np.zeros((len(right), c[-1] + 1), np.float32)
+            a = np.zeros((len(left), c[-1] + 1), kind)
+            b = a if left is right else np.zeros((len(right), c[-1] + 1), kind)
             m = place_l[w] >= 0
             a[place_l[w[m]], c[m]] = 1
             if b is not a:
@@ -152,7 +157,7 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percen
     both = total.astype(np.int64)
     for i in range(len(left)):
         union = sizes[left[i]] + sizes[right] - both[i]
-        hit = np.flatnonzero((100 * both[i] >= percent * union) & (union > 0))
+        hit = np.flatnonzero(close[i] & (100 * both[i] >= percent * union) & (union > 0))
         if len(hit):
             yield left[i], right[hit]
 
@@ -168,17 +173,9 @@ def _multiply(percent: int):
         if not len(left) or not len(right) or len(reps) < 2:
             return None
         forest = Forest(len(reps))
-        if len(reps) <= 6:
-            for i in left:
-                for j in right:
-                    if i < j or key[1] != key[2]:
-                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                            forest.join(int(i), int(j))
-        else:
-            for i, hits in overlaps(sets, left, left if key[1] == key[2] else right, percent):
-                for j in hits:
-                    forest.join(int(i), int(j))
+        for i, hits in overlaps(sets, left, left if key[1] == key[2] else right, percent):
+            for j in hits:
+                forest.join(int(i), int(j))
         root = np.array([forest.find(i) for i in range(len(reps))])
         m = np.flatnonzero(root != np.arange(len(reps)))
         return pa.Table.from_arrays([pa.array(reps[m]), pa.array(reps[root[m]])], schema=EDGES) if len(m) else None
@@ -192,10 +189,10 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = cut(docs.mapInArrow(_signatures(n, rows, number), "id long, n long, f1 long, f2 long, bands array<long>"))
     reps = cut(sig.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    # a bucket's rows go to its smallest row; a bucket holds a small part of one band's rows at most
-    low = F.expr("min(rep) over (partition by key)")
-    stars = reps.select("rep", F.explode("bands").alias("key")).select("rep", low.alias("b")).where("rep <> b").select(F.col("rep").alias("a"), "b")
-    blocks = components(stars)
+    # a bucket's rows go to its smallest row; no task holds a bucket: its least row comes from partial minima, and the join's parts may be split
+    held = reps.select("rep", F.explode("bands").alias("key"))
+    low = held.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b <> top").select("key", "b")
+    blocks = components(held.join(low, "key").where("rep <> b").select(F.col("rep").alias("a"), "b"))
     members = cut(blocks.select(F.col("node").alias("rep"), F.col("component").alias("block")).union(blocks.select(F.col("component").alias("rep"), F.col("component").alias("block")).distinct()))
     release(df.sparkSession)
     dealt = in_blocks(members, "block", "rep", BLOCK)
