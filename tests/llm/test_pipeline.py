@@ -48,3 +48,25 @@ def test_texts_decide_which_near_copies_stay(spark, docs):
         assert sorted(out, key=str) == sorted(want, key=str)
     plain = [r for r in rows if r[0] in (5, 11, 12, 13, 14)]
     assert {r.doc_id for r in p.near_copies_stage(spark, docs(plain), None).collect()} == {5, 11, 12, 13}
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
+def test_odd_rows_pass_every_stage(spark, docs, tmp_path):
+    import corpus_pipeline as p
+
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, text("a")), (2, None), (3, ""), (4, "long word " * 60_000), (5, text("item", 30)), (6, text("a") + " x"), (None, text("n")), (7, text("t")), (7, text("t"))]
+    spark.createDataFrame([(k, 1, 0) for k in (1, 4)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, text("item", 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs(rows).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    at, seen = docs(rows), []
+    for name, stage in p.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path)).cache()
+        assert at.columns == docs(rows).columns, name
+        seen.append(sorted({(r.doc_id or -1, r.text or "") for r in at.collect()}))
+    ids = [{i for i, _ in x} for x in seen]
+    assert ids[0] == {1, 2, 3, 4, 5, 6, -1, 7} and ids[1] == ids[0] - {6} and ids[2] == ids[1] - {5}
+    out = p.run(spark, str(tmp_path)).collect()
+    assert len(out) == at.count() and {r.doc_id for r in out if r.n_tokens == 1} <= {2, 3}
+    docs([]).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
