@@ -5,6 +5,11 @@ the document of the smallest id of each group stays), benchmark decontamination
 that hold an item go), mixing to target weights (each document as often as the mix
 takes it), token ids. Rows with equal ids are told apart by their texts where
 documents are dropped.
+
+In every stage a null, empty or very long text is a document like another: it has log weight 0 or is weighed whole, links
+with nothing or by all its words, holds no item, has size 0 or its words, and becomes the end id alone or all its ids. Ties and
+repeated rows are as each operator's module says; columns beyond those of ``documents`` pass through, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm import decontaminate, mixing, ngram_join, quality, token_file
-from meridian.llm.common import cut, read, shared_dir, ship, unused
+from meridian.llm.common import cut, read, remove, shared_dir, ship, unused
 
 SHINGLE, PERCENT = 5, 80
 
@@ -83,10 +88,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written as Parquet and read again."""
+    """The stages over ``documents``, each written as Parquet and read again; a stage's rows go when the next one's are there."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
