@@ -1,7 +1,8 @@
 """Selection of candidates: fold stability, overfit probability, scores, gates, ranking, decisions.
 
 A candidate is a row; everything up to the ranking is a projection of that row, so it
-runs without a shuffle. The ranking and the limits are windows over the run's evaluations.
+runs without a shuffle. The ranking and the limits are windows over a run's evaluations: over those of one
+``run_id`` where there is such a column, so no task holds more than a run.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from meridian.functions.stats import clip, mean, positive_share, spread
 
 
+#: The defaults of the weights, gates and limits.
 @dataclass(frozen=True)
 class Config:
     """Weights, gates and limits of a run."""
@@ -118,6 +120,14 @@ def pbo_fold_split(df: DataFrame, folds: str, least: int = 4) -> DataFrame:
     return df.withColumn("pbo_raw", out)
 
 
+def pbo_pairs(inside: Column, outside: Column) -> Column:
+    """The share of pairs whose in-sample value is above zero and whose other one is not; 0.5 without pairs of equal number."""
+    zero = lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(F.coalesce(x, F.lit(0.0)))
+    bad = F.filter(F.arrays_zip(inside.alias("a"), outside.alias("b")), lambda x: (zero(x["a"]) > 0) & (zero(x["b"]) <= 0))
+    known = (F.size(inside) > 0) & (F.size(inside) == F.size(outside))
+    return F.when(F.coalesce(known, F.lit(False)), F.size(bad) / F.size(inside)).otherwise(0.5)
+
+
 def combined_pbo(pbo_raw: Column, fragility: Column) -> Column:
     return clip(0.7 * pbo_raw + 0.3 * fragility, 0.0, 1.0)
 
@@ -150,12 +160,29 @@ def penalty(x: Column, most: float) -> Column:
     return F.coalesce(clip(F.abs(x) / most, 0.0, 1.0), F.lit(0.0))
 
 
+def fragility_penalty(folds: Column) -> Column:
+    """The standard deviation of the folds' values, at most 1."""
+    return F.least(F.lit(1.0), spread(folds))
+
+
+def components(df: DataFrame, evidence: bool = False) -> DataFrame:
+    """``df`` with ``components``: a map of the scores and penalties that make its score, and of the evidence axes."""
+    names = [*(f"{n}_score" for n in PLUS), *(f"{n}_penalty" for n in MINUS)]
+    if evidence:
+        names += [*(f"{n}_score" for n in EVIDENCE_PLUS), *(f"{n}_penalty" for n in EVIDENCE_MINUS)]
+    pairs = [x for n in names if n in df.columns for x in (F.lit(n), clip(F.col(n).cast("double"), 0.0, 1.0))]
+    return df.withColumn("components", F.create_map(*pairs))
+
+
+#: The components of the score.
+PLUS = ("predictive", "oos_sharpe", "regime_stability", "selection_consistency", "capacity")
+MINUS = ("pbo", "turnover", "complexity", "drawdown", "fragility")
+
+
 def score(df: DataFrame, config: Config = Config()) -> DataFrame:
     """``df`` with its score, from the columns of the components."""
-    plus = ("predictive", "oos_sharpe", "regime_stability", "selection_consistency", "capacity")
-    minus = ("pbo", "turnover", "complexity", "drawdown", "fragility")
-    add = reduce(lambda a, b: a + b, [getattr(config, f"w_{n}") * clip(F.col(f"{n}_score"), 0.0, 1.0) for n in plus])
-    less = reduce(lambda a, b: a + b, [getattr(config, f"w_{n}_penalty") * clip(F.col(f"{n}_penalty"), 0.0, 1.0) for n in minus])
+    add = reduce(lambda a, b: a + b, [getattr(config, f"w_{n}") * clip(F.col(f"{n}_score"), 0.0, 1.0) for n in PLUS])
+    less = reduce(lambda a, b: a + b, [getattr(config, f"w_{n}_penalty") * clip(F.col(f"{n}_penalty"), 0.0, 1.0) for n in MINUS])
     return df.withColumn("score", add - less)
 
 
@@ -201,10 +228,29 @@ def regime_features(df: DataFrame, values: str) -> DataFrame:
 
 
 def decision_summary(decided: DataFrame) -> DataFrame:
-    """Counts by decision, score statistics and the distinct first gate failures, of a run."""
-    n = lambda d: F.count(F.when(F.col("decision") == d, 1)).alias(f"n_{d.lower()}")
-    first = F.split(F.get("gate_failures", F.lit(0)), "=")[0]
-    return decided.agg(F.count("*").alias("n"), *[n(d) for d in ("SELECTED", "HOLD", "REVIEW_REQUIRED", "REJECTED")], F.avg("score").alias("avg_score"), F.median("score").alias("median_score"), F.array_join(F.array_sort(F.collect_set(first)), ",").alias("first_failures"))
+    """Of each run: counts by decision, by eligibility, review and suppression, scores of the selected, and the distinct first gate failures of the rejected."""
+    have = lambda c, d: F.col(c) if c in decided.columns else F.lit(d)
+    n = lambda x: F.count(F.when(x, 1))
+    is_ = lambda d: F.col("decision") == d
+    eligible, review = have("promotion_eligible", False), have("review_status", None)
+    first = F.when(is_("REJECTED"), F.split(F.get("gate_failures", F.lit(0)), "=")[0])
+    chosen = lambda c: F.when(is_("SELECTED"), have(c, None))
+    return decided.groupBy(*[c for c in ("run_id",) if c in decided.columns]).agg(
+        F.count("*").alias("n"),
+        *[n(is_(d)).alias(f"n_{d.lower()}") for d in ("SELECTED", "HOLD", "REJECTED", "REVIEW_REQUIRED")],
+        n(eligible).alias("n_eligible"),
+        n(eligible & (review == "pending")).alias("n_pending"),
+        n(review == "approved").alias("n_approved"),
+        n(have("near_duplicate_of", None).isNotNull()).alias("n_suppressed"),
+        F.avg("score").alias("avg_score"),
+        F.median("score").alias("median_score"),
+        F.avg(chosen("score")).alias("avg_selected_score"),
+        F.max(chosen("score")).alias("max_selected_score"),
+        F.avg(chosen("oos_sharpe")).alias("avg_selected_sharpe"),
+        F.avg(chosen("pbo")).alias("avg_selected_pbo"),
+        n(~F.col("gate_passed")).alias("n_gate_failed"),
+        F.array_join(F.array_sort(F.collect_set(first)), ",").alias("first_failures"),
+    )
 
 
 def gate_histogram(decided: DataFrame) -> DataFrame:
@@ -232,43 +278,101 @@ def gates(df: DataFrame, config: Config = Config()) -> DataFrame:
 # --- ranking and decisions ---
 
 
+def _run(df: DataFrame):
+    """The window of a row's run."""
+    return Window.partitionBy("run_id" if "run_id" in df.columns else F.lit(0))
+
+
+def _known(df: DataFrame, name: str, kind: str) -> DataFrame:
+    return df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
+
+
 def rank(df: DataFrame) -> DataFrame:
-    """``df`` with decision_rank: passed first, then by score, then in the order of ``ord``."""
-    return df.withColumn("decision_rank", F.row_number().over(Window.orderBy(F.desc("gate_passed"), F.desc("score"), "ord")))
+    """``df`` with decision_rank, by run: passed first, then by score, then in the order of ``ord``."""
+    return df.withColumn("decision_rank", F.row_number().over(_run(df).orderBy(F.desc("gate_passed"), F.desc("score"), "ord")))
 
 
 def diverse_top_k(ranked: DataFrame, config: Config = Config()) -> DataFrame:
-    """The best k that passed, at most ``max_same_family`` of a family (the first 8 letters of the source id)."""
-    family = F.nullif(F.substring("source_id", 1, 8), F.lit(""))
-    ok = ranked.where("gate_passed").withColumn("family", family)
-    place = F.row_number().over(Window.partitionBy("family").orderBy("decision_rank"))
+    """Of each run the best k that passed and are no near duplicate, at most ``max_same_family`` of a family (the first 8 letters of the source id), with new_rank."""
+    ranked = _known(ranked, "near_duplicate_of", "string")
+    ok = ranked.where(F.col("gate_passed") & F.col("near_duplicate_of").isNull()).withColumn("family", F.nullif(F.substring("source_id", 1, 8), F.lit("")))
+    keys = [c for c in ("run_id", "family") if c in ok.columns]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("decision_rank"))
     ok = ok.withColumn("family_place", F.when(F.col("family").isNotNull(), place).otherwise(1)).where(F.col("family_place") <= config.max_same_family)
-    return ok.orderBy("decision_rank").limit(config.top_k)
+    return ok.withColumn("new_rank", F.row_number().over(_run(ok).orderBy("decision_rank"))).where(F.col("new_rank") <= config.top_k)
+
+
+def assign(ranked: DataFrame, config: Config = Config()) -> DataFrame:
+    """``ranked`` with the ranks of the diverse top k, its decision, promotion_eligible and review_status, by run.
+
+    A diverse candidate takes its place among the diverse ones; others keep their rank. Gates, then score, then rank decide;
+    a near duplicate is rejected. Then the limits hold in turn: the worst of too many SELECTED wait, a waiting one whose score is close to the
+    least selected is for review, and the best ``promotion_top_k`` of the selected are eligible, but for those under review.
+    """
+    ranked = _known(_known(ranked, "near_duplicate_of", "string"), "review_status", "string")
+    keys = [c for c in ("run_id", "candidate_id") if c in ranked.columns]
+    best = diverse_top_k(ranked, config).select(*keys, "new_rank")
+    rows = ranked.join(best, keys, "left").withColumn("decision_rank", F.coalesce("new_rank", "decision_rank")).drop("new_rank")
+    fails = ~F.col("gate_passed") | (F.col("score") < 0) | F.col("near_duplicate_of").isNotNull()
+    rows = rows.withColumn("_d", F.when(fails, "REJECTED").when(F.col("decision_rank") <= config.top_k, "SELECTED").otherwise("HOLD"))
+    place = F.when(F.col("_d") == "SELECTED", F.row_number().over(Window.partitionBy(*[k for k in keys if k == "run_id"], "_d").orderBy("decision_rank", "ord")))
+    rows = rows.withColumn("_p", place).withColumn("_d", F.when(F.col("_p") > config.top_k, "HOLD").otherwise(F.col("_d")))
+    least = F.min(F.when(F.col("_d") == "SELECTED", F.col("score"))).over(_run(rows))
+    close = (F.col("_d") == "HOLD") & (F.col("score") >= least - config.review_margin)
+    rows = rows.withColumn("decision", F.when(F.coalesce(close, F.lit(False)), "REVIEW_REQUIRED").otherwise(F.col("_d")))
+    open_ = F.coalesce(F.col("review_status") != "approved", F.lit(False))
+    rows = rows.withColumn("_e", (F.col("decision") == "SELECTED") & ~open_)
+    turn = F.row_number().over(Window.partitionBy(*[k for k in keys if k == "run_id"], "_e").orderBy("decision_rank", "ord"))
+    return rows.withColumn("promotion_eligible", F.col("_e") & (turn <= config.promotion_top_k)).drop("_d", "_p", "_e")
 
 
 def decide(ranked: DataFrame, config: Config = Config()) -> DataFrame:
-    """``ranked`` with its decision: gates, then score, then rank; a close HOLD is for review."""
+    """``ranked`` with its decision by its own rank: gates, then score, then rank; a close HOLD is for review."""
     first = F.when(~F.col("gate_passed") | (F.col("score") < 0), "REJECTED").when(F.col("decision_rank") <= config.top_k, "SELECTED").otherwise("HOLD")
     rows = ranked.withColumn("_d", first)
-    least = F.min(F.when(F.col("_d") == "SELECTED", F.col("score"))).over(Window.partitionBy(F.lit(1)))
+    least = F.min(F.when(F.col("_d") == "SELECTED", F.col("score"))).over(_run(rows))
     close = (F.col("_d") == "HOLD") & (F.col("score") >= least - config.review_margin)
     return rows.withColumn("decision", F.when(close, "REVIEW_REQUIRED").otherwise(F.col("_d"))).drop("_d")
 
 
 def promotable(decided: DataFrame, config: Config = Config()) -> DataFrame:
-    """The approved among the best selected ones."""
-    place = F.row_number().over(Window.orderBy("decision_rank", "ord"))
+    """Of each run the approved among the best selected ones."""
+    place = F.row_number().over(_run(decided).orderBy("decision_rank", "ord"))
     return decided.where("decision = 'SELECTED'").withColumn("_p", place).where(F.col("_p") <= config.promotion_top_k).drop("_p").where("approved")
 
 
-def violations(decided: DataFrame) -> DataFrame:
-    """Rule and candidate_id of what contradicts the decisions' invariants."""
-    before = F.lag("score").over(Window.orderBy("decision_rank"))
+def violations(decided: DataFrame, config: Config = Config()) -> DataFrame:
+    """Rule, severity and candidate_id of what contradicts the decisions' invariants, by run.
+
+    R01 selected without passing the gates, R02 a better score at a worse rank, R03 a suppressed duplicate selected, R04 (a warning)
+    selected though overfit, R05 a score below zero.
+    """
+    decided = _known(decided, "near_duplicate_of", "string")
+    before = F.lag("score").over(_run(decided).orderBy("decision_rank", "ord"))
+    selected = F.col("decision") == "SELECTED"
     rules = {
-        "R01": (F.col("decision") == "SELECTED") & ~F.col("gate_passed"),
-        "R02": (F.col("decision") == "SELECTED") & (F.col("score") > F.col("_before") + 1e-9),
-        "R04": (F.col("decision") == "SELECTED") & (F.col("pbo") > 0.5),
-        "R05": (F.col("decision") == "SELECTED") & (F.col("score") < 0),
+        "R01": selected & ~F.col("gate_passed"),
+        "R02": F.col("score") > F.col("_before") + 1e-9,
+        "R03": selected & F.col("near_duplicate_of").isNotNull(),
+        "R04": selected & (F.col("pbo") > config.pbo_threshold),
+        "R05": F.col("score") < 0,
     }
     named = F.array_compact(F.array(*[F.when(bad, rule) for rule, bad in rules.items()]))
-    return decided.withColumn("_before", before).select("candidate_id", F.explode(named).alias("rule"))
+    out = decided.withColumn("_before", before).select(*[c for c in ("run_id",) if c in decided.columns], "candidate_id", F.explode(named).alias("rule"))
+    return out.withColumn("severity", F.when(F.col("rule") == "R04", "WARNING").otherwise("ERROR"))
+
+
+def top_k_overlap(rankings: DataFrame, k: int = 5) -> DataFrame:
+    """run_id, overlap: the mean Jaccard similarity of the folds' top k sets, over all pairs of a run's folds; 1 with one fold.
+
+    rankings(run_id, fold, place from 1, candidate_id). A pair's intersection is counted by candidate, so sets are never held.
+    """
+    top = rankings.where(F.col("place") <= k).select("run_id", "fold", "candidate_id").distinct()
+    sizes = top.groupBy("run_id", "fold").agg(F.count("*").alias("n"))
+    a, b = top.toDF("run_id", "fa", "candidate_id"), top.toDF("run_id", "fb", "candidate_id")
+    both = a.join(b, ["run_id", "candidate_id"]).where("fa < fb").groupBy("run_id", "fa", "fb").agg(F.count("*").alias("both"))
+    full = both.join(sizes.toDF("run_id", "fa", "na"), ["run_id", "fa"]).join(sizes.toDF("run_id", "fb", "nb"), ["run_id", "fb"])
+    sums = full.groupBy("run_id").agg(F.sum(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("s"))
+    folds = rankings.groupBy("run_id").agg(F.count_distinct("fold").alias("f"))
+    pairs = F.col("f") * (F.col("f") - 1) / 2
+    return folds.join(sums, "run_id", "left").select("run_id", F.when(F.col("f") > 1, F.coalesce("s", F.lit(0.0)) / pairs).otherwise(1.0).alias("overlap"))

@@ -8,16 +8,27 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.functions.stats import clip, positive_share
-from meridian.operators import backtest, evidence, features, genome, governance, metrics, selection
+from meridian.functions.stats import clip
+from meridian.operators import backtest, dedup, evidence, features, genome, governance, metrics, selection
 from meridian.operators.event_study import abnormal_returns, car_from
 from meridian.plans import search
 from meridian.sources import catalog
-from meridian.sources.tables import candidates, price_panel, return_series, table
+from meridian.sources.tables import candidates, featured_candidates, price_panel, return_series, table
 
 DATES = [date(1997, 3, 10), date(1999, 6, 15)]
 SECTORS = ("AUTOMOBILE", "BUILDING", "FURNITURE")
 
+LEFT = ["ts_delta(volume)", "zscore(ret_5)", "rank(atr / close)", "earnings_yield * pb", "credit_spread - us10y", "foo"]
+RIGHT = ["momentum_12m", "net_buy imbalance", "short_interest", "vwap", "bar"]
+PICK = f"list_extract({LEFT!r}, CAST({{k}} % 6 + 1 AS INTEGER)) || ' + ' || list_extract({RIGHT!r}, CAST({{k}} % 5 + 1 AS INTEGER))"
+FORMULAS = f"f AS (SELECT s_suppkey, {PICK.format(k='s_suppkey')} AS formula FROM supplier)"
+
+
+def formula_of(key: str):
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col(key) % n + 1).cast("int"))
+    return F.concat_ws(" + ", pick(LEFT, 6), pick(RIGHT, 5))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -239,7 +250,14 @@ def fold_stability(spark, sf_dir):
     return rounded(out)
 
 
-@query()
+PBO = """fold AS (SELECT l_suppkey AS ord, v, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY y) - 1 AS i, LAG(v) OVER (PARTITION BY l_suppkey ORDER BY y) AS before FROM yearly),
+halves AS (SELECT ord, half, MAX(CASE WHEN (half >> i) & 1 = 1 THEN v END) AS best, MEDIAN(CASE WHEN (half >> i) & 1 = 0 THEN v END) AS middle
+  FROM fold JOIN cand USING (ord), (SELECT UNNEST(RANGE(0, 256)) AS half) WHERE bit_count(half) = k // 2 AND half < (1 << CAST(k AS BIGINT)) GROUP BY 1, 2),
+split AS (SELECT ord, AVG(CASE WHEN best < middle THEN 1.0 ELSE 0.0 END) AS share FROM halves GROUP BY 1),
+pbo AS (SELECT c.ord, CASE WHEN k < 4 THEN 0.5 ELSE share END AS pbo_raw, CASE WHEN k < 3 THEN 0.5 ELSE LEAST(1, (SELECT MAX(ABS(x - m)) FROM (SELECT UNNEST(folds) AS x)) / (k - 1) / 0.5) END AS fragility FROM cand c LEFT JOIN split s ON c.ord = s.ord)"""
+
+
+@query(f"WITH {CANDIDATES}, {PBO} SELECT 'C' || CAST(ord AS VARCHAR) AS candidate_id, ROUND(pbo_raw, 6) AS pbo_raw, ROUND(fragility, 6) AS fragility, ROUND(LEAST(1, GREATEST(0, 0.7 * pbo_raw + 0.3 * fragility)), 6) AS pbo FROM pbo")
 def overfit_probability(spark, sf_dir):
     rows = selection.pbo_fold_split(candidates(table(spark, sf_dir, "lineitem")), "folds")
     frag = selection.selection_fragility(F.col("folds"))
@@ -258,48 +276,105 @@ def regime_entropy(spark, sf_dir):
 
 
 def evaluated(spark: SparkSession, sf_dir: str, config: selection.Config) -> DataFrame:
-    """Candidates with features, scores and gates; features come from their folds and rows."""
+    """Candidates with features, scores and gates; features come from their rows and yearly folds."""
     f = F.col("folds")
-    rows = selection.pbo_fold_split(candidates(table(spark, sf_dir, "lineitem")), "folds")
-    rows = rows.withColumn("oos_sharpe", F.round(F.array_max(f), 4)).withColumn("rank_ic", F.round(F.get(f, F.lit(0)) / 10, 4))
-    rows = rows.withColumn("turnover", (F.col("ord") % 9 / 2).cast("double")).withColumn("max_drawdown", (-(F.col("ord") % 13) / 50).cast("double"))
-    rows = rows.withColumn("regime_pass_ratio", F.round(positive_share(f), 6)).withColumn("complexity", (F.col("ord") % 8 / 10).cast("double"))
-    rows = rows.withColumn("pbo", F.round(selection.combined_pbo(F.col("pbo_raw"), selection.selection_fragility(f)), 6))
+    rows = selection.pbo_fold_split(featured_candidates(table(spark, sf_dir, "lineitem"), formula_of("ord")), "folds")
+    rows = rows.withColumn("pbo", F.round(selection.combined_pbo(F.col("pbo_raw"), selection.selection_fragility(f)), 4))
     rows = rows.select(
         "*",
-        selection.predictive_score(F.col("rank_ic"), F.lit(0.0), F.lit(0.5)).alias("predictive_score"),
+        selection.predictive_score(F.col("rank_ic"), F.col("ic_t"), F.col("hit_rate")).alias("predictive_score"),
         selection.oos_sharpe_score(F.col("oos_sharpe")).alias("oos_sharpe_score"),
-        selection.regime_stability_score(F.col("regime_pass_ratio"), F.lit(None).cast("double")).alias("regime_stability_score"),
-        F.round(selection.selection_consistency(f, f, f), 6).alias("selection_consistency_score"),
+        selection.regime_stability_score(F.col("regime_pass_ratio"), F.element_at(f, -1)).alias("regime_stability_score"),
+        F.round(selection.selection_consistency(f, f, f), 4).alias("selection_consistency_score"),
         selection.capacity_score(F.col("turnover"), F.col("complexity")).alias("capacity_score"),
         F.col("pbo").alias("pbo_penalty"),
         selection.penalty(F.col("turnover"), config.max_turnover).alias("turnover_penalty"),
         selection.penalty(F.col("complexity"), 1.0).alias("complexity_penalty"),
         selection.penalty(F.col("max_drawdown"), config.max_drawdown).alias("drawdown_penalty"),
-        F.least(F.lit(1.0), F.lit(0.1)).alias("fragility_penalty"),
+        selection.fragility_penalty(f).alias("fragility_penalty"),
     )
-    return selection.gates(selection.score(rows, config), config)
+    out = selection.gates(selection.score(rows, config), config)
+    return out.withColumn("score", F.round("score", 9))
 
 
 #: Wide gates, so that some candidates of the driver's data pass.
-WIDE = selection.Config(pbo_threshold=0.9, min_oos_sharpe=0.1, min_regime_pass_ratio=0.3, min_selection_stability=0.1, top_k=10)
-
-
-@query()
+WIDE = selection.Config(pbo_threshold=0.6, min_oos_sharpe=0.1, min_rank_ic=0.001, min_regime_pass_ratio=0.4, max_drawdown=0.4, max_complexity_score=0.95, min_selection_stability=0.2, top_k=4, promotion_top_k=2, max_same_family=1)
+
+
+def evaluated_sql(c: selection.Config) -> str:
+    """The relations up to ``gated``: scores, gate failures and what the gates read, of each candidate."""
+    gate = lambda bad, name, x, sign, word, limit, d: f"CASE WHEN {bad} THEN printf('{name}=%.{d}f {sign} {word}=%.{d}f', CAST({x} AS DOUBLE), CAST({limit} AS DOUBLE)) END"
+    failures = ", ".join(
+        [
+            gate(f"pbo > {c.pbo_threshold}", "pbo", "pbo", ">", "threshold", c.pbo_threshold, 4),
+            gate(f"ABS(rank_ic) < {c.min_rank_ic}", "rank_ic", "rank_ic", "<", "min", c.min_rank_ic, 4),
+            gate(f"oos_sharpe < {c.min_oos_sharpe}", "oos_sharpe", "oos_sharpe", "<", "min", c.min_oos_sharpe, 4),
+            gate(f"turnover > {c.max_turnover}", "turnover", "turnover", ">", "max", c.max_turnover, 2),
+            gate(f"ABS(max_drawdown) > {c.max_drawdown}", "max_drawdown", "ABS(max_drawdown)", ">", "max", c.max_drawdown, 4),
+            gate(f"regime_pass_ratio < {c.min_regime_pass_ratio}", "regime_pass_ratio", "regime_pass_ratio", "<", "min", c.min_regime_pass_ratio, 4),
+            gate(f"complexity > {c.max_complexity_score}", "complexity", "complexity", ">", "max", c.max_complexity_score, 4),
+            gate(f"consistency < {c.min_selection_stability}", "selection_stability", "consistency", "<", "min", c.min_selection_stability, 4),
+        ]
+    )
+    steady = "CASE WHEN k < 3 THEN 0.5 WHEN ABS(m) < {small} THEN {other} ELSE LEAST(1, GREATEST(0, 1 - s / ABS(m) / 2)) END"
+    return f"""{CANDIDATES}, {PBO},
+item AS (SELECT l_suppkey AS ord, CORR(l_discount, l_tax) AS ic, AVG(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END) AS hit FROM lineitem GROUP BY 1),
+span AS (SELECT ord, COALESCE(AVG(ABS(v - before)), 0) AS moves, MAX(v) AS hi, MIN(v) AS lo, arg_max(v, i) AS last FROM fold GROUP BY 1),
+feat AS (SELECT c.ord, c.candidate_id, c.source_id, c.folds, 'R' || CAST(c.ord % 5 AS VARCHAR) AS run_id, {PICK.format(k="c.ord")} AS formula, ROUND(hi, 4) AS oos_sharpe, ROUND(ic, 4) AS rank_ic, ROUND(ic * SQRT(n_rows), 4) AS ic_t, ROUND(hit, 4) AS hit_rate,
+  ROUND(moves, 4) AS turnover, ROUND((lo - hi) / 10, 4) AS max_drawdown, ROUND(LEAST(1.0, LENGTH({PICK.format(k="c.ord")}) / 40.0), 4) AS complexity, ROUND(up / CAST(k AS DOUBLE), 4) AS regime_pass_ratio, last, m, s, k, up, fragility, ROUND(LEAST(1, GREATEST(0, 0.7 * pbo_raw + 0.3 * fragility)), 4) AS pbo
+  FROM cand c JOIN item USING (ord) JOIN span USING (ord) JOIN pbo USING (ord)),
+axes AS (SELECT *, LEAST(1, LEAST(ABS(rank_ic) / 0.1, 1) + CASE WHEN ABS(ic_t) > 2 THEN LEAST((ABS(ic_t) - 2) * 0.05, 0.1) ELSE 0 END + CASE WHEN hit_rate > 0.55 THEN LEAST((hit_rate - 0.55) * 0.5, 0.1) ELSE 0 END) AS predictive,
+  LEAST(1, GREATEST(0, oos_sharpe / 2)) AS sharpe_score, LEAST(1, regime_pass_ratio + CASE WHEN last > 0 THEN LEAST(last / 4, 0.2) ELSE 0 END) AS regime,
+  ROUND(LEAST(1, GREATEST(0, 0.35 * {steady.format(small=0.01, other="LEAST(1, GREATEST(0, 1 - s / 2))")} + 0.25 * {steady.format(small=0.001, other="GREATEST(1 - s, 0)")} + 0.2 * GREATEST(up, k - up) / CAST(k AS DOUBLE) + 0.2 * CASE WHEN k < 2 THEN 0.5 ELSE 1 - LEAST(CASE WHEN ABS(m) < 0.01 THEN s * 2 ELSE s / ABS(m) END, 1) END)), 4) AS consistency,
+  LEAST(1, GREATEST(0, EXP(-0.3 * GREATEST(0, turnover - 1)) * CASE WHEN complexity > 0.5 THEN GREATEST(0.3, 1 - (complexity - 0.5)) ELSE 1 END)) AS capacity FROM feat),
+scored AS (SELECT *, ROUND(0.2 * LEAST(1, GREATEST(0, predictive)) + 0.15 * sharpe_score + 0.15 * LEAST(1, GREATEST(0, regime)) + 0.1 * consistency + 0.1 * capacity - 0.02 * pbo - 0.1 * LEAST(1, ABS(turnover) / {c.max_turnover}) - 0.05 * complexity - 0.05 * LEAST(1, ABS(max_drawdown) / {c.max_drawdown}) - 0.03 * LEAST(1, s), 9) AS score FROM axes),
+gated AS (SELECT *, [x FOR x IN [{failures}] IF x IS NOT NULL] AS gate_failures FROM scored)"""
+
+
+def ranked_sql(c: selection.Config, dedup: bool = True) -> str:
+    """The relations up to ``decided``."""
+    dup = "CASE WHEN ord > MIN(ord) OVER (PARTITION BY run_id, formula) THEN 'C' || CAST(MIN(ord) OVER (PARTITION BY run_id, formula) AS VARCHAR) END" if dedup else "CAST(NULL AS VARCHAR)"
+    return f"""{evaluated_sql(c)},
+ranked AS (SELECT *, LEN(gate_failures) = 0 AS gate_passed, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY LEN(gate_failures) = 0 DESC, score DESC, ord) AS first_rank, {dup} AS near_duplicate_of FROM gated),
+family AS (SELECT *, SUBSTR(source_id, 1, 8) AS family, ROW_NUMBER() OVER (PARTITION BY run_id, SUBSTR(source_id, 1, 8) ORDER BY first_rank) AS family_place FROM ranked WHERE gate_passed AND near_duplicate_of IS NULL),
+best AS (SELECT run_id, ord, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY first_rank) AS new_rank FROM family WHERE family_place <= {c.max_same_family}),
+diverse AS (SELECT * FROM best WHERE new_rank <= {c.top_k}),
+d1 AS (SELECT r.*, COALESCE(new_rank, first_rank) AS decision_rank, CASE WHEN NOT gate_passed OR score < 0 OR near_duplicate_of IS NOT NULL THEN 'REJECTED' WHEN COALESCE(new_rank, first_rank) <= {c.top_k} THEN 'SELECTED' ELSE 'HOLD' END AS d FROM ranked r LEFT JOIN diverse v ON r.run_id = v.run_id AND r.ord = v.ord),
+d2 AS (SELECT * EXCLUDE (d), CASE WHEN d = 'SELECTED' AND ROW_NUMBER() OVER (PARTITION BY run_id, d ORDER BY decision_rank, ord) > {c.top_k} THEN 'HOLD' ELSE d END AS d FROM d1),
+d3 AS (SELECT *, CASE WHEN d = 'HOLD' AND score >= MIN(CASE WHEN d = 'SELECTED' THEN score END) OVER (PARTITION BY run_id) - {c.review_margin} THEN 'REVIEW_REQUIRED' ELSE d END AS decision FROM d2),
+decided AS (SELECT *, decision = 'SELECTED' AND ROW_NUMBER() OVER (PARTITION BY run_id, decision = 'SELECTED' ORDER BY decision_rank, ord) <= {c.promotion_top_k} AS promotion_eligible FROM d3)"""
+
+
+def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked candidates, with the earlier one of the same run that has the same formula."""
+    rows = evaluated(spark, sf_dir, WIDE)
+    return selection.rank(dedup.mark(rows, dedup.structural(rows, ["run_id"], "formula", hash_col="formula", least=0.95)))
+
+
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.assign(ranked_candidates(spark, sf_dir), WIDE)
+
+
+@query(f"WITH {ranked_sql(WIDE)} SELECT run_id, candidate_id, ROUND(score, 6) AS score, gate_passed, array_to_string(gate_failures, '; ') AS gate_failures, near_duplicate_of, CAST(decision_rank AS INTEGER) AS decision_rank, decision, promotion_eligible FROM decided")
 def selection_decisions(spark, sf_dir):
-    out = selection.decide(selection.rank(evaluated(spark, sf_dir, WIDE)), WIDE)
-    return rounded(out.select("candidate_id", "score", "gate_passed", F.array_join("gate_failures", "; ").alias("gate_failures"), "decision_rank", "decision"))
+    return rounded(decided(spark, sf_dir).select("run_id", "candidate_id", "score", "gate_passed", F.array_join("gate_failures", "; ").alias("gate_failures"), "near_duplicate_of", "decision_rank", "decision", "promotion_eligible"))
 
 
-@query()
+@query(f"WITH {ranked_sql(WIDE)} SELECT f.run_id, f.candidate_id, family, CAST(new_rank AS INTEGER) AS new_rank, ROUND(score, 6) AS score FROM family f JOIN diverse USING (run_id, ord)")
 def diverse_top_k(spark, sf_dir):
-    out = selection.diverse_top_k(selection.rank(evaluated(spark, sf_dir, WIDE)), WIDE)
-    return rounded(out.select("candidate_id", "family", "decision_rank", "score"))
+    out = selection.diverse_top_k(ranked_candidates(spark, sf_dir), WIDE)
+    return rounded(out.select("run_id", "candidate_id", "family", "new_rank", "score"))
 
 
-@query()
+@query(
+    f"""WITH {ranked_sql(WIDE)}, seq AS (SELECT *, LAG(score) OVER (PARTITION BY run_id ORDER BY decision_rank, ord) AS before FROM decided)
+SELECT run_id, candidate_id, rule, CASE WHEN rule = 'R04' THEN 'WARNING' ELSE 'ERROR' END AS severity FROM (
+  SELECT run_id, candidate_id, 'R01' AS rule FROM seq WHERE decision = 'SELECTED' AND NOT gate_passed UNION ALL SELECT run_id, candidate_id, 'R02' AS rule FROM seq WHERE score > before + 1e-9
+  UNION ALL SELECT run_id, candidate_id, 'R03' AS rule FROM seq WHERE decision = 'SELECTED' AND near_duplicate_of IS NOT NULL UNION ALL SELECT run_id, candidate_id, 'R04' AS rule FROM seq WHERE decision = 'SELECTED' AND pbo > {WIDE.pbo_threshold}
+  UNION ALL SELECT run_id, candidate_id, 'R05' AS rule FROM seq WHERE score < 0)"""
+)
 def decision_violations(spark, sf_dir):
-    return selection.violations(selection.decide(selection.rank(evaluated(spark, sf_dir, WIDE)), WIDE))
+    return selection.violations(decided(spark, sf_dir), WIDE)
 
 
 @query(
@@ -482,16 +557,12 @@ def fragility_surface(spark, sf_dir):
     return rounded(evidence.fragility_surface(tested, 1.16))
 
 
-LEFT = ["ts_delta(volume)", "zscore(ret_5)", "rank(atr / close)", "earnings_yield * pb", "credit_spread - us10y", "foo"]
-RIGHT = ["momentum_12m", "net_buy imbalance", "short_interest", "vwap", "bar"]
-FORMULAS = f"f AS (SELECT s_suppkey, list_extract({LEFT!r}, CAST(s_suppkey % 6 + 1 AS INTEGER)) || ' + ' || list_extract({RIGHT!r}, CAST(s_suppkey % 5 + 1 AS INTEGER)) AS formula FROM supplier)"
 AXIS_ROWS = ", ".join(f"({i}, '{a}', '{k}', {w})" for i, a in enumerate(genome.AXES) for k, w in genome.KEYWORDS[a])
 FACTOR_ROWS = ", ".join(f"('{f}', '{k}')" for f, _, ks, _ in genome.FACTORS for k in ks)
 
 
 def supplier_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("s_suppkey") % n + 1).cast("int"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(" + ", pick(LEFT, 6), pick(RIGHT, 5)).alias("formula"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", formula_of("s_suppkey").alias("formula"))
 
 
 @query(
@@ -521,19 +592,30 @@ def genome_near_duplicates(spark, sf_dir):
     return rounded(genome.near_duplicates(genome.encode(supplier_formulas(spark, sf_dir), "formula"), "s_suppkey"))
 
 
-@query()
+@query(
+    f"""WITH {ranked_sql(WIDE)} SELECT run_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE decision = 'SELECTED') AS n_selected, COUNT(*) FILTER (WHERE decision = 'HOLD') AS n_hold, COUNT(*) FILTER (WHERE decision = 'REJECTED') AS n_rejected, COUNT(*) FILTER (WHERE decision = 'REVIEW_REQUIRED') AS n_review_required,
+  COUNT(*) FILTER (WHERE promotion_eligible) AS n_eligible, CAST(0 AS BIGINT) AS n_pending, CAST(0 AS BIGINT) AS n_approved, COUNT(near_duplicate_of) AS n_suppressed, ROUND(AVG(score), 6) AS avg_score, ROUND(MEDIAN(score), 6) AS median_score, ROUND(AVG(score) FILTER (WHERE decision = 'SELECTED'), 6) AS avg_selected_score,
+  ROUND(MAX(score) FILTER (WHERE decision = 'SELECTED'), 6) AS max_selected_score, ROUND(AVG(oos_sharpe) FILTER (WHERE decision = 'SELECTED'), 6) AS avg_selected_sharpe, ROUND(AVG(pbo) FILTER (WHERE decision = 'SELECTED'), 6) AS avg_selected_pbo, COUNT(*) FILTER (WHERE NOT gate_passed) AS n_gate_failed,
+  COALESCE(array_to_string(list_sort(list(DISTINCT split_part(gate_failures[1], '=', 1)) FILTER (WHERE decision = 'REJECTED' AND NOT gate_passed)), ','), '') AS first_failures FROM decided GROUP BY 1"""
+)
 def decision_summary(spark, sf_dir):
-    return rounded(selection.decision_summary(selection.decide(selection.rank(evaluated(spark, sf_dir, WIDE)), WIDE)))
+    return rounded(selection.decision_summary(decided(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {evaluated_sql(selection.Config())} SELECT split_part(x, '=', 1) AS gate, COUNT(*) AS n FROM (SELECT UNNEST(gate_failures) AS x FROM gated) GROUP BY 1")
 def gate_histogram(spark, sf_dir):
     return selection.gate_histogram(evaluated(spark, sf_dir, selection.Config()))
 
 
-@query()
+ENTROPY = "(SELECT CASE WHEN COUNT(*) >= 2 THEN LEAST(1, SUM(-(x / t) * LN(x / t)) / LN(COUNT(*))) ELSE 0 END FROM (SELECT x, SUM(x) OVER () AS t FROM (SELECT UNNEST(folds) AS x) WHERE x > 0))"
+
+
+@query(
+    f"""WITH {evaluated_sql(WIDE)}, e AS (SELECT *, ROUND({ENTROPY}, 6) AS entropy FROM gated)
+SELECT candidate_id, ROUND(score, 6) AS score, ROUND(score + 0.05 * 0.5 + 0.05 * 0.5 + 0.05 * entropy, 6) AS score_v2, LEN(gate_failures) = 0 AND entropy >= 0.6 AS gate_passed, CAST(LEN(gate_failures) + CASE WHEN entropy < 0.6 THEN 1 ELSE 0 END AS INTEGER) AS n_failures FROM e"""
+)
 def evidence_scores(spark, sf_dir):
-    rows = evaluated(spark, sf_dir, WIDE).withColumn("regime_entropy", evidence.normalized_entropy(F.col("folds"))).withColumn("regime_entropy_score", F.col("regime_entropy"))
+    rows = evaluated(spark, sf_dir, WIDE).withColumn("regime_entropy", F.round(evidence.normalized_entropy(F.col("folds")), 6)).withColumn("regime_entropy_score", F.col("regime_entropy"))
     out = selection.evidence_gates(selection.score_with_evidence(rows.drop("score"), WIDE))
     return rounded(out.select("candidate_id", "score", "score_v2", "gate_passed", F.size("gate_failures").alias("n_failures")))
 

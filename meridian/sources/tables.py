@@ -49,6 +49,29 @@ def candidates(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def featured_candidates(lineitem: DataFrame, formula) -> DataFrame:
+    """``candidates`` with run_id, formula (of the column ``ord``) and the features of a selection, to 4 places."""
+    rows = lineitem.groupBy("l_suppkey").agg(F.corr("l_discount", "l_tax").alias("ic"), F.avg((F.col("l_discount") > 0.05).cast("double")).alias("hit"))
+    out = candidates(lineitem).join(rows, F.col("ord") == F.col("l_suppkey")).drop("l_suppkey")
+    f = F.col("folds")
+    steps = F.transform(F.sequence(F.lit(1), F.size(f) - 1), lambda i: F.abs(F.get(f, i) - F.get(f, i - 1)))
+    moves = F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (F.size(f) - 1)
+    four = lambda c: F.round(c, 4)
+    return out.select(
+        "*",
+        F.concat(F.lit("R"), (F.col("ord") % 5).cast("string")).alias("run_id"),
+        formula.alias("formula"),
+        four(F.array_max(f)).alias("oos_sharpe"),
+        four("ic").alias("rank_ic"),
+        four(F.col("ic") * F.sqrt(F.col("n_rows").cast("double"))).alias("ic_t"),
+        four("hit").alias("hit_rate"),
+        four(F.when(F.size(f) > 1, moves).otherwise(0.0)).alias("turnover"),
+        four((F.array_min(f) - F.array_max(f)) / 10).alias("max_drawdown"),
+        four(F.least(F.lit(1.0), F.length(formula) / 40)).alias("complexity"),
+        four(F.size(F.filter(f, lambda x: x > 0)) / F.size(f)).alias("regime_pass_ratio"),
+    )
+
+
 def export_first_keys(df: DataFrame, key: str, k: int, path: str) -> None:
     """CSV of the rows of the first k distinct keys."""
     first = df.select(key).distinct().orderBy(key).limit(k)
