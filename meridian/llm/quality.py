@@ -169,7 +169,7 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(9), F.col(id_col), text).alias("h"), text.alias("text"))
     docs = docs.join(F.broadcast(fit), F.col("id") == F.col("_l"), "left").select("id", "h", "text", "kind")  # LABELLED rows at most
     kinds = "kind int, chunk int, counts binary"
-    parts = docs.where("kind is not null").select("text", "kind").repartition(COUNTERS, "text").mapInArrow(_count, kinds)
+    parts = docs.where("kind is not null").repartition(COUNTERS, "h").select("text", "kind").mapInArrow(_count, kinds)
     counts = np.zeros((2 * KINDS, BUCKETS), np.int64)
     for k, chunk, raw in parts.repartition(shuffle_partitions(spark), "kind", "chunk").mapInArrow(_sum, kinds).collect():  # a row for each of the fixed chunks
         counts[k, chunk * CHUNK : (chunk + 1) * CHUNK] = unplanes(bytes(raw), "<i8")
