@@ -67,35 +67,22 @@ def alike(df: DataFrame, keys: list[str], text_col: str, hash_col: str | None =
 def greedy(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, id, suppressed_by: walks the candidates in their order and drops those that an earlier kept one is like.
 
-    pairs(keys, a, oa, b, ob), ``a`` before ``b``. A round keeps every undecided candidate that no undecided one comes before and drops all that those
-    are like, so there are as many rounds as the longest chain of candidates that wait for each other.
+    pairs(keys, a, oa, b, ob), ``a`` before ``b``. In a round a candidate that no undecided one comes before stays, and those that it is like go, so
+    there are as many rounds as the longest chain of candidates that wait for each other. Who never goes stays.
     """
     pairs = pairs.select(*keys, "a", "oa", "b", "ob").distinct().checkpoint()
-    left, kept = pairs, None
+    left, gone = pairs, pairs.select(*keys, F.col("b").alias("id")).where("false")
     while left.head(1):
-        waits = left.select(*keys, F.col("b").alias("id")).distinct()
-        now = left.select(*keys, F.col("a").alias("id")).distinct().join(waits, [*keys, "id"], "left_anti").checkpoint()
-        kept = now if kept is None else kept.unionByName(now)
-        gone = left.join(now.withColumnRenamed("id", "a"), [*keys, "a"], "left_semi").select(*keys, F.col("b").alias("id")).distinct()
-        done = now.unionByName(gone).checkpoint()
-        left = left.join(done.withColumnRenamed("id", "a"), [*keys, "a"], "left_anti").join(done.withColumnRenamed("id", "b"), [*keys, "b"], "left_anti").checkpoint()
-        # who waited only for candidates that are gone has no pair left and stays
-    if kept is None:
-        return pairs.select(*keys, F.col("b").alias("id"), F.col("a").alias("suppressed_by"))
-    # a candidate is dropped by the first kept one before it; those that no kept one is like stay
-    stays = _stay(pairs, kept, keys)
-    by = pairs.join(stays.withColumnRenamed("id", "a"), [*keys, "a"], "left_semi").groupBy(*keys, "b").agg(F.min(F.struct("oa", "a")).alias("first"))
-    by = by.join(stays.withColumnRenamed("id", "b"), [*keys, "b"], "left_anti")
+        waits = left.select(*keys, F.col("b").alias("a")).distinct()
+        now = left.join(waits, [*keys, "a"], "left_anti").select(*keys, F.col("b").alias("id")).distinct().checkpoint()
+        gone = gone.unionByName(now)
+        left = left.join(now.withColumnRenamed("id", "a"), [*keys, "a"], "left_anti").join(now.withColumnRenamed("id", "b"), [*keys, "b"], "left_anti").checkpoint()
+    # a candidate is dropped by the first one before it that stays
+    stays = pairs.join(gone.withColumnRenamed("id", "a"), [*keys, "a"], "left_anti")
+    by = stays.join(gone.withColumnRenamed("id", "b"), [*keys, "b"], "left_semi").groupBy(*keys, "b").agg(F.min(F.struct("oa", "a")).alias("first"))
     return by.select(*keys, F.col("b").alias("id"), F.col("first.a").alias("suppressed_by"))
 
 
-def _stay(pairs: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
-    """All that stay: the kept ones, and those with pairs whom none of them is like."""
-    every = pairs.select(*keys, F.col("a").alias("id")).union(pairs.select(*keys, F.col("b").alias("id"))).distinct()
-    like = pairs.join(kept.withColumnRenamed("id", "a"), [*keys, "a"], "left_semi").select(*keys, F.col("b").alias("id")).distinct()
-    return every.join(like, [*keys, "id"], "left_anti").checkpoint()
-
-
 def structural(df: DataFrame, keys: list[str], text_col: str, hash_col: str | None = None, least: float = 0.95) -> DataFrame:
     """keys, id, suppressed_by of the candidates that an earlier kept one of the group is like in formula or hash."""
     return greedy(alike(df, keys, text_col, hash_col, least), keys)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.functions.stats import clip, correlation, cosine, over_series, ratio, total
+from meridian.functions.stats import clip, correlation, cosine, over_series, ratio, rolling, sharpe, total
 
 
 # --- regime entropy ---
@@ -163,14 +163,40 @@ def factor_regressions(series: DataFrame, factors: DataFrame, value: str = "ret"
     return out.select("series_id", "factor", (F.col("my") - beta * F.col("mx")).alias("alpha"), beta.alias("beta"), r2.alias("r2"), F.sqrt(F.col("vy") * F.col("n") * (1 - r2) / F.greatest(F.lit(1), F.col("n") - 2)).alias("resid_std"))
 
 
-def crowding(regressions: DataFrame, most: float = 0.80) -> DataFrame:
-    """The factor that explains a series best, the three largest |beta|'s share, and whether r2 passes."""
+#: The bounds and scales of the penalty ramps.
+R2_MOST, CROWDING_SCALE, FSI_MOST, FSI_SCALE = 0.80, 0.30, 0.40, 0.25
+
+
+def ramp(x: Column, most: float, scale: float) -> Column:
+    """0 up to ``most``, then in proportion to what is over it, ``scale`` at 1."""
+    over = F.lit(scale) if 1 - most < 1e-10 else F.least(F.lit(scale), (x - most) / (1 - most) * scale)
+    return F.when(x <= most, 0.0).otherwise(over)
+
+
+def crowding(regressions: DataFrame, most: float = R2_MOST, matches: DataFrame | None = None, n_factors: int = 16) -> DataFrame:
+    """The factor that explains a series best, the three largest |beta|'s share, the penalty and whether r2 passes.
+
+    ``matches`` (series_id, score: keywords of a factor in the formula) adds factor_overlap, their sum as a part of ``n_factors``, at most 1.
+    """
     best = F.max(F.struct("r2", "factor"))
-    size = F.transform(F.sort_array(F.collect_list(F.abs("beta")), asc=False), lambda x: x)
+    size = F.sort_array(F.collect_list(F.abs("beta")), asc=False)  # a value for each of the known factors
     out = regressions.groupBy("series_id").agg(best.alias("b"), size.alias("betas"))
-    share = ratio(total(F.slice("betas", 1, 3)), total(F.col("betas")))
+    all_ = total(F.col("betas"))
+    share = F.when((all_ > 1e-10) & (F.size("betas") >= 2), total(F.slice("betas", 1, 3)) / all_).otherwise(1.0)
     r2 = F.col("b.r2")
-    return out.select("series_id", F.col("b.factor").alias("top_factor"), r2.alias("max_r2"), F.coalesce(share, F.lit(0.0)).alias("top3_share"), (r2 <= most).alias("crowding_passed"))
+    out = out.select("series_id", F.col("b.factor").alias("top_factor"), r2.alias("max_r2"), share.alias("top3_share"), ramp(r2, most, CROWDING_SCALE).alias("crowding_penalty"), (r2 <= most).alias("crowding_passed"))
+    if matches is None:
+        return out
+    overlap = matches.groupBy("series_id").agg(F.least(F.lit(1.0), F.sum("score") / n_factors).alias("factor_overlap"))
+    return out.join(overlap, "series_id", "left").fillna(0.0, ["factor_overlap"])
+
+
+def crowding_summary(scores: DataFrame, n: int = 5) -> DataFrame:
+    """Counts, mean and largest r2, the passing share, and the ``n`` most crowded ones as text."""
+    top = scores.orderBy(F.desc("max_r2"), "series_id").limit(n).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("max_r2")).alias("o"), "series_id", "top_factor"))), lambda x: F.concat_ws(":", x["series_id"].cast("string"), x["top_factor"])), ",").alias("top_crowded"))
+    good = F.col("crowding_passed").cast("int")
+    sums = scores.agg(F.count("*").alias("n"), F.avg("max_r2").alias("mean_r2"), F.max("max_r2").alias("max_r2"), F.sum(good).alias("n_passed"), F.sum(1 - good).alias("n_failed"), F.avg(good).alias("pass_ratio"))
+    return sums.crossJoin(top)  # a row and a row
 
 
 # --- robust scale, fragility surface ---
@@ -201,17 +227,113 @@ def parameter_grid(spark, values: dict[str, list[float]], most: int) -> DataFram
     return out.withColumnRenamed("id", "sample").drop("_p")
 
 
-def fragility_surface(evaluated: DataFrame, baseline: float) -> DataFrame:
-    """cv and worst-case degradation of the sharpes on a grid, and the index that halves both."""
-    m, s = F.avg("sharpe"), F.stddev_pop("sharpe")
-    out = evaluated.agg(F.count("*").alias("n"), m.alias("mean_sharpe"), s.alias("std_sharpe"), F.min("sharpe").alias("min_sharpe"))
+def fragility_surface(evaluated: DataFrame, baseline: float | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Of each group: cv and worst-case degradation of the sharpes on a grid, the index that halves both, its penalty and gate.
+
+    The baseline is the mean sharpe of the rows with ``is_baseline``, which do not count otherwise, or a number.
+    """
+    keys = keys or []
+    other = ~F.col("is_baseline") if "is_baseline" in evaluated.columns else F.lit(True)
+    x = F.when(other, F.col("sharpe"))
+    base = F.lit(baseline) if baseline is not None else F.avg(F.when(~other, F.col("sharpe")))
+    out = evaluated.groupBy(*keys).agg(F.count("*").alias("n"), base.alias("baseline"), F.avg(x).alias("mean_sharpe"), F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias("std_sharpe"), F.min(x).alias("min_sharpe"))
     cv = F.when(F.abs("mean_sharpe") > 1e-10, F.col("std_sharpe") / F.abs("mean_sharpe")).otherwise(F.col("std_sharpe"))
-    worse = clip((F.lit(baseline) - F.col("min_sharpe")) / max(abs(baseline), 1e-10), 0.0, 1.0)
-    return out.select("*", cv.alias("cv"), worse.alias("degradation"), (0.5 * F.least(F.lit(1.0), cv) + 0.5 * worse).alias("fsi"))
+    loss = F.greatest(F.lit(0.0), F.col("baseline") - F.col("min_sharpe")) / F.col("baseline")
+    worse = F.least(F.lit(1.0), F.when(F.col("baseline") > 1e-10, loss).otherwise(F.when(F.col("min_sharpe") > 0, 0.0).otherwise(1.0)))
+    # only the baseline: nothing was perturbed
+    none = F.col("mean_sharpe").isNull()
+    fsi = F.when(none, 0.0).otherwise(0.5 * F.least(F.lit(1.0), cv) + 0.5 * worse)
+    out = out.select("*", F.when(none, 0.0).otherwise(cv).alias("cv"), F.when(none, 0.0).otherwise(worse).alias("degradation"), fsi.alias("fsi"))
+    return out.select("*", (1 - F.col("fsi")).alias("local_stability"), ramp(F.col("fsi"), FSI_MOST, FSI_SCALE).alias("fsi_penalty"), (F.col("fsi") <= FSI_MOST).alias("fsi_passed"))
+
+
+def surface_summary(surfaces: DataFrame) -> DataFrame:
+    good = F.col("fsi_passed").cast("int")
+    f = F.col("fsi")
+    return surfaces.agg(F.count("*").alias("n"), F.avg(f).alias("mean_fsi"), F.median(f).alias("median_fsi"), F.max(f).alias("max_fsi"), F.min(f).alias("min_fsi"), F.avg("local_stability").alias("mean_stability"), F.sum(good).alias("n_passed"), F.sum(1 - good).alias("n_failed"), F.avg(good).alias("pass_ratio"))
+
+
+def parameter_sensitivity(evaluated: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:
+    """keys, parameter, sensitivity: the spread of mean sharpes over its values."""
+    keys = keys or []
+    rows = evaluated.select(*keys, "sharpe", F.explode(F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(n).cast("double").alias("value")) for n in names])).alias("p")).select(*keys, "sharpe", "p.*")
+    means = rows.groupBy(*keys, "parameter", "value").agg(F.avg("sharpe").alias("m"))
+    return means.groupBy(*keys, "parameter").agg((F.max("m") - F.min("m")).alias("sensitivity"))
+
+
+def backtest_grid(series: DataFrame, lookbacks: list[int], scales: list[float], costs: list[float], base: tuple[int, float, float]) -> DataFrame:
+    """series_id, lookback, scale, cost, sharpe, rows with is_baseline: a backtest of each series at each point of a grid.
+
+    The position is the mean of the last ``lookback`` returns times ``scale``, within -1 and 1; a change costs ``cost`` basis points.
+    """
+    w = over_series("series_id")
+    rows = series.select("series_id", "t", "target", *[rolling(F.avg, F.col("ret"), w, n).alias(f"_{n}") for n in lookbacks])
+    means = F.array(*[F.struct(F.lit(n).alias("lookback"), F.col(f"_{n}").alias("mean")) for n in lookbacks])
+    rows = rows.select("series_id", "t", "target", F.explode(means).alias("m")).select("series_id", "t", "target", "m.*").where("mean is not null and target is not null")
+    rows = rows.withColumn("scale", F.explode(F.array(*[F.lit(float(x)) for x in scales]))).withColumn("position", clip(F.col("mean") * F.col("scale"), -1.0, 1.0))
+    move = F.coalesce(F.abs(F.col("position") - F.lag("position").over(over_series(["series_id", "lookback", "scale"]))), F.lit(0.0))
+    rows = rows.withColumn("move", move).withColumn("cost", F.explode(F.array(*[F.lit(float(x)) for x in costs])))
+    out = rows.groupBy("series_id", "lookback", "scale", "cost").agg(sharpe(F.col("position") * F.col("target") - F.col("move") * F.col("cost") * 1e-4).alias("sharpe"))
+    return out.withColumn("is_baseline", (F.col("lookback") == base[0]) & (F.col("scale") == base[1]) & (F.col("cost") == base[2]))
+
+
+# --- regime records ---
+
+#: Features and the regimes whose sharpe they are.
+REGIME_KEYS = {"crisis_period_sharpe": "crisis", "low_liquidity_sharpe": "low_liquidity", "high_vol_sharpe": "high_vol", "event_window_only_sharpe": "event_window", "bull_sharpe": "bull", "bear_sharpe": "bear", "sideways_sharpe": "sideways", "rate_hike_sharpe": "rate_hike", "rate_cut_sharpe": "rate_cut", "risk_on_sharpe": "risk_on", "risk_off_sharpe": "risk_off"}
+
+
+def regime_sharpes(features: Column) -> Column:
+    """A map of regimes and finite sharpes from a map of features, in the order of ``REGIME_KEYS``."""
+    at = lambda k: F.try_element_at(features, F.lit(k))
+    pairs = F.array(*[F.struct(F.lit(r).alias("key"), at(k).alias("value")) for k, r in REGIME_KEYS.items()])
+    return F.map_from_entries(F.filter(pairs, lambda x: x["value"].isNotNull() & ~F.isnan(x["value"]) & (F.abs(x["value"]) < float("inf"))))
+
+
+def entropy_record(df: DataFrame, sharpes: str, threshold: float = 0.60) -> DataFrame:
+    """``df``, with a map column of regimes' sharpes, and its entropy features, weights (of those above zero), the dominant regime and its weight, max_entropy, n_regimes and is_balanced."""
+    up = F.map_filter(F.col(sharpes), lambda k, v: v > 0)
+    rows = df.withColumn("_v", F.map_values(up)).withColumn("_k", F.map_keys(up)).withColumn("_t", total(F.col("_v")))
+    rows = entropy_features(rows, "_v", threshold).withColumn("weights", F.map_from_arrays("_k", F.transform("_v", lambda x: x / F.col("_t"))))
+    n = F.size("_v")
+    place = F.array_position("_v", F.array_max("_v")).cast("int")
+    some = n > 0
+    return rows.select(
+        *df.columns,
+        "entropy",
+        "normalized_entropy",
+        F.when(n >= 2, F.col("balance")).otherwise(0.0).alias("balance"),
+        "entropy_bonus",
+        "imbalance_penalty",
+        "weights",
+        n.alias("n_regimes"),
+        F.when(n >= 2, F.log(n.cast("double"))).otherwise(0.0).alias("max_entropy"),
+        F.when(some, F.element_at("_k", F.greatest(place, F.lit(1)))).alias("dominant_regime"),
+        F.when(some, F.array_max("_v") / F.col("_t")).otherwise(0.0).alias("dominant_weight"),
+        (F.col("normalized_entropy") >= threshold).alias("is_balanced"),
+    )
+
+
+def entropy_summary(records: DataFrame) -> DataFrame:
+    good, h = F.col("is_balanced").cast("int"), F.col("normalized_entropy")
+    return records.agg(F.count("*").alias("n"), F.avg(h).alias("mean_entropy"), F.median(h).alias("median_entropy"), F.sum(good).alias("n_balanced"), F.sum(1 - good).alias("n_unbalanced"), F.avg(good).alias("balanced_ratio"), F.avg("balance").alias("mean_balance"))
+
+
+# --- causal diagnostics ---
+
+
+def causal_diagnostics(direction: DataFrame, invariant: DataFrame, least_direction: float = 0.60, least_ratio: float = 0.70) -> DataFrame:
+    """series_id and the features of both results: intervention consistency, confounding risk, composite, and the gates that fail."""
+    rows = direction.join(invariant, "series_id")
+    d, r = F.col("causal_direction_score"), F.col("invariance_pass_ratio")
+    back, forth = F.abs("backward"), F.abs("forward")
+    risk = F.when(forth > 1e-10, F.least(F.lit(1.0), back / forth)).otherwise(F.when(back > 0.05, 1.0).otherwise(0.0))
+    risk = F.least(F.lit(1.0), (risk + (1 - F.col("coefficient_stability")) * 0.3) / 1.3)
+    failed = F.array_compact(F.array(F.when(d < least_direction, "causal_direction_score"), F.when(r < least_ratio, "invariance_pass_ratio")))
+    rows = rows.withColumn("confounding_risk_score", risk)
+    return rows.select("series_id", d, r, F.sqrt(d * r).alias("intervention_consistency_score"), "confounding_risk_score", (d * 0.4 + r * 0.4 + (1 - F.col("confounding_risk_score")) * 0.2).alias("causal_validity_score"), failed.alias("failures"))
 
 
-def parameter_sensitivity(evaluated: DataFrame, names: list[str]) -> DataFrame:
-    """parameter, sensitivity: the spread of mean sharpes over its values."""
-    rows = evaluated.select("sharpe", F.explode(F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(n).alias("value")) for n in names])).alias("p")).select("sharpe", "p.*")
-    means = rows.groupBy("parameter", "value").agg(F.avg("sharpe").alias("m"))
-    return means.groupBy("parameter").agg((F.max("m") - F.min("m")).alias("sensitivity"))
+def unit_interval(z: Column, lo: float = -3.0, hi: float = 3.0) -> Column:
+    """A z-score on the scale from 0 at ``lo`` to 1 at ``hi``."""
+    return (z - lo) / (hi - lo)

@@ -127,6 +127,66 @@ def near_duplicates(genomes: DataFrame, id_col: str, least: float = 0.90) -> Dat
     return similar(genomes, id_col, least).withColumn("equal", F.lit(False)).unionByName(same.where(F.col("similarity") >= least).withColumn("equal", F.lit(True)))
 
 
+def distance(a: Column, b: Column) -> Column:
+    """The Euclidean distance of two vectors."""
+    return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
+
+
+def symmetric(pairs: DataFrame) -> DataFrame:
+    """a, b, similarity both ways round, for look-ups by either id."""
+    return pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+
+
+def axis_rows(genomes: DataFrame, id_col: str) -> DataFrame:
+    """id, genome_dominant_axis (its place among the axes) and a column for each axis."""
+    place = F.array_position(F.array(*[F.lit(a) for a in AXES]), F.col("dominant_axis")) - 1
+    return genomes.select(id_col, place.cast("int").alias("genome_dominant_axis"), *[F.get("genome", F.lit(i)).alias(f"genome_{a}") for i, a in enumerate(AXES)])
+
+
+def cohesion(genomes: DataFrame, key: str) -> DataFrame:
+    """key, n, cohesion: the mean cosine of all pairs of a group; 1 with one member.
+
+    The sum over all pairs follows from the length of the sum of the unit vectors, so no pairs are made.
+    """
+    length = F.sqrt(total(F.transform("genome", lambda x: x * x)))
+    unit = genomes.select(key, F.posexplode(F.transform("genome", lambda x: x / F.when(length < 1e-15, 1.0).otherwise(length))).alias("axis", "u"))
+    sums = unit.groupBy(key, "axis").agg(F.sum("u").alias("s"), F.sum(F.col("u") * F.col("u")).alias("own"), F.count("*").alias("n"))
+    out = sums.groupBy(key).agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("all"), F.sum("own").alias("own"))
+    n = F.col("n")
+    return out.select(key, "n", F.when(n < 2, 1.0).otherwise((F.col("all") - F.col("own")) / (n * (n - 1))).alias("cohesion"))
+
+
+def novelty(genomes: DataFrame, id_col: str, least: float = 0.20) -> DataFrame:
+    """id, similarity (the largest cosine with another candidate, 0 with none), novelty and is_novel. Copies of a genome are alike, so only distinct ones are compared."""
+    m = members(genomes, id_col)
+    pairs = symmetric(similar(genomes, id_col, -1.0)).groupBy("a").agg(F.max("similarity").alias("other"))
+    held = m.groupBy("representative").agg(F.count("*").alias("n"), F.first("genome").alias("g"))
+    held = held.withColumn("own", F.when(F.col("n") > 1, cosine(F.col("g"), F.col("g"))))
+    best = held.join(pairs, F.col("representative") == F.col("a"), "left").select("representative", F.coalesce(F.greatest("own", "other"), F.lit(0.0)).alias("similarity"))
+    score = 1 - F.col("similarity")
+    return m.join(best, "representative").select(F.col("id").alias(id_col), "similarity", score.alias("novelty"), (score >= least).alias("is_novel"))
+
+
+def axis_report(genomes: DataFrame) -> DataFrame:
+    """axis, mean_weight, n_dominant, most_common (the first axis of those with most candidates)."""
+    each = genomes.select("dominant_axis", F.posexplode("genome").alias("i", "w"))
+    name = F.element_at(F.array(*[F.lit(a) for a in AXES]), F.col("i") + 1)
+    out = each.groupBy("i").agg(F.avg("w").alias("mean_weight"), F.count(F.when(F.col("dominant_axis") == name, 1)).alias("n_dominant"))
+    best = out.agg(F.max(F.struct("n_dominant", (-F.col("i")).alias("k"))).alias("b"))  # a row
+    return out.crossJoin(best).select(name.alias("axis"), "mean_weight", "n_dominant", (-F.col("b.k") == F.col("i")).alias("most_common"))
+
+
+def layer(df: DataFrame, id_col: str, text: str, least: float = 0.20, near: float = 0.90) -> DataFrame:
+    """id, dominant_axis, confidence, novelty, is_novel, n_near: encoding, novelty and near duplicates of each candidate."""
+    g = encode(df, text)
+    m = members(g, id_col)
+    size = m.groupBy("representative").agg(F.count("*").alias("n"))
+    links = symmetric(similar(g, id_col, near)).join(size.withColumnRenamed("representative", "b"), "b").groupBy("a").agg(F.sum("n").alias("others"))
+    counts = size.join(links, F.col("representative") == F.col("a"), "left").select("representative", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
+    near_of = m.join(counts, "representative").select(F.col("id").alias(id_col), "n_near")
+    return g.select(id_col, "dominant_axis", "confidence").join(novelty(g, id_col, least).drop("similarity"), id_col).join(near_of, id_col)
+
+
 def cluster(genomes: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """``genomes`` with cluster, by k-means."""
     from pyspark.ml.clustering import KMeans

@@ -298,7 +298,7 @@ def evaluated(spark: SparkSession, sf_dir: str, config: selection.Config) -> Dat
 
 
 #: Wide gates, so that some candidates of the driver's data pass.
-WIDE = selection.Config(pbo_threshold=0.6, min_oos_sharpe=0.1, min_rank_ic=0.001, min_regime_pass_ratio=0.4, max_drawdown=0.4, max_complexity_score=0.95, min_selection_stability=0.2, top_k=4, promotion_top_k=2, max_same_family=1)
+WIDE = selection.Config(pbo_threshold=0.9, min_oos_sharpe=0.05, min_rank_ic=0.001, min_regime_pass_ratio=0.2, max_drawdown=0.6, max_complexity_score=1.0, min_selection_stability=0.05, top_k=4, promotion_top_k=2, max_same_family=1)
 
 
 def evaluated_sql(c: selection.Config) -> str:
@@ -417,13 +417,6 @@ def structural_duplicates(spark, sf_dir):
     return rounded(evidence.token_jaccard(formulas(spark, sf_dir), "id", "formula", 0.5))
 
 
-@query()
-def structural_dedup(spark, sf_dir):
-    f = formulas(spark, sf_dir)
-    edges = evidence.token_jaccard(f, "id", "formula", 0.5).withColumn("group", F.lit(0))  # the few distinct formulas are one list
-    return evidence.greedy_keep(edges, f.select("id", F.col("id").alias("ord")))
-
-
 @query(
     """WITH v AS (SELECT vec_id, embedding AS e FROM embeddings), p AS (SELECT a.vec_id AS id, b.vec_id AS ref, ROUND((SELECT SUM(CAST(x AS DOUBLE) * y) / SQRT(SUM(CAST(x AS DOUBLE) * x)) / SQRT(SUM(CAST(y AS DOUBLE) * y)) FROM (SELECT UNNEST(a.e) AS x, UNNEST(b.e) AS y)), 6) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id AND b.vec_id % 50 = 0),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY s DESC, ref) AS k FROM p)
@@ -459,11 +452,6 @@ def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("t").agg(F.avg("ret").alias("x")).select(F.lit("market").alias("factor"), "t", "x").unionByName(s.where("series_id like '1%'").select(F.lit("urgent").alias("factor"), "t", F.col("ret").alias("x")))
 
 
-@query()
-def crowding(spark, sf_dir):
-    return rounded(evidence.crowding(evidence.factor_regressions(series(spark, sf_dir), factors(spark, sf_dir))))
-
-
 @query(
     """WITH x AS (SELECT s_nationkey, s_suppkey, s_acctbal, COUNT(*) OVER w AS n, ROW_NUMBER() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) - 1 AS i FROM supplier WINDOW w AS (PARTITION BY s_nationkey)),
 st AS (SELECT s_nationkey, MEDIAN(s_acctbal) AS md, MAX(CASE WHEN i = CAST(FLOOR(0.75 * (n - 1)) AS BIGINT) THEN s_acctbal END) - MAX(CASE WHEN i = CAST(FLOOR(0.25 * (n - 1)) AS BIGINT) THEN s_acctbal END) AS iqr, STDDEV_SAMP(s_acctbal) AS sd FROM x GROUP BY 1)
@@ -550,13 +538,6 @@ def expression_search(spark, sf_dir):
     return spark.createDataFrame(found, "tree string, expression string, fitness double")
 
 
-@query()
-def fragility_surface(spark, sf_dir):
-    grid = evidence.parameter_grid(spark, {"lookback": [10, 20, 40], "threshold": [0.5, 1.0, 1.5], "cost": [1, 2, 4]}, 500)
-    tested = grid.withColumn("sharpe", 1.2 - F.abs(F.col("lookback") - 20) / 100 - F.abs(F.col("threshold") - 1) / 5 - F.col("cost") / 50)
-    return rounded(evidence.fragility_surface(tested, 1.16))
-
-
 AXIS_ROWS = ", ".join(f"({i}, '{a}', '{k}', {w})" for i, a in enumerate(genome.AXES) for k, w in genome.KEYWORDS[a])
 FACTOR_ROWS = ", ".join(f"('{f}', '{k}')" for f, _, ks, _ in genome.FACTORS for k in ks)
 
@@ -587,11 +568,6 @@ def genome_clusters(spark, sf_dir):
     return genome.cluster(genome.encode(supplier_formulas(spark, sf_dir), "formula"), 5).select("s_suppkey", "dominant_axis", "cluster")
 
 
-@query()
-def genome_near_duplicates(spark, sf_dir):
-    return rounded(genome.near_duplicates(genome.encode(supplier_formulas(spark, sf_dir), "formula"), "s_suppkey"))
-
-
 @query(
     f"""WITH {ranked_sql(WIDE)} SELECT run_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE decision = 'SELECTED') AS n_selected, COUNT(*) FILTER (WHERE decision = 'HOLD') AS n_hold, COUNT(*) FILTER (WHERE decision = 'REJECTED') AS n_rejected, COUNT(*) FILTER (WHERE decision = 'REVIEW_REQUIRED') AS n_review_required,
   COUNT(*) FILTER (WHERE promotion_eligible) AS n_eligible, CAST(0 AS BIGINT) AS n_pending, CAST(0 AS BIGINT) AS n_approved, COUNT(near_duplicate_of) AS n_suppressed, ROUND(AVG(score), 6) AS avg_score, ROUND(MEDIAN(score), 6) AS median_score, ROUND(AVG(score) FILTER (WHERE decision = 'SELECTED'), 6) AS avg_selected_score,
