@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridian.sources.lineage import cut
+
 
 def prefix_similarity(a: Column, b: Column) -> Column:
     """1 for equal texts (two empty ones too), 0 where one is empty, else the common beginning's part of the longer text."""
@@ -70,13 +72,13 @@ def greedy(pairs: DataFrame, keys: list[str]) -> DataFrame:
     pairs(keys, a, oa, b, ob), ``a`` before ``b``. In a round a candidate that no undecided one comes before stays, and those that it is like go, so
     there are as many rounds as the longest chain of candidates that wait for each other. Who never goes stays.
     """
-    pairs = pairs.select(*keys, "a", "oa", "b", "ob").distinct().checkpoint()
+    pairs = cut(pairs.select(*keys, "a", "oa", "b", "ob").distinct())
     left, gone = pairs, pairs.select(*keys, F.col("b").alias("id")).where("false")
     while left.head(1):
         waits = left.select(*keys, F.col("b").alias("a")).distinct()
-        now = left.join(waits, [*keys, "a"], "left_anti").select(*keys, F.col("b").alias("id")).distinct().checkpoint()
+        now = cut(left.join(waits, [*keys, "a"], "left_anti").select(*keys, F.col("b").alias("id")).distinct())
         gone = gone.unionByName(now)
-        left = left.join(now.withColumnRenamed("id", "a"), [*keys, "a"], "left_anti").join(now.withColumnRenamed("id", "b"), [*keys, "b"], "left_anti").checkpoint()
+        left = cut(left.join(now.withColumnRenamed("id", "a"), [*keys, "a"], "left_anti").join(now.withColumnRenamed("id", "b"), [*keys, "b"], "left_anti"))
     # a candidate is dropped by the first one before it that stays
     stays = pairs.join(gone.withColumnRenamed("id", "a"), [*keys, "a"], "left_anti")
     by = stays.join(gone.withColumnRenamed("id", "b"), [*keys, "b"], "left_semi").groupBy(*keys, "b").agg(F.min(F.struct("oa", "a")).alias("first"))
@@ -107,14 +109,14 @@ def by_preference(pairs: DataFrame, evaluations: DataFrame, most: float = 0.90)
     p = pairs.where(F.abs("corr") > most)
     p = p.join(taste.toDF("a", "ta"), "a", "left").join(taste.toDF("b", "tb"), "b", "left")
     stays_a = F.coalesce("ta", none) <= F.coalesce("tb", none)
-    p = p.select("a", "b", F.when(stays_a, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(stays_a, F.col("a")).otherwise(F.col("b")).alias("suppressed_by"), F.struct((-F.abs("corr")).alias("s"), "a", "b").alias("turn")).checkpoint()
+    p = cut(p.select("a", "b", F.when(stays_a, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(stays_a, F.col("a")).otherwise(F.col("b")).alias("suppressed_by"), F.struct((-F.abs("corr")).alias("s"), "a", "b").alias("turn")))
     done = None
     while p.head(1):
         ends = p.select(F.explode(F.array("a", "b")).alias("end"), "turn").groupBy("end").agg(F.min("turn").alias("first"))
-        now = p.join(ends.toDF("a", "f1"), "a").join(ends.toDF("b", "f2"), "b").where("turn = f1 and turn = f2").select("id", "suppressed_by").checkpoint()
+        now = cut(p.join(ends.toDF("a", "f1"), "a").join(ends.toDF("b", "f2"), "b").where("turn = f1 and turn = f2").select("id", "suppressed_by"))
         done = now if done is None else done.unionByName(now)
         # pairs of a suppressed candidate are passed over; the deciding ones are among them
-        p = p.join(now.select(F.col("id").alias("a")), "a", "left_anti").join(now.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "id", "suppressed_by", "turn").checkpoint()
+        p = cut(p.join(now.select(F.col("id").alias("a")), "a", "left_anti").join(now.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "id", "suppressed_by", "turn"))
     return done if done is not None else p.select("id", "suppressed_by")
 
 

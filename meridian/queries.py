@@ -118,15 +118,6 @@ def terminal_features(spark, sf_dir):
     return rounded(out.withColumn("bb_width", F.round("bb_width", 3)))
 
 
-@query()
-def price_oscillator(spark, sf_dir):
-    prices = price_panel(table(spark, sf_dir, "orders"))
-    from meridian.functions.stats import over_series
-
-    rows = prices.select(F.col("ticker").alias("series_id"), F.row_number().over(over_series("ticker", "price_date")).alias("t"), "close")
-    return rounded(features.price_oscillator(rows))
-
-
 MASKS = (
     RETURNS
     + """, v AS (SELECT *, CASE WHEN COUNT(ret) OVER (w ROWS 19 PRECEDING) = 20 THEN STDDEV_SAMP(ret) OVER (w ROWS 19 PRECEDING) END * SQRT(252.0) AS vol, EXP(SUM(LN(1 + ret)) OVER (w ROWS UNBOUNDED PRECEDING)) AS equity FROM series WINDOW w AS (PARTITION BY series_id ORDER BY t)),
