@@ -37,6 +37,14 @@ def running(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
+def compounded(c: Column, w: WindowSpec) -> Column:
+    """The running product of 1 + ``c``, whatever its sign."""
+    x, over = 1 + c, running(w)
+    sign = 1 - 2 * (F.sum((x < 0).cast("int")).over(over) % 2)
+    size = F.exp(F.sum(F.log(F.nullif(F.abs(x), F.lit(0.0)))).over(over))
+    return F.when(F.max((x == 0).cast("int")).over(over) == 1, 0.0).otherwise(sign * F.coalesce(size, F.lit(1.0)))
+
+
 def average_rank(c: Column, keys: list[Column | str]) -> Column:
     """Ranks from 1, ties averaged, among the rows with a value."""
     by = Window.partitionBy(*keys, c.isNull())

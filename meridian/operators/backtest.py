@@ -13,8 +13,8 @@ def position_cost(position, w, bps: float):
     return F.coalesce(F.abs(position - F.lag(position).over(w)), F.lit(0.0)) * (bps * 1e-4)
 
 
-def risk_gate(series: DataFrame, margin: float = 0.02, short: int = 5, long: int = 60, spike: float = 2.5, liquidity: int = 3) -> DataFrame:
-    """position (0 where a gate fires) and gate, the first that fires: crisis, margin, spike, liquidity."""
+def risk_gate(series: DataFrame, margin: float = 0.02, short: int = 5, long: int = 60, spike: float = 2.5, liquidity: int = 3, derate: float | None = None) -> DataFrame:
+    """position and gate, the first that fires: crisis, margin, spike, liquidity. Where one fires the position is 0, or ``derate`` times itself."""
     w = over_series("series_id")
     sv, lv = rolling(F.stddev_samp, F.col("ret"), w, short), rolling(F.stddev_samp, F.col("ret"), w, long)
     illiquid = F.coalesce(F.col("low_liquidity"), F.lit(False)) if "low_liquidity" in series.columns else F.lit(False)
@@ -28,7 +28,8 @@ def risk_gate(series: DataFrame, margin: float = 0.02, short: int = 5, long: int
         .when(run >= liquidity, "LIQUIDITY")
     )
     rows = rows.withColumn("gate", gate)
-    return rows.withColumn("position", F.when(F.col("gate").isNotNull(), 0.0).otherwise(clip(F.col("signal"), -1.0, 1.0))).drop("_sv", "_lv", "_ill", "_island")
+    full = clip(F.col("signal"), -1.0, 1.0)
+    return rows.withColumn("position", F.when(F.col("gate").isNotNull(), F.lit(0.0) if derate is None else full * derate).otherwise(full)).drop("_sv", "_lv", "_ill", "_island")
 
 
 def simulate(series: DataFrame, cost_bps: float = 2.0, slippage_bps: float = 2.0, most: float = 1.0) -> DataFrame:
@@ -40,12 +41,18 @@ def simulate(series: DataFrame, cost_bps: float = 2.0, slippage_bps: float = 2.0
     return rows.withColumn("net", F.col("gross") - F.col("cost"))
 
 
-def walk_forward(series: DataFrame, train: int = 750, step: int = 5) -> DataFrame:
-    """Rows after the first ``train`` of a series with their fold; a shorter series is fold 0. State restarts in each fold."""
+def walk_forward(series: DataFrame, train: int = 750, step: int = 5, window: int | None = None) -> DataFrame:
+    """Rows after the first ``train`` of a series with their fold; a shorter series is fold 0. State restarts in each fold.
+
+    train_from and train_to are the rows that a fold is fitted on: all before it, or the last ``window`` of them.
+    """
     n = F.max("t").over(Window.partitionBy("series_id"))
     rows = series.withColumn("_n", n)
     fold = F.when(F.col("_n") > train, F.floor((F.col("t") - 1 - train) / step)).otherwise(0)
-    return rows.withColumn("fold", fold.cast("int")).where("fold >= 0").drop("_n")
+    rows = rows.withColumn("fold", fold.cast("int")).where("fold >= 0")
+    last = F.when(F.col("_n") > train, train + F.col("fold") * step).otherwise(0)
+    first = F.lit(1) if window is None else F.greatest(F.lit(1), last - window + 1)
+    return rows.withColumn("train_from", first.cast("int")).withColumn("train_to", last.cast("int")).drop("_n")
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:

@@ -18,11 +18,11 @@ def predictive(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.coalesce(correlation(s, t), F.lit(0.0)).alias("ic"),
-        F.coalesce(correlation(F.col("rs"), F.col("rt")), F.lit(0.0)).alias("rank_ic"),
+        F.when(F.count("*") >= 5, F.coalesce(correlation(F.col("rs"), F.col("rt")), F.lit(0.0))).otherwise(0.0).alias("rank_ic"),
         F.avg(((s > 0) == (t > 0)).cast("double")).alias("hit_rate"),
         (1 - F.sum((t - s) * (t - s)) / F.greatest(F.sum((t - F.col("m")) * (t - F.col("m"))), F.lit(1e-12))).alias("r2_oos"),
     )
-    return out.withColumn("ic_t_stat", F.col("ic") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0))) / F.sqrt(F.greatest(1 - F.col("ic") * F.col("ic"), F.lit(1e-12))))
+    return out.withColumn("ic_t_stat", F.col("ic") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0))) / F.sqrt(F.greatest(1 - F.col("ic") * F.col("ic"), F.lit(1e-9))))
 
 
 def equity(series: DataFrame, value: str = "ret") -> DataFrame:

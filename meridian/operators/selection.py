@@ -227,6 +227,19 @@ def regime_features(df: DataFrame, values: str) -> DataFrame:
     return df.select("*", *[at(k).alias(f"{k}_sharpe") for k in ("crisis", "bull", "bear")], F.when(F.size(known) > 0, positive_share(known)).alias("regime_pass_ratio"))
 
 
+def all_features(df: DataFrame, backtest: str, metrics: str, regimes: str, folds: str) -> DataFrame:
+    """``df`` with every feature of its map columns: those of the backtest, then those that only the metrics have, the regimes', and the folds' shape."""
+    name = "_both"
+    both = F.map_concat(F.map_filter(F.col(metrics), lambda k, v: ~F.coalesce(F.map_contains_key(F.col(backtest), k), F.lit(False))), F.col(backtest))
+    rows = regime_features(alias_features(df.withColumn(name, both), name).drop(name), regimes)
+    return rows.select("*", F.size(folds).alias("n_folds"), mean(F.col(folds)).alias("fold_mean"), spread(F.col(folds)).alias("fold_std"))
+
+
+def gates_of(df: DataFrame, limits: dict) -> DataFrame:
+    """``gates`` with the limits of a mapping; what it lacks keeps its default, an unknown limit is an error."""
+    return gates(df, Config(**limits))
+
+
 def decision_summary(decided: DataFrame) -> DataFrame:
     """Of each run: counts by decision, by eligibility, review and suppression, scores of the selected, and the distinct first gate failures of the rejected."""
     have = lambda c, d: F.col(c) if c in decided.columns else F.lit(d)

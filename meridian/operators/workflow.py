@@ -145,7 +145,7 @@ def derived_evaluations(rows: DataFrame) -> DataFrame:
 def elapsed_seconds(start: Column, end: Column, now: Column | None = None) -> Column:
     """Seconds from ``start`` to ``end``, rounded, or to now where a run is still open."""
     last = F.coalesce(end, now if now is not None else F.current_timestamp())
-    return F.round(last.cast("double") - start.cast("double")).cast("int")
+    return F.round(last.cast("timestamp").cast("double") - start.cast("timestamp").cast("double")).cast("int")
 
 
 def proof_summary(proofs: DataFrame) -> DataFrame:

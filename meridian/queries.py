@@ -140,7 +140,7 @@ RANKS = """, pr AS (SELECT *, AVG(target) OVER (PARTITION BY series_id) AS m, RA
 @query(
     f"""WITH {RETURNS}{RANKS}, g AS (SELECT series_id, COUNT(*) AS n, CORR(signal, target) AS ic, CORR(rs, rt) AS rank_ic, AVG(CASE WHEN (signal > 0) = (target > 0) THEN 1.0 ELSE 0.0 END) AS hit_rate,
   1 - SUM((target - signal) * (target - signal)) / GREATEST(SUM((target - m) * (target - m)), 1e-12) AS r2 FROM pr GROUP BY 1)
-SELECT series_id, n, ROUND(ic, 6) AS ic, ROUND(rank_ic, 6) AS rank_ic, ROUND(hit_rate, 6) AS hit_rate, ROUND(r2, 6) AS r2_oos, ROUND(ic * SQRT(GREATEST(n - 2, 0)) / SQRT(GREATEST(1 - ic * ic, 1e-12)), 6) AS ic_t_stat FROM g"""
+SELECT series_id, n, ROUND(ic, 6) AS ic, ROUND(rank_ic, 6) AS rank_ic, ROUND(hit_rate, 6) AS hit_rate, ROUND(r2, 6) AS r2_oos, ROUND(ic * SQRT(GREATEST(n - 2, 0)) / SQRT(GREATEST(1 - ic * ic, 1e-9)), 6) AS ic_t_stat FROM g"""
 )
 def predictive_metrics(spark, sf_dir):
     return rounded(metrics.predictive(series(spark, sf_dir)))
@@ -153,11 +153,11 @@ i AS (SELECT *, SUM(CASE WHEN equity < peak THEN 0 ELSE 1 END) OVER (PARTITION B
 r AS (SELECT series_id, MAX(n) AS recovery_period FROM (SELECT series_id, island, CAST(SUM(CASE WHEN equity < peak THEN 1 ELSE 0 END) AS BIGINT) AS n FROM i GROUP BY 1, 2) GROUP BY 1),
 b AS (SELECT series_id, {SHARPE.format(x="ret")} AS sharpe, AVG(ret) AS mu, STDDEV_SAMP(CASE WHEN ret < 0 THEN ret END) AS down, QUANTILE_CONT(ret, 0.95) AS q95, QUANTILE_CONT(ret, 0.05) AS q05, MIN((equity - peak) / peak) AS mdd FROM p GROUP BY 1),
 c AS (SELECT b.series_id, AVG(ret) AS cvar FROM series JOIN b USING (series_id) WHERE ret <= q05 GROUP BY 1)
-SELECT series_id, ROUND(sharpe, 6) AS sharpe, ROUND(mu * 252 / (down * SQRT(252.0)), 6) AS sortino, ROUND(LOG10((POW(1 + mu, 252) - 1) / ABS(mdd)), 6) AS log10_calmar, ROUND(mdd, 6) AS max_drawdown, recovery_period, ROUND(q95 / ABS(q05), 6) AS tail_ratio, ROUND(cvar, 6) AS cvar_5 FROM b JOIN c USING (series_id) JOIN r USING (series_id)"""
+SELECT series_id, ROUND(sharpe, 6) AS sharpe, ROUND(mu * 252 / (down * SQRT(252.0)), 6) AS sortino, ROUND(SIGN((POW(1 + mu, 252) - 1) / ABS(mdd)) * LOG10(1 + ABS((POW(1 + mu, 252) - 1) / ABS(mdd))), 6) AS signed_log_calmar, ROUND(mdd, 6) AS max_drawdown, recovery_period, ROUND(q95 / ABS(q05), 6) AS tail_ratio, ROUND(cvar, 6) AS cvar_5 FROM b JOIN c USING (series_id) JOIN r USING (series_id)"""
 )
 def portfolio_metrics(spark, sf_dir):
     out = metrics.portfolio(series(spark, sf_dir))
-    return rounded(out.withColumn("calmar", F.log10("calmar")).withColumnRenamed("calmar", "log10_calmar"))
+    return rounded(out.withColumn("calmar", F.signum("calmar") * F.log10(1 + F.abs("calmar"))).withColumnRenamed("calmar", "signed_log_calmar"))
 
 
 @query(
@@ -178,9 +178,13 @@ def trading_metrics(spark, sf_dir):
     return rounded(metrics.trading(positions(spark, sf_dir)))
 
 
-@query(f"WITH {MASKS} SELECT series_id, ROUND({SHARPE.format(x='(CASE WHEN crisis THEN ret END)')}, 6) AS crisis_sharpe, ROUND({SHARPE.format(x='(CASE WHEN NOT crisis THEN ret END)')}, 6) AS normal_sharpe, ROUND({SHARPE.format(x='(CASE WHEN high_vol THEN ret END)')}, 6) AS high_vol_sharpe, COUNT(CASE WHEN crisis THEN 1 END) AS n_crisis FROM masks GROUP BY 1")
+@query(
+    f"""WITH {MASKS}, rk AS (SELECT series_id, crisis, RANK() OVER (PARTITION BY series_id, crisis ORDER BY signal) + (COUNT(*) OVER (PARTITION BY series_id, crisis, signal) - 1) / 2.0 AS rs, RANK() OVER (PARTITION BY series_id, crisis ORDER BY target) + (COUNT(*) OVER (PARTITION BY series_id, crisis, target) - 1) / 2.0 AS rt FROM masks WHERE signal IS NOT NULL AND target IS NOT NULL),
+ic AS (SELECT series_id, MIN(c) AS c FROM (SELECT series_id, CASE WHEN COUNT(*) >= 5 THEN COALESCE(CORR(rs, rt), 0) ELSE 0 END AS c FROM rk GROUP BY series_id, crisis) GROUP BY 1)
+SELECT m.series_id, ROUND({SHARPE.format(x="(CASE WHEN crisis THEN ret END)")}, 6) AS crisis_sharpe, ROUND({SHARPE.format(x="(CASE WHEN NOT crisis THEN ret END)")}, 6) AS normal_sharpe, ROUND({SHARPE.format(x="(CASE WHEN high_vol THEN ret END)")}, 6) AS high_vol_sharpe, COUNT(CASE WHEN crisis THEN 1 END) AS n_crisis, ROUND(MIN(c), 6) AS regime_consistency FROM masks m JOIN ic USING (series_id) GROUP BY 1"""
+)
 def regime_metrics(spark, sf_dir):
-    return rounded(metrics.by_regime(features.regime_masks(series(spark, sf_dir))).drop("regime_consistency"))
+    return rounded(metrics.by_regime(features.regime_masks(series(spark, sf_dir))))
 
 
 @query(

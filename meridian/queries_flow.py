@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridian.functions.stats import finite
-from meridian.operators import features, governance, workflow
-from meridian.queries import MASKS, PANEL, PRICES, RETURNS, WIDE, decided, query, ranked_sql, rounded, series, table
+from meridian.operators import backtest, discovery, features, governance, selection, workflow
+from meridian.queries import MASKS, PANEL, PRICES, RETURNS, SQL, WIDE, decided, positions, query, ranked_sql, rounded, series, table
 from meridian.queries import event_study_panel as panel_rows
-from meridian.queries import rule_resolution as resolved_rows
-from meridian.sources.tables import price_panel
+from meridian.sources.tables import newest_rows, price_panel
 
 RESOLVED = "res AS (SELECT s_suppkey AS artifact_id, CASE WHEN s_nationkey % 4 = 0 THEN 'unresolved' ELSE 'resolved' END AS status, 'by_nation' AS rule_name, CAST(s_nationkey AS BIGINT) AS target_id FROM supplier)"
 
@@ -172,3 +171,78 @@ SELECT series_id, CAST(t AS INTEGER) AS t, event_mask, ROUND(CASE WHEN event_mas
 def event_drift(spark, sf_dir):
     rows = features.event_window_mask(series(spark, sf_dir).withColumn("is_event", F.col("t") % 97 == 0))
     return rounded(features.pre_event_drift(rows).select("series_id", "t", "event_mask", "pre_event_drift"))
+
+
+_rank = lambda x, part: f"RANK() OVER (PARTITION BY {part} ORDER BY {x}) + (COUNT(*) OVER (PARTITION BY {part}, {x}) - 1) / 2.0"
+FITNESS = f"""{MASKS}, s0 AS (SELECT *, COUNT(*) OVER (PARTITION BY series_id) AS n, {_rank("signal", "series_id")} AS r FROM masks WHERE signal IS NOT NULL),
+s1 AS (SELECT *, CASE WHEN n > 1 THEN (r - 1) / (n - 1) - 0.5 ELSE 0 END AS position FROM s0),
+s2 AS (SELECT *, ABS(position - LAG(position) OVER (PARTITION BY series_id ORDER BY t)) AS d FROM s1),
+tv AS (SELECT series_id, COALESCE(AVG(d), 0) AS turnover FROM s2 GROUP BY 1),
+nt AS (SELECT s2.*, turnover, position * target - turnover * 0.0002 AS net FROM s2 JOIN tv USING (series_id) WHERE target IS NOT NULL),
+eq AS (SELECT *, PRODUCT(1 + net) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS e FROM nt),
+dn AS (SELECT *, e / MAX(e) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM eq),
+ag AS (SELECT series_id, turnover, CASE WHEN COUNT(net) >= 5 AND STDDEV_SAMP(net) > 0 THEN AVG(net) / STDDEV_SAMP(net) * SQRT(252.0) ELSE 0 END AS cost_sharpe, ABS(MIN(dd)) AS drawdown, COUNT(*) FILTER (WHERE crisis) AS nc FROM dn GROUP BY 1, 2),
+rk AS (SELECT series_id, crisis, {_rank("position", "series_id")} AS ra, {_rank("target", "series_id")} AS rb, {_rank("position", "series_id, crisis")} AS ca, {_rank("target", "series_id, crisis")} AS cb FROM nt),
+ic AS (SELECT series_id, CORR(ra, rb) AS rank_ic FROM rk GROUP BY 1), pt AS (SELECT series_id, MIN(c) AS least, COUNT(*) AS parts FROM (SELECT series_id, crisis, CASE WHEN COUNT(*) >= 5 THEN COALESCE(CORR(ca, cb), 0) ELSE 0 END AS c FROM rk GROUP BY 1, 2) GROUP BY 1),
+ft AS (SELECT *, CASE WHEN nc > 5 AND parts = 2 THEN least WHEN nc > 5 THEN LEAST(least, 0) ELSE rank_ic END AS cons FROM ag JOIN ic USING (series_id) JOIN pt USING (series_id))"""
+
+
+@query(
+    f"""WITH {FITNESS} SELECT series_id, ROUND(rank_ic, 6) AS rank_ic, ROUND(cost_sharpe, 6) AS cost_sharpe, ROUND(cons, 6) AS regime_cons, ROUND(turnover, 6) AS turnover, ROUND(drawdown, 6) AS drawdown,
+  ROUND(0.3 * rank_ic + 0.3 * LEAST(1, GREATEST(-1, cost_sharpe / 3)) + 0.2 * LEAST(1, GREATEST(-1, cons)) - 0.1 * LEAST(turnover / 2, 1) - 0.05 * 3 / 15.0 - 0.05 * drawdown, 6) AS fitness FROM ft"""
+)
+def full_fitness(spark, sf_dir):
+    return rounded(discovery.full_fitness(features.regime_masks(series(spark, sf_dir)), 3))
+
+
+@query(f"WITH p AS ({SQL['predictive_metrics']}), r AS ({SQL['risk_metrics']}), t AS ({SQL['trading_metrics']}) SELECT * FROM p JOIN r USING (series_id) JOIN t USING (series_id)")
+def full_evaluation(spark, sf_dir):
+    out = rounded(discovery.full_evaluation(positions(spark, sf_dir)))
+    names = "series_id n ic rank_ic hit_rate r2_oos ic_t_stat var_5 downside_vol risk_adjusted_return kelly_fraction position_concentration turnover cost_drag trade_count avg_hold_days win_loss_ratio expectancy".split()
+    return out.select(*names)
+
+
+@query(
+    f"""WITH {MASKS}, v2 AS (SELECT *, CASE WHEN COUNT(ret) OVER (w ROWS 4 PRECEDING) = 5 THEN STDDEV_SAMP(ret) OVER (w ROWS 4 PRECEDING) END AS sv, CASE WHEN COUNT(ret) OVER (w ROWS 59 PRECEDING) = 60 THEN STDDEV_SAMP(ret) OVER (w ROWS 59 PRECEDING) END AS lv FROM masks WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+g AS (SELECT series_id, t, LEAST(1, GREATEST(-1, signal)) AS p, high_vol OR COALESCE(sv, 0) > 0.95 * 0.7 OR COALESCE(lv > 0 AND sv > 1.2 * lv, false) AS fires FROM v2)
+SELECT series_id, CAST(t AS INTEGER) AS t, ROUND(CASE WHEN fires THEN p * 0.25 ELSE p END, 6) AS position FROM g"""
+)
+def derated_positions(spark, sf_dir):
+    rows = features.regime_masks(series(spark, sf_dir)).withColumn("crisis", F.col("high_vol"))
+    return rounded(backtest.risk_gate(rows, margin=0.95, spike=1.2, derate=0.25).select("series_id", "t", "position"))
+
+
+@query(f"WITH {RETURNS}, n AS (SELECT *, MAX(t) OVER (PARTITION BY series_id) AS n FROM series), f AS (SELECT series_id, CASE WHEN n > 750 THEN CAST(FLOOR((t - 751) / 5.0) AS INTEGER) ELSE 0 END AS fold, n FROM n) SELECT series_id, fold, CAST(MIN(GREATEST(1, 750 + fold * 5 - 299)) AS INTEGER) AS train_from, CAST(MIN(750 + fold * 5) AS INTEGER) AS train_to, COUNT(*) AS n FROM f WHERE fold >= 0 GROUP BY 1, 2")
+def rolling_folds(spark, sf_dir):
+    rows = backtest.walk_forward(series(spark, sf_dir), window=300)
+    return rows.groupBy("series_id", "fold").agg(F.min("train_from").alias("train_from"), F.min("train_to").alias("train_to"), F.count("*").alias("n"))
+
+
+@query(
+    """WITH m AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 0.0 WHEN c_custkey % 4 = 1 THEN c_acctbal / 3 END AS bt, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal / 5 END AS alias_, c_acctbal / 7 AS hit FROM customer)
+SELECT c_custkey, ROUND(COALESCE(NULLIF(bt, 0), alias_), 6) AS rank_ic, ROUND(hit, 6) AS hit_rate, 2 AS n_folds, ROUND(c_custkey / 2.0, 6) AS fold_mean FROM m"""
+)
+def metric_features(spark, sf_dir):
+    k, x = F.col("c_custkey"), F.col("c_acctbal")
+    bt = F.when(k % 4 == 0, 0.0).when(k % 4 == 1, x / 3)
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.create_map(F.lit("rank_ic"), bt).alias("bt"),
+        F.create_map(F.lit("rank_information_coefficient"), F.when(k % 3 != 0, x / 5), F.lit("direction_accuracy"), x / 7).alias("metrics"),
+        F.create_map(F.lit("crisis"), x).alias("regimes"),
+        F.array(k.cast("double"), F.lit(0.0)).alias("folds"),
+    )
+    return rounded(selection.all_features(rows, "bt", "metrics", "regimes", "folds").select("c_custkey", "rank_ic", "hit_rate", "n_folds", "fold_mean"))
+
+
+@query(f"WITH {PANEL}, rn AS (SELECT DISTINCT benchmark_id AS run_id, LENGTH(benchmark_id) AS created_at FROM panel WHERE benchmark_id NOT LIKE '2%') SELECT run_id, event_date, CAST(event_offset AS INTEGER) AS event_offset, ROUND(car_from_t0, 6) AS car_from_t0 FROM panel p JOIN rn ON rn.run_id = p.benchmark_id ORDER BY created_at DESC, benchmark_id, event_date, event_offset LIMIT 70")
+def newest_panel_rows(spark, sf_dir):
+    p = panel_rows(spark, sf_dir).withColumn("run_id", F.col("benchmark_id"))
+    runs = p.where("not benchmark_id like '2%'").select("run_id", F.length("run_id").alias("created_at")).distinct()
+    return newest_rows(p, runs, 70).select("run_id", "event_date", "event_offset", "car_from_t0")
+
+
+@query()
+def discovery_run(spark, sf_dir):
+    s = series(spark, sf_dir).withColumn("r1", F.col("ret")).withColumn("r5", F.col("signal") * 5)
+    return discovery.discover(spark, s, ["r1", "r5"], {"r1": 1, "r5": 5}, 5, -1.0)

@@ -35,6 +35,31 @@ def return_series(prices: DataFrame) -> DataFrame:
     )
 
 
+def sample_panel(spark: SparkSession) -> DataFrame:
+    """A fixed panel of 48 rows for trials without data: three tickers, offsets -5 to 10."""
+    import numpy as np
+
+    rng, rows = np.random.default_rng(42), []
+    for ticker in ("7203.T", "9984.T", "MOMO_FACTOR"):  # fixed values
+        for offset in range(-5, 11):
+            ar = float(rng.normal(0.001, 0.01))
+            rows.append((ticker, "2026-01-10", offset, ar, ar * (offset + 6), float(rng.normal(0.0005, 0.008)), float(rng.normal(0.001, 0.012)), 1))
+    out = spark.createDataFrame(rows, "benchmark_id string, event_date string, event_offset int, abnormal_return double, car_from_t0 double, normal_return double, actual_return double, n_events long")
+    return out.withColumn("event_date", F.to_date("event_date"))
+
+
+def load_panel(spark: SparkSession, path: str) -> DataFrame:
+    """The panel at ``path``, or the sample where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else sample_panel(spark)
+
+
+def newest_rows(panel: DataFrame, runs: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of the panels of known runs: of the newest run first, then by benchmark, date and offset."""
+    rows = panel.join(runs.select("run_id", "created_at"), "run_id")
+    return rows.orderBy(F.desc("created_at"), "benchmark_id", "event_date", "event_offset").limit(n)
+
+
 def candidates(lineitem: DataFrame) -> DataFrame:
     """A candidate for each supplier: ord, candidate_id, source_id, folds (its yearly values), by year."""
     yearly = lineitem.groupBy("l_suppkey", F.year("l_shipdate").alias("y")).agg(F.sum(F.col("l_discount") - 0.05).alias("s"), F.count("*").alias("n"))
