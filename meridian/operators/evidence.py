@@ -77,12 +77,50 @@ def invariance(series: DataFrame, regimes: int = 4, least: float = 0.05) -> Data
 # --- similarity ---
 
 
-def pairwise_correlation(series: DataFrame, value: str) -> DataFrame:
-    """a < b, corr of all pairs of series that share times; the join is on time, so no pair of rows without one meets."""
-    rows = series.where(F.col(value).isNotNull()).select("series_id", "t", value)
-    a, b = rows.toDF("a", "t", "x"), rows.toDF("b", "t", "y")
-    pairs = a.join(b, "t").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.coalesce(correlation(F.col("x"), F.col("y")), F.lit(0.0))).otherwise(0.0).alias("corr"))
+def pairwise_correlation(series: DataFrame, value: str, chunk: int = 4096, block: int = 512) -> DataFrame:
+    """a < b, n, corr of all pairs of series that share times; 0 with fewer than 3 of them or where one does not vary.
+
+    Series are dealt out in blocks and times in chunks; a task multiplies two blocks over a chunk, so a pair is emitted once
+    for each chunk, with its sums, and no time step is ever expanded to pairs.
+    """
+    import numpy as np
+    import pandas as pd
+
+    mean = F.avg(value).over(Window.partitionBy("series_id"))  # sums of centred values keep their digits
+    rows = series.where(F.col(value).isNotNull()).select("series_id", "t", (F.col(value) - mean).alias("x"))
+    n_blocks = max(1, -(-rows.agg(F.approx_count_distinct("series_id")).first()[0] // block))
+    dealt = rows.withColumn("c", F.floor(F.col("t") / chunk).cast("long")).withColumn("blk", F.pmod(F.xxhash64("series_id"), F.lit(n_blocks)).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o")).drop("o")
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        ts, at = np.unique(pdf["t"].to_numpy(), return_inverse=True)
+        sides = []
+        for k in (pdf["bi"].iloc[0], pdf["bj"].iloc[0]):
+            own = (pdf["blk"] == k).to_numpy()
+            ids, who = np.unique(pdf["series_id"].to_numpy()[own], return_inverse=True)
+            x, m = np.zeros((len(ids), len(ts))), np.zeros((len(ids), len(ts)))
+            x[who, at[own]], m[who, at[own]] = pdf["x"].to_numpy()[own], 1
+            sides.append((ids, x, m))
+        (ia, x, m), (ib, y, w) = sides
+        n = m @ w.T
+        i, j = np.nonzero(n)
+        keep = ia[i] < ib[j] if pdf["bi"].iloc[0] == pdf["bj"].iloc[0] else np.ones(len(i), bool)
+        i, j = i[keep], j[keep]
+        flip = ia[i] > ib[j]
+        sums = [n, x @ w.T, m @ y.T, (x * x) @ w.T, m @ (y * y).T, x @ y.T]
+        sums = [z[i, j] for z in sums]
+        sums[1], sums[2] = np.where(flip, sums[2], sums[1]), np.where(flip, sums[1], sums[2])
+        sums[3], sums[4] = np.where(flip, sums[4], sums[3]), np.where(flip, sums[3], sums[4])
+        return pd.DataFrame({"a": np.where(flip, ib[j], ia[i]), "b": np.where(flip, ia[i], ib[j]), **dict(zip(("n", "x", "y", "xx", "yy", "xy"), sums, strict=True))})
+
+    kind = rows.schema["series_id"].dataType.simpleString()
+    parts = dealt.groupBy("c", "bi", "bj").applyInPandas(multiply, f"a {kind}, b {kind}, n double, x double, y double, xx double, yy double, xy double")
+    s = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.col("n")
+    var = lambda p, q: F.greatest(F.lit(0.0), F.col(q) / n - (F.col(p) / n) * (F.col(p) / n))
+    wide = F.sqrt(var("x", "xx")) * F.sqrt(var("y", "yy"))
+    corr = clip((F.col("xy") / n - F.col("x") / n * F.col("y") / n) / wide, -1.0, 1.0)
+    return s.select("a", "b", n.cast("long").alias("n"), F.when((n >= 3) & (wide > 1e-15), corr).otherwise(0.0).alias("corr"))
 
 
 def tokens(text: Column) -> Column:
@@ -108,46 +146,50 @@ def token_jaccard(df: DataFrame, id_col: str, text_col: str, least: float) -> Da
     return full.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= least)
 
 
-def novelty(targets: DataFrame, references: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def novelty(targets: DataFrame, references: DataFrame, id_col: str, vector_col: str, block: int = 4096) -> DataFrame:
     """id, nearest reference (the lesser id on a tie), similarity (6 places) and novelty = 1 - similarity.
 
-    Every target is compared with every reference but its own id. Spark sends one side whole only where it
-    is under its broadcast limit; larger ones meet partition by partition.
-    """
-    r = references.select(F.col(id_col).alias("ref"), F.col(vector_col).alias("rv"))
-    pairs = targets.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(r, F.col("id") != F.col("ref"))
-    rows = pairs.withColumn("s", F.round(cosine(F.col("v"), F.col("rv")), 6))
-    out = rows.groupBy("id").agg(F.max(F.struct("s", -F.col("ref"))).alias("top"))
-    return out.select("id", (-F.col("top.col2")).alias("nearest"), F.col("top.s").alias("similarity"), (1 - F.col("top.s")).alias("novelty"))
-
-
-def greedy_keep(edges: DataFrame, order: DataFrame, id_col: str = "id") -> DataFrame:
-    """id, suppressed_by: walks the candidates in their order and drops those that an earlier kept one duplicates.
-
-    The walk is sequential, so it runs for each group of linked candidates by itself (``group`` of ``edges``).
+    Every target is compared with every reference but its own id. Both are dealt out in blocks, a task multiplies a block of each, and only
+    the best reference of each target leaves it. Vectors of different lengths, or without length, have similarity 0.
     """
+    import numpy as np
     import pandas as pd
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = {}
-        for a, pa, b, pb in zip(pdf["a"], pdf["oa"], pdf["b"], pdf["ob"], strict=True):
-            place[a], place[b] = pa, pb
-        near: dict = {}
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        gone: dict = {}
-        for x in sorted(place, key=place.get):
-            if x not in gone:
-                for y in near[x]:
-                    if y not in gone and place[y] > place[x]:
-                        gone[y] = x
-        return pd.DataFrame({id_col: list(gone), "suppressed_by": list(gone.values())})
-
-    o = order.select(F.col(id_col).alias("i"), F.col("ord").alias("o"))
-    rows = edges.join(o.toDF("a", "oa"), "a").join(o.toDF("b", "ob"), "b")
-    kind = order.schema[id_col].dataType.simpleString()
-    return rows.groupBy("group").applyInPandas(walk, f"{id_col} {kind}, suppressed_by {kind}")
+    nt, nr = (max(1, -(-x.count() // block)) for x in (targets, references))
+    kind = targets.schema[id_col].dataType.simpleString()
+    vec = F.col(vector_col).cast("array<double>").alias("v")
+    blk = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    t = targets.select(F.col(id_col).alias("id"), vec, blk(nt).alias("bt"), every(nr).alias("br"))
+    r = references.select(F.col(id_col).alias("id"), vec, blk(nr).alias("br"), every(nt).alias("bt"))
+
+    def unit(vs: list) -> np.ndarray:
+        wide = max((len(v) for v in vs if v is not None), default=0)
+        out = np.zeros((len(vs), wide))
+        for i, v in enumerate(vs):
+            if v is not None and len(v):
+                out[i, : len(v)] = v
+        out[~np.isfinite(out).all(axis=1)] = 0
+        length = np.sqrt((out * out).sum(axis=1))
+        return out / np.where(length > 1e-15, length, 1)[:, None]
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": a["id"][:0], "ref": a["id"][:0], "s": np.zeros(0)})
+        b = b.sort_values("id")
+        x, y = unit(a["v"].tolist()), unit(b["v"].tolist())
+        wide = max(x.shape[1], y.shape[1])
+        x, y = (np.pad(z, ((0, 0), (0, wide - z.shape[1]))) for z in (x, y))
+        size = lambda p: np.array([-1 if v is None else len(v) for v in p["v"].tolist()])
+        s = np.where(size(a)[:, None] == size(b)[None, :], np.round(np.clip(x @ y.T, -1, 1), 6) + 0.0, 0.0)
+        s[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = -2
+        k = s.argmax(axis=1)
+        out = pd.DataFrame({"id": a["id"].to_numpy(), "ref": b["id"].to_numpy()[k], "s": s[np.arange(len(a)), k]})
+        return out[out["s"] > -2]
+
+    cells = t.groupBy("bt", "br").cogroup(r.groupBy("bt", "br")).applyInPandas(best, f"id {kind}, ref {kind}, s double")
+    out = cells.groupBy("id").agg(F.max(F.struct("s", (-F.col("ref")).alias("k"))).alias("top"))
+    return out.select("id", (-F.col("top.k")).alias("nearest"), F.col("top.s").alias("similarity"), (1 - F.col("top.s")).alias("novelty"))
 
 
 # --- crowding ---
@@ -204,11 +246,11 @@ def crowding_summary(scores: DataFrame, n: int = 5) -> DataFrame:
 
 def robust_scale(df: DataFrame, value: str, key: str, lo: float = -3.0, hi: float = 3.0) -> DataFrame:
     """``df`` with z: (value - median) / (IQR / 1.35), quartiles by lower index; the standard deviation where the IQR is 0."""
-    sorted_ = F.array_sort(F.collect_list(value))
-    n = F.size("a")
-    at = lambda q: F.get(F.col("a"), F.floor(q * (n - 1)).cast("int"))
-    middle = (F.get(F.col("a"), F.floor((n - 1) / 2).cast("int")) + F.get(F.col("a"), F.floor(n / 2).cast("int"))) / 2
-    stats = df.groupBy(key).agg(sorted_.alias("a"), F.stddev_samp(value).alias("sd")).select(key, middle.alias("md"), (at(F.lit(0.75)) - at(F.lit(0.25))).alias("iqr"), "sd")
+    known = df.where(F.col(value).isNotNull()).select(key, value)
+    place = known.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(key)))
+    at = lambda q: F.max(F.when(F.col("i") == F.floor(F.lit(q) * (F.col("n") - 1)), F.col(value)))
+    low, high = (F.max(F.when(F.col("i") == F.floor((F.col("n") - k) / 2), F.col(value))) for k in (1, 0))
+    stats = place.groupBy(key).agg(((low + high) / 2).alias("md"), (at(0.75) - at(0.25)).alias("iqr"), F.stddev_samp(value).alias("sd"))
     scale = F.when(F.col("iqr") > 1e-12, F.col("iqr") / 1.35).otherwise(F.col("sd"))
     return df.join(stats, key).withColumn("z", F.coalesce(clip(ratio(F.col(value) - F.col("md"), scale), lo, hi), F.lit(0.0))).drop("md", "iqr", "sd")
 

@@ -133,10 +133,41 @@ def test_gates_and_decisions(spark):
     assert out == {"a": "SELECTED", "b": "REJECTED", "c": "REVIEW_REQUIRED"}
 
 
-def test_greedy_keep(spark):
-    edges = spark.createDataFrame([(1, 2, 0), (2, 3, 0), (4, 5, 0)], "a int, b int, group int")
-    order = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 5), (5, 4)], "id int, ord int")
-    assert sorted(map(tuple, evidence.greedy_keep(edges, order).collect())) == [(2, 1), (4, 5)]
+def test_correlations_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(9, 40)).round(2)
+    x[3] = 1.0
+    rows = [(f"s{i}", t, float(v)) for i, r in enumerate(x) for t, v in enumerate(r) if (i + t) % 5 or i == 3] + [("late", 900, 1.0)]
+    df = spark.createDataFrame(rows, "series_id string, t int, x double")
+    by = {i: {t: v for s, t, v in rows if s == i} for i in {r[0] for r in rows}}
+    want = {}
+    for a in by:
+        for b in by:
+            both = sorted(by[a].keys() & by[b].keys())
+            if a < b and both:
+                u, v = (np.array([by[k][t] for t in both]) for k in (a, b))
+                want[a, b] = (len(both), np.corrcoef(u, v)[0, 1] if len(both) >= 3 and u.std() * v.std() > 1e-15 else 0.0)
+    for chunk, block in ((4096, 512), (7, 3)):
+        got = {(r.a, r.b): (r.n, r.corr) for r in evidence.pairwise_correlation(df, "x", chunk, block).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_novelty_in_blocks(spark, block):
+    rng = np.random.default_rng(9)
+    x = [rng.normal(size=6).round(1).tolist() for _ in range(40)] + [[0.0] * 6, None, [1.0, 2.0]]
+    df = spark.createDataFrame(list(enumerate(x)), "id int, v array<double>")
+    got = {r.id: (r.nearest, r.similarity) for r in evidence.novelty(df, df, "id", "v", block).collect()}
+
+    def cos(a, b):
+        if a is None or b is None or len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        return round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 6)
+
+    for i, v in enumerate(x):
+        s = [(-cos(v, w), j) for j, w in enumerate(x) if j != i]
+        assert got[i] == (min(s)[1], pytest.approx(-min(s)[0]))
 
 
 def test_token_jaccard_loses_no_pair(spark):
