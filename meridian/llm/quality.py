@@ -8,9 +8,10 @@ the labelled rows. The importance weight of a text x is p_target(x) / p_raw(x),
     -log(share_target + sum over the other kinds of share * exp(log p_kind(x) - log p_target(x)))
 
 and log p_kind(x) - log p_target(x) is a sum over the n-grams of x of the log ratio of their probabilities. That ratio is
-(count + ``ADD``) / (what the target's count lets expect + ``ADD``), drawn to one by ``SURE`` standard errors, so
-that an n-gram whose counts could differ by chance says nothing, and the kind's probabilities are normalised over the n-grams
-of the target; one that the target lacks speaks for the other kind.
+(count + ``ADD``) / (what the target's count lets expect + ``ADD``), drawn to zero by ``EFFECT`` and ``SURE`` standard errors (of n-grams that the kinds hold alike),
+so that an n-gram whose counts could differ by chance, or with the lengths of the texts, says nothing. The ratios are not
+normalised again: a mass of texts of one kind that share a passage would shift all others. A text counts once for each kind, so copies
+count as one.
 
 The sample is drawn by Gumbel top-k: the k largest sums of log weight and a standard Gumbel draw, which is a draw of k rows
 without replacement with chances in proportion to the weights. The draw comes from a hash of the row, so reruns
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm.common import Words, cut, keep_rows, mix, planes, shuffle_partitions, trimmed, unplanes
 
-BUCKETS, LABELLED, CHUNK, ADD, SURE, LEAST = 1 << 20, 20_000, 1 << 14, 0.5, 4.0, 0.1
+BUCKETS, LABELLED, CHUNK, ADD, SURE, EFFECT, LEAST = 1 << 20, 20_000, 1 << 14, 0.5, 3.0, 1.0, 0.1
 KINDS = 3  # target, toxic, low quality
 COUNTERS = 32  # tasks that count the labelled rows
 COUNTS = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
@@ -90,19 +91,16 @@ class Ratios:
         self.counts = [c.astype(np.int32) for c in counts]
         target = max(1, int(counts[0].sum()))
         self.share = [int(c.sum()) / target for c in counts]
-        self.norm = [0.0] * KINDS
-        self.table = [np.zeros(0, np.float32)] * KINDS
-        for k in range(1, KINDS):
-            raw = self.raw(k, self.counts[k], self.counts[0])
-            self.norm[k] = float(np.log((counts[0] * np.exp(raw)).sum() / target)) if counts[0].any() else 0.0
-            self.table[k] = (raw - self.norm[k]).astype(np.float32)
+        self.table = [np.zeros(0, np.float32), *(self.raw(k, self.counts[k], self.counts[0]).astype(np.float32) for k in range(1, KINDS))]
 
     def raw(self, k: int, count: np.ndarray, target: np.ndarray) -> np.ndarray:
-        have, expect, share = count + ADD, target * self.share[k] + ADD, self.share[k]
+        share = self.share[k]
         if not share:
-            return np.zeros(len(have))
-        ratio = np.log(have / expect)
-        return np.sign(ratio) * np.maximum(0, np.abs(ratio) - SURE * np.sqrt(1 / have + share / expect))
+            return np.zeros(len(count))
+        ratio = np.log((count + ADD) / (target * share + ADD))
+        both = np.maximum(count + target, 0) + ADD  # were the kinds alike, they would hold it by their sizes
+        error = np.sqrt((1 + share) / both * (1 / share + 1))
+        return np.sign(ratio) * np.maximum(0, np.abs(ratio) - EFFECT - SURE * error)
 
     def of(self, x: np.ndarray, k: int, own: int | None) -> float:
         """The sum over a text's n-grams ``x``, without the text itself where it is a labelled row of kind ``own``."""
@@ -112,7 +110,7 @@ class Ratios:
             return float(self.table[k][x].sum(dtype=np.float64))
         u, c = np.unique(x, return_counts=True)
         raw = self.raw(k, self.counts[k][u] - c * (own == k), self.counts[0][u] - c * (own == 0))
-        return float(((raw - self.norm[k]) * c).sum())
+        return float((raw * c).sum())
 
 
 def _weigh(orders: list[Ratios]):
@@ -169,7 +167,7 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(9), F.col(id_col), text).alias("h"), text.alias("text"))
     docs = docs.join(F.broadcast(fit), F.col("id") == F.col("_l"), "left").select("id", "h", "text", "kind")  # LABELLED rows at most
     kinds = "kind int, chunk int, counts binary"
-    parts = docs.where("kind is not null").repartition(COUNTERS, "h").select("text", "kind").mapInArrow(_count, kinds)
+    parts = docs.where("kind is not null").select("text", "kind").dropDuplicates().coalesce(COUNTERS).mapInArrow(_count, kinds)
     counts = np.zeros((2 * KINDS, BUCKETS), np.int64)
     for k, chunk, raw in parts.repartition(shuffle_partitions(spark), "kind", "chunk").mapInArrow(_sum, kinds).collect():  # a row for each of the fixed chunks
         counts[k, chunk * CHUNK : (chunk + 1) * CHUNK] = unplanes(bytes(raw), "<i8")

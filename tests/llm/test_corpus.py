@@ -33,24 +33,23 @@ def brute_sample(rows, labels, hashes):
         if i is not None and q is not None:
             kinds[i] = max(kinds.get(i, 0), 2 if q != 1 else int(bool(t)))
     counts = [[Counter(), Counter()] for _ in range(3)]
-    for (i, _), f in zip(rows, feats, strict=True):
+    for t, k in {(t, kinds[i]) for i, t in rows if i in kinds}:
+        f = next(f for (_, u), f in zip(rows, feats, strict=True) if u == t)
         for o in (0, 1):
-            if i in kinds:
-                counts[kinds[i]][o].update(f[o])
+            counts[k][o].update(f[o])
     total = [[sum(c.values()) for c in k] for k in counts]
 
     def ratio(k, o, n, g):
         share = total[k][o] / total[0][o]
-        have, expect = n + quality.ADD, g * share + quality.ADD
-        r = math.log(have / expect)
-        return math.copysign(max(0, abs(r) - quality.SURE * math.sqrt(1 / have + share / expect)), r)
+        r = math.log((n + quality.ADD) / (g * share + quality.ADD))
+        error = math.sqrt((1 + share) / (n + g + quality.ADD) * (1 / share + 1))
+        return math.copysign(max(0, abs(r) - quality.EFFECT - quality.SURE * error), r)
 
-    norm = [[math.log(sum(g * math.exp(ratio(k, o, counts[k][o][b], g)) for b, g in counts[0][o].items()) / total[0][o]) if k else 0 for o in (0, 1)] for k in range(3)]
     logs = []
     for (i, _), f in zip(rows, feats, strict=True):
         own = kinds.get(i)
         less = lambda k, o, b: counts[k][o][b] - (f[o][b] if own == k else 0)  # noqa: B023, E731
-        logs.append([sum(c * (ratio(k, o, less(k, o, b), less(0, o, b)) - norm[k][o]) for o in (0, 1) for b, c in f[o].items()) for k in (1, 2)])
+        logs.append([sum(c * ratio(k, o, less(k, o, b), less(0, o, b)) for o in (0, 1) for b, c in f[o].items()) for k in (1, 2)])
     shares = [sum(k == x for k in kinds.values()) / len(kinds) for x in range(3)]
     weight = [-math.log(sum(s * math.exp(min(600, x)) for s, x in zip(shares, [0, *r], strict=True))) for r in logs]
     noise = [-math.log(-math.log(((h % 2**64 >> 11) + 0.5) / 2**53)) for h in hashes]
@@ -72,6 +71,7 @@ def test_quality_against_loops(spark, docs):
         elif i % 4 == 2:
             w = [x for x in w[:8] for _ in range(3)]
         rows.append((i, " ".join(w)))
+    rows[7] = (7, rows[4][1])  # a copy
     labels = [(i, int(i % 4 != 2), int(i % 4 == 1)) for i in range(0, 400) if i % 3]
     df = docs(rows)
     hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(9), "doc_id", "text").alias("h")).collect()}
