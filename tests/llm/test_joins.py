@@ -89,3 +89,11 @@ def test_embeddings(spark, monkeypatch):
     for v in odd:
         if v[0] is not None:
             assert got[v[0]].n_links == 0 and got[v[0]].component_id == v[0] and got[v[0]].kept
+
+
+def test_embeddings_at_the_threshold(spark):
+    vecs = [(1, [3.0, 4.0], "x"), (2, [5.0, 0.0], "x"), (3, [3.0, 4.000001], "x"), (4, [3.0, 4.0], "y"), (5, [3.0, 4.0], "x")]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_dedup(df, threshold=0.6).collect()}
+    # 3 and 2 are just below 0.6
+    assert got == {1: (3, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), 5: (3, 1, False)}
