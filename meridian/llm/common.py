@@ -6,6 +6,7 @@ lower-cased.  On UTF-8 bytes that is exactly ``bytes.lower().split()``.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -73,17 +74,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """``df`` with partitions and an order of rows that are the same whenever it is read.
-
-    Rows from a shuffle come in any order, so they are written; others are read by one physical plan, whose partitions do not change
-    with the number of executors, as those of a plan that is made anew may.
-    """
-    spark = df.sparkSession
-    plan = df._jdf.queryExecution()
-    if "Exchange" in plan.executedPlan().toString():
-        return cut(df)
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), df._jdf.schema(), False), spark)
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, written first if its rows come from a shuffle and so in any order whenever they are read again."""
+    return cut(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+@contextlib.contextmanager
+def steady_partitions(spark: SparkSession) -> Iterator[None]:
+    """Holds the numbers from which scans are cut into partitions, which else follow the executors that are there."""
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.leafNodeDefaultParallelism")
+    unset = [k for k in names if spark.conf.get(k, None) is None]
+    now = str(spark.sparkContext.defaultParallelism)
+    try:
+        for k in unset:
+            spark.conf.set(k, now)
+        yield
+    finally:
+        for k in unset:
+            spark.conf.unset(k)
 
 
 def trimmed(fn):

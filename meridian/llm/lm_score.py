@@ -20,14 +20,17 @@ state. All parts of the texts of a block are traversed side by side, a step for
 in parts: two words before a part lead to its state.
 
 The automaton grows with the corpus, so no task holds all of it. A task reads its rows in blocks of about
-``BLOCK_CHARS``. Each block asks the shards of the n-gram space, by sorted 64-bit hashes, for the n-grams
+``BLOCK_CHARS``. Each block asks the shards of the n-gram space, by sorted hashes, for the n-grams
 that its documents hold and tells their training counts; each shard adds the counts up and answers; a block's
 answers become a file in the shared folder. A second pass over the same rows reads the file of each block, builds the states
 and arcs that its documents can reach, and traverses them. A block sends a row to a shard only where it has an n-gram
 there, so messages number at most blocks times shards and never more than the blocks' different n-grams.
 
-Both passes must cut the same blocks: rows that come from a shuffle are written first, others are read by one plan of
-fixed partitions, and a block whose texts differ from those that asked ends the job with an error.
+Hashes of words have 64 bits. Those of pairs and triples have ``SPARE`` bits more than it takes to number the bytes of all
+texts (64 at most), so at every size an n-gram shares its hash with another with a chance below one in a million.
+
+Both passes must cut the same blocks: rows that come from a shuffle are written first, the number of a scan's partitions does
+not follow the number of executors meanwhile, and a block whose texts differ from those that asked ends the job with an error.
 
 Defined results: a null or empty text is the end alone; a null id counts as the empty
 text in the split; each row gives one row, so equal rows stay; a very long text is a block of its own and scored whole;
@@ -37,6 +40,7 @@ other columns are ignored; an empty table gives no rows; with no training tokens
 from __future__ import annotations
 
 import math
+import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,9 +52,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import Words, by_groups, cut, file_system, fixed, mix, planes, remove, shared_dir, trimmed, unplanes
+from meridian.llm.common import Words, by_groups, cut, file_system, mix, planes, remove, settled, shared_dir, steady_partitions, trimmed, unplanes
 
-BLOCK_CHARS, SHARD_CHARS, PART = 8_000_000, 16_000_000, 256
+BLOCK_CHARS, SHARD_CHARS, PART, SPARE = 4_000_000, 4_000_000, 256, 20
 END, START = np.uint64(0x0E4D), np.uint64(0x57A7)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.linspace(0, 1, 21)
@@ -75,14 +79,17 @@ class Block:
     def first(self) -> np.ndarray:
         return np.cumsum(self.sizes) - self.sizes
 
-    def grams(self) -> list[np.ndarray]:
+    def grams(self, bits: int) -> Iterator[np.ndarray]:
         """Hashes of the words, pairs and triples that end at each token. Before a text is its start; its first token ends no triple (0)."""
+        less = lambda h: np.maximum(h >> np.uint64(64 - bits), np.uint64(1))
         before = np.concatenate([[START], self.tokens[:-1]])
         before[self.first] = START
         pairs = mix(before * FACTOR + self.tokens)
-        triples = mix(np.concatenate([[START], pairs[:-1]]) * FACTOR + self.tokens) | np.uint64(1)
+        yield self.tokens
+        yield less(pairs)
+        triples = less(mix(np.concatenate([[START], pairs[:-1]]) * FACTOR + self.tokens))
         triples[self.first] = 0
-        return [self.tokens, pairs, triples]
+        yield triples
 
     def mark(self) -> int:
         return xxhash.xxh3_64_intdigest(self.tokens.tobytes() + self.sizes.tobytes() + self.train.tobytes()) >> 1
@@ -111,30 +118,42 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield block()
 
 
-def _shards(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
+def _pack(x: np.ndarray) -> bytes:
+    """The bytes of ``x`` by planes, compressed, behind their number; nothing for nothing."""
+    return struct.pack("<q", x.nbytes) + pa.compress(planes(x), codec="lz4", asbytes=True) if len(x) else b""
+
+
+def _unpack(raw: bytes, kind: str) -> np.ndarray:
+    return unplanes(pa.decompress(raw[8:], struct.unpack("<q", raw[:8])[0], codec="lz4", asbytes=True) if raw else b"", kind)
+
+
+def _shards(sorted_hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
     """Where each of ``n`` equal ranges of hashes begins, and the end."""
-    limits = np.array([(i << 64) // n for i in range(n)], np.uint64)
+    limits = np.array([(i << bits) // n for i in range(n)], np.uint64)
     return np.append(np.searchsorted(sorted_hashes, limits), len(sorted_hashes))
 
 
-def _ask(n: int):
+def _ask(n: int, bits: int):
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             train, mark = np.repeat(block.train, block.sizes), block.mark()
             sides = []
-            for h in block.grams():
+            for order, h in enumerate(block.grams(bits)):
                 uniq, at = np.unique(h, return_inverse=True)
-                sides.append((uniq, np.bincount(at, weights=train, minlength=len(uniq)).astype(np.uint32), _shards(uniq, n)))
-            rows = []
-            for s in range(n):
-                part = []
-                for uniq, count, cuts in sides:
-                    u = uniq[cuts[s] : cuts[s + 1]]
-                    part += [planes(np.diff(u, prepend=np.uint64(0))), planes(count[cuts[s] : cuts[s + 1]])]
-                if any(part):
-                    rows.append((s, block.number, mark, *part))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ASK, strict=True)], schema=ASK)
+                sides.append((uniq, np.bincount(at, weights=train, minlength=len(uniq)).astype(np.uint32), _shards(uniq, n, bits if order else 64)))
+            del h, at, train
+            for lo in range(0, n, 8):
+                rows = []
+                for s in range(lo, min(lo + 8, n)):
+                    part = []
+                    for uniq, count, cuts in sides:
+                        u = uniq[cuts[s] : cuts[s + 1]]
+                        part += [_pack(np.diff(u, prepend=np.uint64(0))), _pack(count[cuts[s] : cuts[s + 1]])]
+                    if any(part):
+                        rows.append((s, block.number, mark, *part))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ASK, strict=True)], schema=ASK)
 
     return run
 
@@ -143,12 +162,12 @@ def _answer(key: tuple, t: pa.Table) -> pa.Table:
     """The total counts that each block asks for, and a row (block below 0) of the shard's own sums."""
     found, stats, sums = [], [], []
     for what in ORDERS:
-        keys = [np.cumsum(unplanes(x, "<u8")) for x in t.column(what).to_pylist()]
-        counts = [unplanes(x, "<u4") for x in t.column(f"{what}_n").to_pylist()]
+        keys = [np.cumsum(_unpack(x, "<u8")) for x in t.column(what).to_pylist()]
+        counts = [_unpack(x, "<u4") for x in t.column(f"{what}_n").to_pylist()]
         uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.uint64)
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        found.append([planes(total[i]) for i in np.split(at, cuts)])
+        found.append([_pack(total[i]) for i in np.split(at, cuts)])
         seen = total[(total > 0) & (uniq > 0)]  # 0 is no triple
         stats += [float(seen.sum()), float(len(seen)), float((seen == 1).sum()), float((seen == 2).sum())]
         if what != "tri":
@@ -164,7 +183,7 @@ def _store(folder: str):
         if key[0] < 0:
             return t.select(["stats"])
         t = t.sort_by("shard")
-        raw = [planes(np.concatenate([unplanes(x, "<u8") for x in t.column(f"{o}_n").to_pylist()])) for o in ORDERS]
+        raw = [planes(np.concatenate([_unpack(x, "<u8") for x in t.column(f"{o}_n").to_pylist()])) for o in ORDERS]
         head = np.array([t.column("mark")[0].as_py(), *map(len, raw)], "<i8").tobytes()
         where, at = file_system(f"{folder}/{key[0]}")
         where.create_dir(at.rsplit("/", 1)[0], recursive=True)
@@ -296,12 +315,12 @@ class Automaton:
         return np.bincount(text, weights=total, minlength=len(sizes))
 
 
-def _score(model: Model, folder: str):
+def _score(model: Model, folder: str, bits: int):
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             c_word, c_pair, c_triple = _counts(folder, block)
-            (words, word), (pairs, pair), (_, triple) = (np.unique(h, return_inverse=True) for h in block.grams())
+            (words, word), (pairs, pair), (_, triple) = (np.unique(h, return_inverse=True) for h in block.grams(bits))
             first, end = block.first, int(np.searchsorted(words, END))
             if len(c_triple) and c_triple.size != triple.max() + 1:
                 raise RuntimeError("a block's answers do not fit it")
@@ -341,16 +360,18 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     spark = df.sparkSession
     train = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % folds != fold
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    docs = fixed(docs.withColumn("train", train))
-    n_shards = max(1, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SHARD_CHARS))
+    docs = settled(docs.withColumn("train", train))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_shards, bits = max(1, math.ceil(size / SHARD_CHARS)), min(64, size.bit_length() + SPARE)
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
     binary = lambda names: ", ".join(f"{x} binary" for x in names)
-    asked = docs.mapInArrow(_ask(n_shards), f"shard int, block long, mark long, {binary(x for o in ORDERS for x in (o, o + '_n'))}")
-    answers = by_groups(asked, ["shard"], _answer, f"block long, shard int, mark long, {binary(o + '_n' for o in ORDERS)}, stats array<double>", ANSWER)
-    shards = cut(by_groups(answers, ["block"], _store(folder), "stats array<double>", STATS))
-    sums = {r.pos: r.x for r in shards.select(F.posexplode("stats").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).collect()}  # a row for each sum
-    model = Model.fit([sums.get(i, 0.0) for i in range(12 + 2 * len(POWERS))])
-    out = cut(docs.mapInArrow(_score(model, folder), "id long, held_out boolean, n_tokens long, n_known long, base double, score double"))
+    with steady_partitions(spark):
+        asked = docs.mapInArrow(_ask(n_shards, bits), f"shard int, block long, mark long, {binary(x for o in ORDERS for x in (o, o + '_n'))}")
+        answers = by_groups(asked, ["shard"], _answer, f"block long, shard int, mark long, {binary(o + '_n' for o in ORDERS)}, stats array<double>", ANSWER)
+        shards = cut(by_groups(answers, ["block"], _store(folder), "stats array<double>", STATS))
+        sums = {r.pos: r.x for r in shards.select(F.posexplode("stats").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).collect()}  # a row for each sum
+        model = Model.fit([sums.get(i, 0.0) for i in range(12 + 2 * len(POWERS))])
+        out = cut(docs.mapInArrow(_score(model, folder, bits), "id long, held_out boolean, n_tokens long, n_known long, base double, score double"))
     remove(spark, folder)
     return out.select(
         F.col("id").alias(id_col),

@@ -115,7 +115,7 @@ def test_lm_automaton():
 def test_lm_changed_rows(spark, tmp_path, monkeypatch):
     block = lm_score.Block(0, [1], np.array([True]), np.array([5, lm_score.END], np.uint64), np.array([2]))
     other = lm_score.Block(0, [1], np.array([True]), np.array([6, lm_score.END], np.uint64), np.array([2]))
-    empty = lm_score.planes(np.ones(2, np.uint64))
+    empty = lm_score._pack(np.ones(2, np.uint64))
     t = lm_score.pa.table({"block": [0], "shard": [0], "mark": [block.mark()], "uni_n": [empty], "bi_n": [empty], "tri_n": [empty]})
     lm_score._store(str(tmp_path))((0,), t)
     assert [len(x) for x in lm_score._counts(str(tmp_path), block)] == [2, 2, 2]
