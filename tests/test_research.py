@@ -3,6 +3,7 @@
 import decimal
 import math
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -376,3 +377,39 @@ def test_novelty_finds_a_copy_of_any_id(spark, tmp_path):
     np.fill_diagonal(s, -2)
     assert set(got) == {0, 50, 100} and (got[50].nearest, got[50].novelty) == (57, 0)
     assert all(got[i].nearest == s[i].argmax() and abs(got[i].similarity - s[i].max()) < 1e-5 for i in got)
+
+
+@pytest.fixture(scope="module")
+def two_orders(spark, tmp_path_factory):
+    """Two folders with the same lineitem rows in opposite orders: years of 40 suppliers whose discounts cancel, or nearly."""
+    rng, rows = np.random.default_rng(5), []
+    for supplier in range(40):
+        for year in range(1992, 1999):
+            half = rng.integers(0, 11, 12).tolist()
+            extra = [] if rng.random() < 0.7 else [int(rng.integers(0, 11))]
+            rows += [(supplier, d / 100, float(rng.integers(0, 9)) / 100, pd.Timestamp(year, 3, 1)) for h in half for d in (h, 10 - h)]
+            rows += [(supplier, d / 100, 0.01, pd.Timestamp(year, 3, 1)) for d in extra]
+    lines = pd.DataFrame(rows, columns=["l_suppkey", "l_discount", "l_tax", "l_shipdate"]).sort_values(["l_discount", "l_tax"], kind="stable")
+    out = []
+    for part in (lines, lines[::-1]):
+        out.append(str(tmp_path_factory.mktemp("order")))
+        part.astype({"l_shipdate": "datetime64[us]"}).to_parquet(f"{out[-1]}/lineitem.parquet", index=False)
+    return out
+
+
+ORDERLESS = ["decision_summary"]
+
+
+@pytest.mark.parametrize("name", ORDERLESS)
+def test_rows_in_any_order_give_one_result(spark, two_orders, name):
+    a, b = (Counter(tuple(plain(x) for x in r) for r in queries.QUERIES[name](spark, d).collect()) for d in two_orders)
+    assert a == b
+
+
+def test_exact_sum(spark):
+    x = [d / 100 - 0.05 for d in np.random.default_rng(2).integers(0, 11, 3000).tolist()]
+    want = {g: float(sum(Fraction(v) for v in x[g::30])) for g in range(30)}
+    rows = spark.createDataFrame([(i % 30, v) for i, v in enumerate(x)], "g int, x double").repartition(5)
+    assert dict(rows.groupBy("g").agg(stats.exact_sum(F.col("x"))).collect()) == want
+    odd = spark.createDataFrame([(1, None), (2, math.inf), (2, 1.0), (3, 1e300), (3, 1.0), (4, None), (4, -3.25)], "g int, x double")
+    assert dict(odd.groupBy("g").agg(stats.exact_sum(F.col("x"))).collect()) == {1: None, 2: math.inf, 3: 1e300, 4: -3.25}
