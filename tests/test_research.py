@@ -397,7 +397,7 @@ def two_orders(spark, tmp_path_factory):
     return out
 
 
-ORDERLESS = ["decision_summary", "evidence_scores", "overfit_pairs", "overfit_probability", "regime_entropy", "regime_entropy_summary", "regime_records", "fold_stability"]
+ORDERLESS = ["decision_summary", "evidence_scores", "overfit_pairs", "overfit_probability", "regime_entropy", "regime_entropy_summary", "regime_records", "fold_stability", "gate_histogram"]
 
 
 @pytest.mark.parametrize("name", ORDERLESS)
