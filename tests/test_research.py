@@ -397,7 +397,7 @@ def two_orders(spark, tmp_path_factory):
     return out
 
 
-ORDERLESS = ["decision_summary", "evidence_scores", "overfit_pairs", "overfit_probability", "regime_entropy", "regime_entropy_summary", "regime_records", "fold_stability", "gate_histogram", "latest_run_scores"]
+ORDERLESS = ["decision_summary", "evidence_scores", "overfit_pairs", "overfit_probability", "regime_entropy", "regime_entropy_summary", "regime_records", "fold_stability", "gate_histogram", "latest_run_scores", "score_components"]
 
 
 @pytest.mark.parametrize("name", ORDERLESS)
