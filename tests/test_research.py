@@ -397,7 +397,7 @@ def two_orders(spark, tmp_path_factory):
     return out
 
 
-ORDERLESS = ["decision_summary", "evidence_scores", "overfit_pairs", "overfit_probability", "regime_entropy", "regime_entropy_summary", "regime_records", "fold_stability", "gate_histogram", "latest_run_scores", "score_components"]
+ORDERLESS = ["decision_summary", "evidence_scores", "overfit_pairs", "overfit_probability", "regime_entropy", "regime_entropy_summary", "regime_records", "fold_stability", "gate_histogram", "latest_run_scores", "score_components", "selection_decisions"]
 
 
 @pytest.mark.parametrize("name", ORDERLESS)
@@ -413,3 +413,11 @@ def test_exact_sum(spark):
     assert dict(rows.groupBy("g").agg(stats.exact_sum(F.col("x"))).collect()) == want
     odd = spark.createDataFrame([(1, None), (2, math.inf), (2, 1.0), (3, 1e300), (3, 1.0), (4, None), (4, -3.25)], "g int, x double")
     assert dict(odd.groupBy("g").agg(stats.exact_sum(F.col("x"))).collect()) == {1: None, 2: math.inf, 3: 1e300, 4: -3.25}
+
+
+def test_rounding_is_that_of_sql(spark, duck):
+    x = [*((np.random.default_rng(3).integers(-99999, 99999, 3000) * 10 + 5) / 1e5).tolist(), -1e-16, -0.0, 0.0, 1e300, math.inf]
+    duck.register("numbers", pd.DataFrame({"i": range(len(x)), "x": x}))
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(x)), "i int, x double").select(stats.rounded_half(F.col("x"), 4), "i").orderBy("i").collect()]
+    want = [r[0] for r in duck.execute("SELECT ROUND(x, 4) FROM numbers ORDER BY i").fetchall()]
+    assert [(v, math.copysign(1, v)) for v in got] == [(v, math.copysign(1, v)) for v in want]
