@@ -192,11 +192,11 @@ EVIDENCE_MINUS = {"crowding": 0.05, "signal_duplication": 0.03, "fragility_surfa
 
 
 def score_with_evidence(df: DataFrame, config: Config = Config()) -> DataFrame:
-    """``df`` with its score and score_v2, which adds the evidence axes; a column that is missing counts as 0.5 or no penalty."""
+    """``df`` with its score and score_v2, which adds the evidence axes; a column that is missing counts as 0.5 or no penalty. A score that is there is kept."""
     have = lambda c, d: clip(F.coalesce(F.col(c), F.lit(d)), 0.0, 1.0) if c in df.columns else F.lit(d)
-    add = reduce(lambda a, b: a + b, [w * have(f"{n}_score", 0.5) for n, w in EVIDENCE_PLUS.items()])
+    more = reduce(lambda a, b: a + b, [w * have(f"{n}_score", 0.5) for n, w in EVIDENCE_PLUS.items()], F.col("score"))
     less = reduce(lambda a, b: a + b, [w * have(f"{n}_penalty", 0.0) for n, w in EVIDENCE_MINUS.items()])
-    return score(df, config).withColumn("score_v2", F.col("score") + add - less)
+    return (df if "score" in df.columns else score(df, config)).withColumn("score_v2", more - less)
 
 
 #: The evidence gates, column, sign and bound.

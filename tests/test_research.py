@@ -421,3 +421,46 @@ def test_rounding_is_that_of_sql(spark, duck):
     got = [r[0] for r in spark.createDataFrame(list(enumerate(x)), "i int, x double").select(stats.rounded_half(F.col("x"), 4), "i").orderBy("i").collect()]
     want = [r[0] for r in duck.execute("SELECT ROUND(x, 4) FROM numbers ORDER BY i").fetchall()]
     assert [(v, math.copysign(1, v)) for v in got] == [(v, math.copysign(1, v)) for v in want]
+
+
+@pytest.fixture(scope="module")
+def odd_lines(tmp_path_factory):
+    """Folders of lineitem rows of 150 suppliers whose years never cancel: all, and with few years, or with suppliers, dates or discounts that are NULL."""
+    rng, rows = np.random.default_rng(12), []
+    for supplier in range(150):
+        for year in range(1995, 2002):
+            up = rng.random() < 0.4
+            for _ in range(int(rng.integers(6, 15))):
+                d = int(rng.integers(50, 101)) if up else int(rng.integers(0, 50))
+                rows.append((supplier, float(d) / 1000, float(rng.integers(0, 9)) / 100, pd.Timestamp(year, 3, 1)))
+    lines = pd.DataFrame(rows, columns=["l_suppkey", "l_discount", "l_tax", "l_shipdate"]).astype({"l_suppkey": "Int64", "l_shipdate": "datetime64[us]"})
+    key, year, i = lines.l_suppkey.astype(int), lines.l_shipdate.dt.year, np.arange(len(lines))
+    kinds = {
+        "few_years": lines[year < 1996 + key % 8],
+        "no_supplier": lines.assign(l_suppkey=lines.l_suppkey.mask((i % 9 == 0) & (lines.l_discount > 0.04))),
+        "no_date": lines.assign(l_shipdate=lines.l_shipdate.mask((i % 9 == 0) | (year == 1995) & (key % 2 == 0))),
+        "no_discount": lines.assign(l_discount=lines.l_discount.mask((i % 9 == 0) | (year == 1995 + key % 7) & (key % 3 == 0))),
+    }
+    out = {}
+    for kind, part in kinds.items():
+        out[kind] = str(tmp_path_factory.mktemp(kind))
+        part.to_parquet(f"{out[kind]}/lineitem.parquet", index=False)
+    return out
+
+
+def same_as_sql(spark, folder, name):
+    """Compares the rows of a query on the lineitem of a folder with those of its SQL."""
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{folder}/lineitem.parquet')")
+        cur = c.execute(queries.SQL[name])
+        order = sorted(d[0] for d in cur.description)
+        at = [[d[0] for d in cur.description].index(k) for k in order]
+        want = Counter(tuple(plain(r[i]) for i in at) for r in cur.fetchall())
+    got = Counter(tuple(plain(r[k]) for k in order) for r in queries.QUERIES[name](spark, folder).collect())
+    assert got == want, (list((got - want).items())[:3], list((want - got).items())[:3], (got - want).total())
+
+
+def test_evidence_scores_add_to_the_rounded_score(spark, odd_lines):
+    same_as_sql(spark, odd_lines["few_years"], "evidence_scores")
+    rows = spark.createDataFrame([(0.4372925, 0.0)], "score double, regime_entropy_score double")
+    assert selection.score_with_evidence(rows).first().score_v2 == 0.4372925 + 0.025 + 0.025
