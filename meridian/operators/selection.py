@@ -90,12 +90,12 @@ def fold_splits(n: int, most: int = 256) -> list[tuple[int, ...]]:
     return every[:: len(every) // most][:most] if len(every) > most else every
 
 
-def _loses(pick, k: int):
-    """1 where the best value inside is below the median of the k values outside."""
+def _loses(pick):
+    """1 where the best value inside is below the median of the values outside; what is NULL counts on neither side."""
 
     def loses(inside: Column, outside: Column) -> Column:
-        others = F.array_sort(pick(outside))
-        middle = (F.get(others, F.lit((k - 1) // 2)) + F.get(others, F.lit(k // 2))) / 2
+        others = F.array_sort(F.array_compact(pick(outside)))
+        middle = (F.get(others, F.floor((F.size(others) - 1) / 2).cast("int")) + F.get(others, F.floor(F.size(others) / 2).cast("int"))) / 2
         return F.when(F.array_max(pick(inside)) < middle, 1.0).otherwise(0.0)
 
     return loses
@@ -114,8 +114,7 @@ def pbo_fold_split(df: DataFrame, folds: str, least: int = 4) -> DataFrame:
         rest = F.array(*[F.array(*[F.lit(i) for i in range(n) if i not in s]) for s in fold_splits(n)])
         pick = lambda a: F.transform(a, lambda i: F.get(F.col(folds), i))
 
-        loses = _loses(pick, n - n // 2)
-        value = F.aggregate(F.zip_with(splits, rest, loses), F.lit(0.0), lambda s, x: s + x) / F.size(splits)
+        value = F.aggregate(F.zip_with(splits, rest, _loses(pick)), F.lit(0.0), lambda s, x: s + x) / F.size(splits)
         out = F.when(F.size(folds) == n, value).otherwise(out)
     return df.withColumn("pbo_raw", out)
 

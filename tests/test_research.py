@@ -464,3 +464,8 @@ def test_evidence_scores_add_to_the_rounded_score(spark, odd_lines):
     same_as_sql(spark, odd_lines["few_years"], "evidence_scores")
     rows = spark.createDataFrame([(0.4372925, 0.0)], "score double, regime_entropy_score double")
     assert selection.score_with_evidence(rows).first().score_v2 == 0.4372925 + 0.025 + 0.025
+
+
+@pytest.mark.parametrize("kind", ["no_supplier", "no_discount"])
+def test_overfit_probability_with_nulls(spark, odd_lines, kind):
+    same_as_sql(spark, odd_lines[kind], "overfit_probability")
