@@ -469,3 +469,7 @@ def test_evidence_scores_add_to_the_rounded_score(spark, odd_lines):
 @pytest.mark.parametrize("kind", ["no_supplier", "no_discount"])
 def test_overfit_probability_with_nulls(spark, odd_lines, kind):
     same_as_sql(spark, odd_lines[kind], "overfit_probability")
+
+
+def test_regime_entropy_without_a_supplier(spark, odd_lines):
+    same_as_sql(spark, odd_lines["no_supplier"], "regime_entropy")
