@@ -473,3 +473,7 @@ def test_overfit_probability_with_nulls(spark, odd_lines, kind):
 
 def test_regime_entropy_without_a_supplier(spark, odd_lines):
     same_as_sql(spark, odd_lines["no_supplier"], "regime_entropy")
+
+
+def test_regime_entropy_summary_without_a_supplier(spark, odd_lines):
+    same_as_sql(spark, odd_lines["no_supplier"], "regime_entropy_summary")
