@@ -477,3 +477,8 @@ def test_regime_entropy_without_a_supplier(spark, odd_lines):
 
 def test_regime_entropy_summary_without_a_supplier(spark, odd_lines):
     same_as_sql(spark, odd_lines["no_supplier"], "regime_entropy_summary")
+
+
+@pytest.mark.parametrize("kind", ["no_supplier", "no_date"])
+def test_regime_records_with_nulls(spark, odd_lines, kind):
+    same_as_sql(spark, odd_lines[kind], "regime_records")
