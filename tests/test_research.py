@@ -482,3 +482,8 @@ def test_regime_entropy_summary_without_a_supplier(spark, odd_lines):
 @pytest.mark.parametrize("kind", ["no_supplier", "no_date"])
 def test_regime_records_with_nulls(spark, odd_lines, kind):
     same_as_sql(spark, odd_lines[kind], "regime_records")
+
+
+@pytest.mark.parametrize("kind", ["no_discount", "no_date"])
+def test_overfit_pairs_with_nulls(spark, odd_lines, kind):
+    same_as_sql(spark, odd_lines[kind], "overfit_pairs")
