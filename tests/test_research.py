@@ -487,3 +487,7 @@ def test_regime_records_with_nulls(spark, odd_lines, kind):
 @pytest.mark.parametrize("kind", ["no_discount", "no_date"])
 def test_overfit_pairs_with_nulls(spark, odd_lines, kind):
     same_as_sql(spark, odd_lines[kind], "overfit_pairs")
+
+
+def test_fold_stability_without_discounts(spark, odd_lines):
+    same_as_sql(spark, odd_lines["no_discount"], "fold_stability")
