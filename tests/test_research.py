@@ -491,3 +491,8 @@ def test_overfit_pairs_with_nulls(spark, odd_lines, kind):
 
 def test_fold_stability_without_discounts(spark, odd_lines):
     same_as_sql(spark, odd_lines["no_discount"], "fold_stability")
+
+
+@pytest.mark.parametrize("kind", ["no_discount", "no_date"])
+def test_score_components_with_nulls(spark, odd_lines, kind):
+    same_as_sql(spark, odd_lines[kind], "score_components")
