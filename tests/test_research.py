@@ -496,3 +496,9 @@ def test_fold_stability_without_discounts(spark, odd_lines):
 @pytest.mark.parametrize("kind", ["no_discount", "no_date"])
 def test_score_components_with_nulls(spark, odd_lines, kind):
     same_as_sql(spark, odd_lines[kind], "score_components")
+
+
+@pytest.mark.parametrize("name", ["gate_histogram"])
+@pytest.mark.parametrize("kind", ["no_discount", "no_date"])
+def test_selection_with_nulls(spark, odd_lines, kind, name):
+    same_as_sql(spark, odd_lines[kind], name)
