@@ -498,7 +498,7 @@ def test_score_components_with_nulls(spark, odd_lines, kind):
     same_as_sql(spark, odd_lines[kind], "score_components")
 
 
-@pytest.mark.parametrize("name", ["gate_histogram", "latest_run_scores"])
+@pytest.mark.parametrize("name", ["gate_histogram", "latest_run_scores", "evidence_scores"])
 @pytest.mark.parametrize("kind", ["no_discount", "no_date"])
 def test_selection_with_nulls(spark, odd_lines, kind, name):
     same_as_sql(spark, odd_lines[kind], name)
