@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.functions.stats import clip, mean, positive_share, spread
+from meridian.functions.stats import clip, fixed, mean, positive_share, spread
 
 
 #: The defaults of the weights, gates and limits.
@@ -283,7 +283,7 @@ def gates(df: DataFrame, config: Config = Config()) -> DataFrame:
         (F.col("complexity") > c.max_complexity_score, "complexity", F.col("complexity"), ">", "max", c.max_complexity_score, 4),
         (F.col("selection_consistency_score") < c.min_selection_stability, "selection_stability", F.col("selection_consistency_score"), "<", "min", c.min_selection_stability, 4),
     ]
-    said = [F.when(bad, F.format_string(f"{name}=%.{d}f {sign} {word}=%.{d}f", value.cast("double"), F.lit(limit))) for bad, name, value, sign, word, limit, d in rules]
+    said = [F.when(bad, F.concat(F.lit(f"{name}="), fixed(value, d), F.lit(f" {sign} {word}={limit:.{d}f}"))) for bad, name, value, sign, word, limit, d in rules]
     return df.withColumn("gate_failures", F.array_compact(F.array(*said))).withColumn("gate_passed", F.size("gate_failures") == 0)
 
 

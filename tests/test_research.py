@@ -502,3 +502,10 @@ def test_score_components_with_nulls(spark, odd_lines, kind):
 @pytest.mark.parametrize("kind", ["no_discount", "no_date"])
 def test_selection_with_nulls(spark, odd_lines, kind, name):
     same_as_sql(spark, odd_lines[kind], name)
+
+
+def test_gate_messages_round_as_printf(spark, odd_lines):
+    same_as_sql(spark, odd_lines["no_date"], "selection_decisions")
+    x = [4.765, 4.125, 4.135, 0.005, 1234567.005, -0.0, -1e-9]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(x)), "i int, x double").select(stats.fixed(F.col("x"), 2), "i").orderBy("i").collect()]
+    assert got == [f"{v:.2f}" for v in x]
