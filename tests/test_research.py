@@ -509,3 +509,22 @@ def test_gate_messages_round_as_printf(spark, odd_lines):
     x = [4.765, 4.125, 4.135, 0.005, 1234567.005, -0.0, -1e-9]
     got = [r[0] for r in spark.createDataFrame(list(enumerate(x)), "i int, x double").select(stats.fixed(F.col("x"), 2), "i").orderBy("i").collect()]
     assert got == [f"{v:.2f}" for v in x]
+
+
+@pytest.fixture(scope="module")
+def odd_keys(odd_lines, tmp_path_factory):
+    """Folders of the rows with few years: a tax that never varies for every fifth supplier, and suppliers whose keys are all below zero."""
+    lines = pd.read_parquet(f"{odd_lines['few_years']}/lineitem.parquet")
+    kinds = {"same_tax": lines.assign(l_tax=lines.l_tax.mask(lines.l_suppkey % 5 == 0, 0.03)), "negative": lines.assign(l_suppkey=lines.l_suppkey - 150)}
+    out = {}
+    for kind, part in kinds.items():
+        out[kind] = str(tmp_path_factory.mktemp(kind))
+        part.to_parquet(f"{out[kind]}/lineitem.parquet", index=False)
+    return out
+
+
+def test_score_components_where_a_tax_never_varies(spark, odd_keys):
+    same_as_sql(spark, odd_keys["same_tax"], "score_components")
+    rows = spark.createDataFrame([(1, 0.1, 0.3), (1, 0.2, 0.3), (2, 0.1, 0.2), (3, None, 0.1), (4, 0.1, 0.3), (4, 0.2, 0.1), (4, 0.3, None)], "g int, x double, y double")
+    got = dict(rows.groupBy("g").agg(stats.plain_correlation(F.col("x"), F.col("y"))).collect())
+    assert math.isnan(got[1]) and math.isnan(got[2]) and got[3] is None and got[4] == pytest.approx(-1.0)
