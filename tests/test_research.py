@@ -528,3 +528,7 @@ def test_score_components_where_a_tax_never_varies(spark, odd_keys):
     rows = spark.createDataFrame([(1, 0.1, 0.3), (1, 0.2, 0.3), (2, 0.1, 0.2), (3, None, 0.1), (4, 0.1, 0.3), (4, 0.2, 0.1), (4, 0.3, None)], "g int, x double, y double")
     got = dict(rows.groupBy("g").agg(stats.plain_correlation(F.col("x"), F.col("y"))).collect())
     assert math.isnan(got[1]) and math.isnan(got[2]) and got[3] is None and got[4] == pytest.approx(-1.0)
+
+
+def test_latest_run_scores_with_negative_suppliers(spark, odd_keys):
+    same_as_sql(spark, odd_keys["negative"], "latest_run_scores")
