@@ -532,3 +532,8 @@ def test_score_components_where_a_tax_never_varies(spark, odd_keys):
 
 def test_latest_run_scores_with_negative_suppliers(spark, odd_keys):
     same_as_sql(spark, odd_keys["negative"], "latest_run_scores")
+
+
+@pytest.mark.parametrize("kind", ["same_tax", "negative"])
+def test_gate_histogram_with_odd_keys_and_taxes(spark, odd_keys, kind):
+    same_as_sql(spark, odd_keys[kind], "gate_histogram")
