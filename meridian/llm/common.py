@@ -102,13 +102,18 @@ def trimmed(fn):
         try:
             yield from fn(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            trim()
 
     return run
 
 
+def trim() -> None:
+    """Gives this process's freed memory back."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each made longer until no column of ``df`` has it."""
     have = {c.lower() for c in df.columns}

@@ -19,7 +19,8 @@ agree. k is the number of rows that are of the target with a probability of ``LE
 
 The labelled rows (at most ``LABELLED``, those with the least hashes of their ids) fit the kinds' models; a labelled row is
 weighed without its own n-grams in its kind's counts, so it is like others. Weights, k and the sample are of all rows.
-The k-th largest key is found by counting keys in ranges that narrow, so no task sorts all rows.
+The k-th largest key is found by counting keys in ranges that narrow, so no task sorts all rows. Counts and models, mostly
+zeros, go to the driver and from it compressed.
 
 Defined results: a text without n-grams, or a null one, has log weight 0; a very long text is weighed whole; with no good
 labelled rows all rows are kept; equal rows have equal weights and draws; rows whose keys tie at the k-th place are all
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import Words, cut, keep_rows, mix, planes, shuffle_partitions, trimmed, unplanes
+from meridian.llm.common import Words, cut, keep_rows, mix, planes, shuffle_partitions, trim, trimmed, unplanes
 
 BUCKETS, LABELLED, CHUNK, ADD, SURE, EFFECT, LEAST = 1 << 20, 20_000, 1 << 14, 0.5, 3.0, 1.0, 0.1
 KINDS = 3  # target, toxic, low quality
@@ -51,6 +52,24 @@ def features(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(BUCKETS)).astype(np.int64), pairs.astype(np.int64)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """A chunk of counts, compressed."""
+    return pa.compress(planes(x), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return unplanes(pa.decompress(raw, 8 * CHUNK, codec="zstd", asbytes=True), "<i8")
+
+
+def _counted(rows: list, kind: int) -> np.ndarray:
+    """One kind's and order's counts, from the rows of all chunks."""
+    out = np.zeros(BUCKETS, np.int64)
+    for k, chunk, raw in rows:
+        if k == kind:
+            out[chunk * CHUNK : (chunk + 1) * CHUNK] = _unpack(bytes(raw))
+    return out
+
+
 def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for big in batches:
         yield from (big.slice(i, n) for i in range(0, big.num_rows, n))
@@ -69,7 +88,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, x in parts.items():
             total[k] = total.get(k, 0) + np.bincount(np.concatenate(x), minlength=BUCKETS)
     for k, x in total.items():
-        rows = [(k, c, planes(x[c * CHUNK : (c + 1) * CHUNK])) for c in range(-(-BUCKETS // CHUNK))]
+        rows = [(k, c, _pack(x[c * CHUNK : (c + 1) * CHUNK])) for c in range(-(-BUCKETS // CHUNK))]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COUNTS, strict=True)], schema=COUNTS)
 
 
@@ -78,8 +97,8 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[tuple[int, int], np.ndarray] = {}
     for b in batches:
         for kind, chunk, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            total[kind, chunk] = total.get((kind, chunk), 0) + unplanes(x, "<i8")
-    rows = [(k, c, planes(x)) for (k, c), x in total.items()]
+            total[kind, chunk] = total.get((kind, chunk), 0) + _unpack(x)
+    rows = [(k, c, _pack(x)) for (k, c), x in total.items()]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COUNTS, strict=True)], schema=COUNTS)
 
@@ -91,7 +110,17 @@ class Ratios:
         self.counts = [c.astype(np.int32) for c in counts]
         target = max(1, int(counts[0].sum()))
         self.share = [int(c.sum()) / target for c in counts]
-        self.table = [np.zeros(0, np.float32), *(self.raw(k, self.counts[k], self.counts[0]).astype(np.float32) for k in range(1, KINDS))]
+        self.table = [np.zeros(0, np.float32), *(np.zeros(len(counts[0]), np.float32) for _ in range(1, KINDS))]
+        for at in (slice(i, i + CHUNK) for i in range(0, len(counts[0]), CHUNK)):
+            for k in range(1, KINDS):
+                self.table[k][at] = self.raw(k, self.counts[k][at], self.counts[0][at])
+
+    def __getstate__(self) -> tuple:
+        return self.share, *([(len(x), pa.compress(x.tobytes(), codec="zstd", asbytes=True)) for x in have] for have in (self.counts, self.table))
+
+    def __setstate__(self, state: tuple) -> None:
+        self.share = state[0]
+        self.counts, self.table = ([np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd"), kind) for n, raw in have] for have, kind in zip(state[1:], (np.int32, np.float32), strict=True))
 
     def raw(self, k: int, count: np.ndarray, target: np.ndarray) -> np.ndarray:
         share = self.share[k]
@@ -168,13 +197,14 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     docs = docs.join(F.broadcast(fit), F.col("id") == F.col("_l"), "left").select("id", "h", "text", "kind")  # LABELLED rows at most
     kinds = "kind int, chunk int, counts binary"
     parts = docs.where("kind is not null").select("text", "kind").dropDuplicates().coalesce(COUNTERS).mapInArrow(_count, kinds)
-    counts = np.zeros((2 * KINDS, BUCKETS), np.int64)
-    for k, chunk, raw in parts.repartition(shuffle_partitions(spark), "kind", "chunk").mapInArrow(_sum, kinds).collect():  # a row for each of the fixed chunks
-        counts[k, chunk * CHUNK : (chunk + 1) * CHUNK] = unplanes(bytes(raw), "<i8")
-    orders = [Ratios([counts[2 * k + o] for k in range(KINDS)]) for o in (0, 1)]
+    rows = parts.repartition(shuffle_partitions(spark), "kind", "chunk").mapInArrow(_sum, kinds).collect()  # a row for each of the fixed chunks
+    orders = [Ratios([_counted(rows, 2 * k + o) for k in range(KINDS)]) for o in (0, 1)]
+    good = bool(orders[0].counts[0].any())
     scored = cut(docs.mapInArrow(_weigh(orders), f"id {docs.schema['id'].dataType.simpleString()}, h long, r1 double, r2 double"))
+    del rows, orders
+    trim()
     n = {r.kind: r.n for r in fit.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # a row a kind
-    shares = [n.get(k, 0) / sum(n.values()) for k in range(KINDS)] if counts[0].any() else [1.0, 0.0, 0.0]
+    shares = [n.get(k, 0) / sum(n.values()) for k in range(KINDS)] if good else [1.0, 0.0, 0.0]
     w = log_weight(shares)
     # a uniform draw from the row's hash, strictly between 0 and 1
     u = (F.shiftrightunsigned("h", 11).cast("double") + 0.5) / F.lit(float(1 << 53))

@@ -1,10 +1,13 @@
 import html
 import math
+import pickle
 import random
 import re
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from meridian.llm import decontaminate, quality, warc
@@ -100,6 +103,23 @@ def test_quality(spark, docs):
     assert quality.resample(df, labels.where("quality = 0")).count() == df.count()
 
 
+def test_what_quality_sends_through_the_driver_is_small():
+    texts = pa.RecordBatch.from_arrays([pa.array(["a b c a", "d e", None] * 50), pa.array([0, 1, 2] * 50, pa.int32())], ["text", "kind"])
+    rows = list(quality._sum(quality._count([texts])))
+    assert sum(b.nbytes for b in rows) < 1 << 20
+    rng = np.random.default_rng(8)
+    counts = [np.zeros(quality.BUCKETS, np.int64) for _ in range(quality.KINDS)]
+    for c in counts:
+        c[rng.integers(0, quality.BUCKETS, 3000)] = rng.integers(1, 500, 3000)
+    r = quality.Ratios(counts)
+    raw = pickle.dumps(r)
+    assert len(raw) < 1 << 20
+    got = pickle.loads(raw)
+    assert got.share == r.share and all(np.array_equal(a, b) for have in ("counts", "table") for a, b in zip(getattr(got, have), getattr(r, have), strict=True))
+    for k in range(1, quality.KINDS):
+        assert np.array_equal(r.table[k], r.raw(k, counts[k], counts[0]).astype(np.float32))
+
+
 def test_kth_largest(spark):
     rnd = random.Random(0)
     x = [rnd.gauss(0, 1) for _ in range(3000)] + [0.5] * 100
