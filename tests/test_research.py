@@ -8,6 +8,8 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -537,3 +539,24 @@ def test_latest_run_scores_with_negative_suppliers(spark, odd_keys):
 @pytest.mark.parametrize("kind", ["same_tax", "negative"])
 def test_gate_histogram_with_odd_keys_and_taxes(spark, odd_keys, kind):
     same_as_sql(spark, odd_keys[kind], "gate_histogram")
+
+
+@pytest.fixture(scope="module")
+def odd_values(odd_lines, tmp_path_factory):
+    """Folders of the rows with few years: no rows, discounts that are NaN or infinite in one year of a supplier at most, and every third supplier without a known discount."""
+    lines = pd.read_parquet(f"{odd_lines['few_years']}/lineitem.parquet")
+    odd = (np.arange(len(lines)) % 5 == 0) & (lines.l_suppkey % 3 == 0) & (lines.l_shipdate.dt.year == 1996)
+    kinds = {"no_rows": lines[:0], "infinite": lines.assign(l_discount=lines.l_discount.mask(odd, math.inf)), "unknown": lines.assign(l_discount=lines.l_discount.mask(lines.l_suppkey % 3 == 0)), "nan": lines}
+    out = {}
+    for kind, part in kinds.items():
+        out[kind] = str(tmp_path_factory.mktemp(kind))
+        rows = pa.Table.from_pandas(part, preserve_index=False)
+        if kind == "nan":
+            rows = rows.set_column(rows.column_names.index("l_discount"), "l_discount", pa.array(lines.l_discount.mask(odd).to_numpy(), from_pandas=False))
+        pq.write_table(rows, f"{out[kind]}/lineitem.parquet")
+    return out
+
+
+@pytest.mark.parametrize("name", ["decision_summary", "evidence_scores", "latest_run_scores", "selection_decisions", "score_components"])
+def test_scores_without_a_known_discount(spark, odd_values, name):
+    same_as_sql(spark, odd_values["unknown"], name)
