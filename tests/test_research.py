@@ -560,3 +560,8 @@ def odd_values(odd_lines, tmp_path_factory):
 @pytest.mark.parametrize("name", ["decision_summary", "evidence_scores", "latest_run_scores", "selection_decisions", "score_components"])
 def test_scores_without_a_known_discount(spark, odd_values, name):
     same_as_sql(spark, odd_values["unknown"], name)
+
+
+@pytest.mark.parametrize("kind", ["nan", "infinite"])
+def test_regime_records_of_years_that_are_not_finite(spark, odd_values, kind):
+    same_as_sql(spark, odd_values[kind], "regime_records")
