@@ -565,3 +565,8 @@ def test_scores_without_a_known_discount(spark, odd_values, name):
 @pytest.mark.parametrize("kind", ["nan", "infinite"])
 def test_regime_records_of_years_that_are_not_finite(spark, odd_values, kind):
     same_as_sql(spark, odd_values[kind], "regime_records")
+
+
+@pytest.mark.parametrize("kind", ["no_rows", "nan", "infinite"])
+def test_regime_entropy_summary_of_odd_rows(spark, odd_values, kind):
+    same_as_sql(spark, odd_values[kind], "regime_entropy_summary")
