@@ -119,9 +119,13 @@ def pbo_fold_split(df: DataFrame, folds: str, least: int = 4) -> DataFrame:
     return df.withColumn("pbo_raw", out)
 
 
-def pbo_pairs(inside: Column, outside: Column) -> Column:
-    """The share of pairs whose in-sample value is above zero and whose other one is not; 0.5 without pairs of equal number."""
-    zero = lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(F.coalesce(x, F.lit(0.0)))
+def pbo_pairs(inside: Column, outside: Column, finite: bool = True) -> Column:
+    """The share of pairs whose in-sample value is above zero and whose other one is not; 0.5 without pairs of equal number.
+
+    What is NULL counts as zero, and so does what is not finite unless ``finite`` is false.
+    """
+    odd = lambda x: F.isnan(x) | (F.abs(x) == float("inf")) if finite else F.lit(False)
+    zero = lambda x: F.when(odd(x), 0.0).otherwise(F.coalesce(x, F.lit(0.0)))
     bad = F.filter(F.arrays_zip(inside.alias("a"), outside.alias("b")), lambda x: (zero(x["a"]) > 0) & (zero(x["b"]) <= 0))
     known = (F.size(inside) > 0) & (F.size(inside) == F.size(outside))
     return F.when(F.coalesce(known, F.lit(False)), F.size(bad) / F.size(inside)).otherwise(0.5)

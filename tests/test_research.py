@@ -577,3 +577,8 @@ def test_regime_entropy_of_years_that_are_not_finite(spark, odd_values, kind):
     same_as_sql(spark, odd_values[kind], "regime_entropy")
     odd = [r.entropy for r in queries.QUERIES["regime_entropy"](spark, odd_values[kind]).collect() if r.entropy is None or math.isnan(r.entropy)]
     assert odd and None not in odd  # NaN as in the SQL, not NULL
+
+
+@pytest.mark.parametrize("kind", ["nan", "infinite"])
+def test_overfit_pairs_of_years_that_are_not_finite(spark, odd_values, kind):
+    same_as_sql(spark, odd_values[kind], "overfit_pairs")
