@@ -582,3 +582,8 @@ def test_regime_entropy_of_years_that_are_not_finite(spark, odd_values, kind):
 @pytest.mark.parametrize("kind", ["nan", "infinite"])
 def test_overfit_pairs_of_years_that_are_not_finite(spark, odd_values, kind):
     same_as_sql(spark, odd_values[kind], "overfit_pairs")
+
+
+@pytest.mark.parametrize("kind", ["nan", "infinite"])
+def test_gate_messages_of_numbers_that_are_not_finite(spark, odd_values, kind):
+    same_as_sql(spark, odd_values[kind], "selection_decisions")
