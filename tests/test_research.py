@@ -587,3 +587,13 @@ def test_overfit_pairs_of_years_that_are_not_finite(spark, odd_values, kind):
 @pytest.mark.parametrize("kind", ["nan", "infinite"])
 def test_gate_messages_of_numbers_that_are_not_finite(spark, odd_values, kind):
     same_as_sql(spark, odd_values[kind], "selection_decisions")
+
+
+def test_score_components_have_the_zeros_of_sql(spark, tmp_path):
+    rows = [(s, 0.05 - (s + 1) * 1e-9, t / 100, pd.Timestamp(1995 + y, 3, 1)) for s in range(5) for y in range(s + 1) for t in range(3)]
+    pd.DataFrame(rows, columns=["l_suppkey", "l_discount", "l_tax", "l_shipdate"]).astype({"l_shipdate": "datetime64[us]"}).to_parquet(f"{tmp_path}/lineitem.parquet", index=False)
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet')")
+        want = {(r[0], r[1]): repr(r[2]) for r in c.execute(f"SELECT candidate_id, component, value FROM ({queries.SQL['score_components']}) WHERE component = 'oos_sharpe_score'").fetchall()}
+    got = {(r.candidate_id, r.component): repr(r.value) for r in queries.QUERIES["score_components"](spark, str(tmp_path)).where("component = 'oos_sharpe_score'").collect()}
+    assert got == want and set(want.values()) == {"0.0"}  # a best year just below zero is rounded to -0.0
