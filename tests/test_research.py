@@ -597,3 +597,22 @@ def test_score_components_have_the_zeros_of_sql(spark, tmp_path):
         want = {(r[0], r[1]): repr(r[2]) for r in c.execute(f"SELECT candidate_id, component, value FROM ({queries.SQL['score_components']}) WHERE component = 'oos_sharpe_score'").fetchall()}
     got = {(r.candidate_id, r.component): repr(r.value) for r in queries.QUERIES["score_components"](spark, str(tmp_path)).where("component = 'oos_sharpe_score'").collect()}
     assert got == want and set(want.values()) == {"0.0"}  # a best year just below zero is rounded to -0.0
+
+
+@pytest.fixture(scope="module")
+def typed_lines(two_orders, tmp_path_factory):
+    """Folders of the rows whose years cancel, or nearly, with discounts and taxes of other types."""
+    out = {}
+    for kind, t in (("decimal", pa.decimal128(15, 2)), ("float", pa.float32())):
+        rows = pq.read_table(f"{two_orders[0]}/lineitem.parquet")
+        for c in ("l_discount", "l_tax"):
+            values = [decimal.Decimal(f"{x:.2f}") if kind == "decimal" else x for x in rows[c].to_pylist()]
+            rows = rows.set_column(rows.column_names.index(c), c, pa.array(values, t))
+        out[kind] = str(tmp_path_factory.mktemp(kind))
+        pq.write_table(rows, f"{out[kind]}/lineitem.parquet")
+    return out
+
+
+@pytest.mark.parametrize("name", ["overfit_probability", "score_components"])
+def test_decimal_discounts_are_added_as_decimals(spark, typed_lines, name):
+    same_as_sql(spark, typed_lines["decimal"], name)
