@@ -616,3 +616,8 @@ def typed_lines(two_orders, tmp_path_factory):
 @pytest.mark.parametrize("name", ["overfit_probability", "score_components"])
 def test_decimal_discounts_are_added_as_decimals(spark, typed_lines, name):
     same_as_sql(spark, typed_lines["decimal"], name)
+
+
+@pytest.mark.parametrize("name", ["fold_stability", "overfit_probability", "score_components"])
+def test_float_discounts_are_compared_as_floats(spark, typed_lines, name):
+    same_as_sql(spark, typed_lines["float"], name)
