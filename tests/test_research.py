@@ -621,3 +621,19 @@ def test_decimal_discounts_are_added_as_decimals(spark, typed_lines, name):
 @pytest.mark.parametrize("name", ["fold_stability", "overfit_probability", "score_components"])
 def test_float_discounts_are_compared_as_floats(spark, typed_lines, name):
     same_as_sql(spark, typed_lines["float"], name)
+
+
+@pytest.mark.parametrize("column", ["l_discount", "l_tax"])
+def test_score_components_where_a_variance_overflows(spark, odd_lines, tmp_path, column):
+    lines = pd.read_parquet(f"{odd_lines['few_years']}/lineitem.parquet")
+    lines.assign(**{column: lines[column].mask(np.arange(len(lines)) % 101 == 0, 1e160)}).to_parquet(f"{tmp_path}/lineitem.parquet", index=False)
+    same_as_sql(spark, str(tmp_path), "score_components")
+
+
+def test_correlation_of_large_numbers_is_that_of_sql(spark, duck):
+    x = {1: [1e160, 0.2, 0.3], 2: [1e200, 1e200, 1e200], 3: [1e200, -1e200, 1e300], 4: [1e155, 2e155, 1e155 / 3], 5: [1e150, 3e150, 2e150], 7: [math.inf, 1.0, 2.0], 8: [1e160]}
+    rows = [(g, v, y) for g, a in x.items() for v, y in zip(a, (0.1, 0.4, 0.2))] + [(9, v, w) for v, w in ((1e160, -1e160), (1e159, 2e160), (3e158, 0.1))]
+    duck.register("large", pd.DataFrame(rows, columns=["g", "x", "y"]))
+    want = {g: repr(round(v, 9) + 0.0) for g, v in duck.execute("SELECT g, CORR(x, y) FROM large GROUP BY 1").fetchall()}
+    got = spark.createDataFrame(rows, "g int, x double, y double").repartition(4).groupBy("g").agg(stats.plain_correlation(F.col("x"), F.col("y"))).collect()
+    assert {g: repr(round(v, 9) + 0.0) for g, v in got} == want
